@@ -7,7 +7,7 @@ from pathlib import Path
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from turnlake.llm import bpe, token_count
+from turnlake.llm import bpe, mixing, simhash, token_count
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -27,5 +27,14 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(read(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
 
 
-QUERIES = {"op1_byte_bpe": op1_byte_bpe, "op10_token_counts": op10_token_counts}
-SQL: dict[str, str] = {}
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(read(spark, sf_dir, "documents"))
+
+
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").fillna(mixing.NONE, ["source", "lang"])
+    return mixing.mix(docs).select("doc_id", "source", "lang", "topic", "n_tokens", "probability", "kept")
+
+
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op8_simhash, op9_mixing, op10_token_counts)}
+SQL: dict[str, str] = {"op9_mixing": mixing.mix_sql()}
