@@ -7,7 +7,7 @@ from pathlib import Path
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from turnlake.llm import bpe, mixing, simhash, token_count
+from turnlake.llm import bpe, mixing, simhash, substring, token_count, toxicity
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -27,6 +27,16 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(read(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
 
 
+def op6_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per run of words that goes: doc_id, start, end, n_words, component_id, kept_id."""
+    return substring.repeats(read(spark, sf_dir, "documents"))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, read(spark, sf_dir, "labels")))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))
 
@@ -36,5 +46,5 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs).select("doc_id", "source", "lang", "topic", "n_tokens", "probability", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op8_simhash, op9_mixing, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op6_repeats, op7_toxicity, op8_simhash, op9_mixing, op10_token_counts)}
 SQL: dict[str, str] = {"op9_mixing": mixing.mix_sql()}
