@@ -7,7 +7,7 @@ from pathlib import Path
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from turnlake.llm import bpe, mixing, simhash, substring, token_count, toxicity
+from turnlake.llm import bpe, html_text, mixing, perplexity, simhash, substring, token_count, toxicity
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -27,6 +27,14 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(read(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
 
 
+def op4_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(read(spark, sf_dir, "pages"))
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return perplexity.judge(read(spark, sf_dir, "documents"))
+
+
 def op6_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row per run of words that goes: doc_id, start, end, n_words, component_id, kept_id."""
     return substring.repeats(read(spark, sf_dir, "documents"))
@@ -46,5 +54,5 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs).select("doc_id", "source", "lang", "topic", "n_tokens", "probability", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op6_repeats, op7_toxicity, op8_simhash, op9_mixing, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op4_main_text, op5_quality, op6_repeats, op7_toxicity, op8_simhash, op9_mixing, op10_token_counts)}
 SQL: dict[str, str] = {"op9_mixing": mixing.mix_sql()}
