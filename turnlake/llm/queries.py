@@ -6,8 +6,9 @@ from pathlib import Path
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from turnlake.llm import bpe, html_text, mixing, perplexity, simhash, substring, token_count, toxicity
+from turnlake.llm import bpe, html_text, mixing, perplexity, simhash, substring, token_count, topk, toxicity, urls
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -27,6 +28,14 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(read(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
 
 
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(read(spark, sf_dir, "pages"), urls.RULES)
+
+
+def op3_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op4_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(read(spark, sf_dir, "pages"))
 
@@ -54,5 +63,5 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs).select("doc_id", "source", "lang", "topic", "n_tokens", "probability", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op4_main_text, op5_quality, op6_repeats, op7_toxicity, op8_simhash, op9_mixing, op10_token_counts)}
-SQL: dict[str, str] = {"op9_mixing": mixing.mix_sql()}
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_url_filter, op3_top_k, op4_main_text, op5_quality, op6_repeats, op7_toxicity, op8_simhash, op9_mixing, op10_token_counts)}
+SQL: dict[str, str] = {"op3_top_k": topk.SQL, "op9_mixing": mixing.mix_sql()}
