@@ -1,4 +1,374 @@
-"""Registered queries and their SQL."""
+"""Registered queries and their SQL: name to callable (spark, sf_dir), name to DuckDB SQL."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from turnlake.config import ContextConfig, EngineConfig
+from turnlake.functions import text as T
+from turnlake.operators import assemble as A
+from turnlake.operators import prune as P
+from turnlake.operators import topics as G
+from turnlake.operators import turns as Q
+from turnlake.plans import sql as S
+from turnlake.sources import messages as M
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
+
+#: Budgets under which the bindings' sessions lie on both sides of the threshold.
+CONV10 = EngineConfig(max_context_tokens=1300, system_prompt_reserve=500)
+TOOLTALK = EngineConfig(max_context_tokens=5000, system_prompt_reserve=1000, tool_result_truncate_chars=1000)
+CTX = ContextConfig(preserve_recent_messages=1)
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/conversations.parquet")
+
+
+# Scalar functions ----------------------------------------------------------------------------------------------------------
+
+
+@query(f"SELECT doc_id, {S.tokens('text')} AS tokens FROM documents")
+def token_estimate_docs(spark, sf_dir):
+    return docs(spark, sf_dir).select("doc_id", T.tokens(F.col("text")).alias("tokens"))
+
+
+_SENT = "Sender (untrusted metadata):\n```json\n{\"label\": \"x\"}\n```\n\n[Tue 2026-04-28 10:06 GMT+8] "
+
+
+@query(f"SELECT conv_id, turn, {S.strip('t')} AS stripped, {S.strip('t', True)} AS stripped_internal FROM (SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN {S.q(_SENT)} || text WHEN 1 THEN '[Tue 2026-04-28 10:06 GMT+8]  ' || text ELSE text END AS t FROM conversations)")
+def strip_metadata(spark, sf_dir):
+    t = F.when(F.col("turn") % 3 == 0, F.concat(F.lit(_SENT), "text")).when(F.col("turn") % 3 == 1, F.concat(F.lit("[Tue 2026-04-28 10:06 GMT+8]  "), "text")).otherwise(F.col("text"))
+    return conversations(spark, sf_dir).select("conv_id", "turn", t.alias("t")).select("conv_id", "turn", T.strip_sender(F.col("t")).alias("stripped"), T.strip_metadata(F.col("t")).alias("stripped_internal"))
+
+
+@query(f"SELECT term, count(*) AS uses, count(DISTINCT doc_id) AS docs FROM (SELECT doc_id, unnest({S.terms('text')}) AS term FROM documents) GROUP BY term")
+def tokenize_terms(spark, sf_dir):
+    rows = docs(spark, sf_dir).select("doc_id", F.explode(T.terms(F.col("text"))).alias("term")).groupBy("term", "doc_id").count()
+    return rows.groupBy("term").agg(F.sum("count").alias("uses"), F.count("*").alias("docs"))
+
+
+_MARKED = "CASE WHEN doc_id % 3 = 0 THEN text || '}' ELSE text END"
+
+
+@query(f"WITH src AS (SELECT doc_id, {_MARKED} AS t FROM documents) SELECT doc_id, truncated, {S.tokens('truncated')} AS tokens FROM ({S.truncate('t', 1000)})")
+def truncate_head_tail(spark, sf_dir):
+    t = F.when(F.col("doc_id") % 3 == 0, F.concat("text", F.lit("}"))).otherwise(F.col("text"))
+    return docs(spark, sf_dir).select("doc_id", T.truncate(t, 1000).alias("truncated")).withColumn("tokens", T.tokens(F.col("truncated")))
+
+
+@query("SELECT doc_id, CASE WHEN length(text) <= 800 THEN text ELSE left(text, 480) || chr(10) || chr(10) || '... [' || (length(text) - 720) || ' chars omitted, ~' || floor((length(text) - 720) / 4.0 + 0.5)::BIGINT || ' tokens] ...' || chr(10) || chr(10) || right(text, 240) END AS truncated FROM documents")
+def truncate_by_tokens(spark, sf_dir):
+    return docs(spark, sf_dir).select("doc_id", T.truncate_by_tokens(F.col("text"), 200).alias("truncated"))
+
+
+_SENTENCE = S.trim("regexp_split_to_array(text, '[.!?。！？' || chr(10) || ']')[1]")
+
+
+@query(f"SELECT conv_id, turn, {_SENTENCE} AS sentence FROM conversations")
+def first_sentence(spark, sf_dir):
+    return conversations(spark, sf_dir).select("conv_id", "turn", T.first_sentence(F.col("text")).alias("sentence"))
+
+
+# Turns ---------------------------------------------------------------------------------------------------------------------
+
+_TURN = ["session_id", "seq", "turn_id", "line_start", "line_end", "message_count", "tool_call_count", "total_tokens", "user_tokens", "assistant_tokens", "tool_result_tokens", "user_preview", "assistant_preview", "has_error", "importance"]
+
+
+def _turns(binding: str, name: str, columns: str = ", ".join(_TURN)):
+    @query(S.select(S.turns(binding), f"SELECT {columns}, array_to_string(tools_used, ',') AS tools FROM turns"))
+    def run(spark, sf_dir):
+        return Q.turns(getattr(M, binding)(spark, sf_dir)).select(*_TURN, F.array_join("tools_used", ",").alias("tools"))
+
+    QUERIES[name], SQL[name] = QUERIES.pop("run"), SQL.pop("run")
+
+
+_turns("conv", "turn_index")
+_turns("conv10", "turn_index_long")
+_turns("tooltalk", "turn_index_tools")
+_turns("events30", "turn_index_events")
+
+
+@query(S.select(S.turns("events30"), "SELECT session_id, seq, importance FROM turns"))
+def turn_importance(spark, sf_dir):
+    return Q.turns(M.events30(spark, sf_dir)).select("session_id", "seq", "importance")
+
+
+@query(S.select(S.turns("events30"), "SELECT session_id, seq, unnest(tools_used) AS tool, generate_subscripts(tools_used, 1)::INTEGER AS place FROM turns"))
+def tools_used(spark, sf_dir):
+    return Q.turns(M.events30(spark, sf_dir)).select("session_id", "seq", F.posexplode("tools_used").alias("p", "tool")).select("session_id", "seq", "tool", (F.col("p") + 1).alias("place"))
+
+
+_STATS = "SELECT session_id, count(*) AS total_turns, sum(total_tokens)::BIGINT AS total_tokens, sum(message_count)::BIGINT AS total_messages, sum(len(tools_used))::BIGINT AS total_tool_calls FROM turns GROUP BY session_id"
+
+
+@query(S.select(S.turns("conv"), f"SELECT l.session_id, l.n AS total_lines, coalesce(total_turns, 0) AS total_turns, coalesce(total_tokens, 0) AS total_tokens, coalesce(total_messages, 0) AS total_messages, coalesce(total_tool_calls, 0) AS total_tool_calls FROM (SELECT session_id, max(line)::BIGINT AS n FROM lines GROUP BY session_id) l LEFT JOIN ({_STATS}) s USING (session_id)"))
+def session_stats(spark, sf_dir):
+    lines = M.conv(spark, sf_dir)
+    return Q.session_stats(Q.turns(lines), lines)
+
+
+@query(S.select(S.turns("events30"), "SELECT session_id, tool, count(*) AS turns FROM (SELECT session_id, unnest(tools_used) AS tool FROM turns) GROUP BY ALL"))
+def tool_usage(spark, sf_dir):
+    return Q.tool_usage(Q.turns(M.events30(spark, sf_dir)))
+
+
+@query(S.select(S.turns("conv10"), "SELECT session_id, seq, turn_id FROM turns WHERE seq >= n_turns - 5"))
+def recent_turns(spark, sf_dir):
+    return Q.recent(Q.turns(M.conv10(spark, sf_dir)), 5).select("session_id", "seq", "turn_id")
+
+
+@query(S.select(S.turns("conv10"), "SELECT session_id, seq, turn_id, total_tokens FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY total_tokens DESC, seq) AS r FROM turns) WHERE r <= 10"))
+def largest_turns(spark, sf_dir):
+    return Q.largest(Q.turns(M.conv10(spark, sf_dir)), 10).select("session_id", "seq", "turn_id", "total_tokens")
+
+
+@query(S.select(S.turns("events30"), "SELECT session_id, seq, turn_id FROM turns WHERE list_contains(tools_used, 'exec')"))
+def turns_by_tool(spark, sf_dir):
+    return Q.by_tool(Q.turns(M.events30(spark, sf_dir)), "exec").select("session_id", "seq", "turn_id")
+
+
+@query(S.select(S.turns("conv10"), "SELECT session_id, seq, turn_id, line_start, line_end FROM turns WHERE turn_id = 'c3-t1' OR seq = 2"))
+def turn_lookup(spark, sf_dir):
+    t = Q.turns(M.conv10(spark, sf_dir))
+    columns = ["session_id", "seq", "turn_id", "line_start", "line_end"]
+    return Q.lookup(t, turn_id="c3-t1").select(columns).union(Q.lookup(t, seq=2).select(columns)).distinct()
+
+
+@query(S.select(S.turns("tooltalk"), "SELECT l.session_id, l.line, l.text AS raw, t.turn_id, t.seq FROM lines l JOIN turns t ON l.session_id = t.session_id AND l.line BETWEEN t.line_start AND t.line_end"))
+def recover_turn_lines(spark, sf_dir):
+    lines = M.tooltalk(spark, sf_dir)
+    return Q.recover(lines.select("session_id", "line", "text"), Q.turns(lines)).select("session_id", "line", F.col("text").alias("raw"), "turn_id", "seq")
+
+
+@query(S.select(S.turns("conv10"), "SELECT session_id, seq, importance, row_number() OVER (PARTITION BY session_id ORDER BY importance, seq)::INTEGER AS \"order\" FROM turns WHERE seq < n_turns - 5"))
+def compressible_turns(spark, sf_dir):
+    return Q.compressible(Q.turns(M.conv10(spark, sf_dir))).select("session_id", "seq", "importance", "order")
+
+
+@query(S.select([*S.turns("conv10"), "c AS (SELECT *, floor(total_tokens * 0.85::DOUBLE)::BIGINT AS savings FROM (SELECT *, sum(total_tokens) OVER (PARTITION BY session_id) AS total FROM turns) WHERE seq < n_turns - 5)", "r AS (SELECT *, coalesce(sum(savings) OVER (PARTITION BY session_id ORDER BY importance, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM c)"], "SELECT session_id, seq, savings FROM r WHERE total > 3000 AND before < total - 3000"))
+def recommend_compression(spark, sf_dir):
+    return Q.recommend(Q.turns(M.conv10(spark, sf_dir)), 3000).select("session_id", "seq", "savings")
+
+
+@query(S.select(S.turns("conv10"), f"SELECT session_id, count(*) AS turns, sum(total_tokens)::BIGINT AS tokens, sum(total_tokens) > {CONV10.threshold} AS needs_compaction FROM turns GROUP BY session_id"))
+def needs_compaction(spark, sf_dir):
+    return A.needs_compaction(Q.turns(M.conv10(spark, sf_dir)), CONV10)
+
+
+# Topics --------------------------------------------------------------------------------------------------------------------
+
+
+@query(S.select(S.similarities("conv10"), "SELECT session_id, seq, term, df, round(tf, 9) AS tf, round(weight, 9) AS weight FROM tfidf"))
+def tfidf_weights(spark, sf_dir):
+    return G.tfidf(Q.turns(M.conv10(spark, sf_dir))).select("session_id", "seq", "term", "df", F.round("tf", 9).alias("tf"), F.round("weight", 9).alias("weight"))
+
+
+@query(S.select(S.similarities("conv10"), "SELECT session_id, seq, round(similarity, 9) AS similarity FROM sims"))
+def window_similarity(spark, sf_dir):
+    return G.similarities(Q.turns(M.conv10(spark, sf_dir))).select("session_id", "seq", F.round("similarity", 9).alias("similarity"))
+
+
+@query(S.select(S.similarities("conv10"), "SELECT session_id, seq, 'embedding' AS method, round(least(1.0, 1 - similarity / 0.05), 7) AS confidence FROM sims WHERE round(similarity, 12) < 0.05"))
+def topic_boundaries(spark, sf_dir):
+    return G.boundaries(Q.turns(M.conv10(spark, sf_dir))).select("session_id", "seq", "method", F.round("confidence", 7).alias("confidence"))
+
+
+def _topic_turns(spark, sf_dir, binding):
+    t = Q.turns(getattr(M, binding)(spark, sf_dir))
+    return G.with_topics(t, G.segments(t))
+
+
+@query(S.select(S.topics("conv10"), "SELECT session_id, seq, topic_ord::INTEGER AS topic_ord, topic_id, label, is_current FROM tturns"))
+def topic_segments(spark, sf_dir):
+    return _topic_turns(spark, sf_dir, "conv10").select("session_id", "seq", "topic_ord", "topic_id", "label", "is_current")
+
+
+@query(S.select(S.topics("tooltalk"), "SELECT session_id, topic_id, any_value(label) AS label FROM tturns GROUP BY session_id, topic_id"))
+def topic_labels(spark, sf_dir):
+    return G.topics(_topic_turns(spark, sf_dir, "tooltalk")).select("session_id", "topic_id", "label")
+
+
+@query(S.select(S.topics("conv10"), "SELECT session_id, topic_id, any_value(label) AS label, sum(total_tokens)::BIGINT AS total_tokens, count(*) AS turn_count, string_agg(turn_id, ',' ORDER BY seq) AS turn_ids, 'active' AS status FROM tturns GROUP BY session_id, topic_id"))
+def topic_totals(spark, sf_dir):
+    return G.topics(_topic_turns(spark, sf_dir, "conv10")).select("session_id", "topic_id", "label", "total_tokens", "turn_count", F.array_join("turn_ids", ",").alias("turn_ids"), "status")
+
+
+_ANSWERS = """CASE seq % 4 WHEN 0 THEN '{"isBoundary": true, "prevTopicLabel": "a", "nextTopicLabel": "b"}' WHEN 1 THEN 'Sure: {"isBoundary": false, "prevTopicLabel": "a", "nextTopicLabel": "a"} .' WHEN 2 THEN 'no idea' END"""
+
+
+@query(S.select(S.similarities("conv10"), "SELECT session_id, seq, CASE seq % 4 WHEN 0 THEN 'llm' ELSE 'embedding' END AS method, round(CASE seq % 4 WHEN 0 THEN greatest(0.9, 1 - similarity / 0.05) ELSE 1 - similarity / 0.05 END, 7) AS confidence, CASE seq % 4 WHEN 0 THEN 'b' END AS next_label FROM sims WHERE round(similarity, 12) < 0.05 AND seq % 4 <> 1"))
+def boundary_confirm(spark, sf_dir):
+    found = G.boundaries(Q.turns(M.conv10(spark, sf_dir)))
+    return G.confirm(found, found.select("session_id", "seq", F.expr(_ANSWERS).alias("response"))).select("session_id", "seq", "method", F.round("confidence", 7).alias("confidence"), "next_label")
+
+
+def _all_one(spark, sf_dir, binding="events30"):
+    return Q.turns(getattr(M, binding)(spark, sf_dir)).withColumn("topic_id", F.lit("all"))
+
+
+@query(S.select(S.subtopics("events30"), "SELECT session_id, topic_id, seq, score FROM scored WHERE seq > 0"))
+def subtopic_signals(spark, sf_dir):
+    return G.signals(_all_one(spark, sf_dir))
+
+
+@query(S.select(S.subtopics("events30"), "SELECT g.session_id, g.topic_id, 'subtopic-' || g.ord AS subtopic_id, CASE WHEN left(t.user_preview, 40) <> '' THEN left(t.user_preview, 40) WHEN t.n_turns <= 2 THEN 'conversation' ELSE 'Sub-topic ' || (g.ord + 1) END AS label, g.start AS first_seq, g.size::INTEGER AS turns, g.part = g.parts AS is_current FROM sub g JOIN turns t ON g.session_id = t.session_id AND g.start = t.seq"))
+def subtopics_heuristic(spark, sf_dir):
+    return G.subtopics(_all_one(spark, sf_dir)).select("session_id", "topic_id", "subtopic_id", "label", F.element_at("turn_sequences", 1).alias("first_seq"), F.size("turn_sequences").alias("turns"), "is_current")
+
+
+@query(S.select(S.turns("events30"), "SELECT session_id, 'chunk-' || (seq // 5) AS subtopic_id, 'Turns ' || min(seq) || '-' || max(seq) AS label, count(*)::INTEGER AS turns, (seq // 5 + 1) * 5 >= any_value(n_turns) AS is_current FROM turns GROUP BY session_id, seq // 5"))
+def time_chunks(spark, sf_dir):
+    return G.time_chunks(_all_one(spark, sf_dir)).select("session_id", "subtopic_id", "label", F.size("turn_sequences").alias("turns"), "is_current")
+
+
+_CLASS = """CASE seq % 5 WHEN 0 THEN concat('{"subtopic": "s', seq, '", "isNewSubtopic": true}') WHEN 3 THEN 'what?' ELSE concat('Answer {"subtopic": "t', seq, '", "isNewSubtopic": false}') END"""
+
+
+@query(S.select([*S.turns("conv10"), "c AS (SELECT *, seq % 5 = 0 AS opens FROM turns WHERE seq % 5 <> 3)"], "SELECT session_id, seq, 'all-sub-' || (sum(opens::INTEGER) OVER (PARTITION BY session_id ORDER BY seq) - 1)::BIGINT AS subtopic_id, 's' || (seq - seq % 5) AS subtopic_label FROM c"))
+def turn_classify_state(spark, sf_dir):
+    rows = _all_one(spark, sf_dir, "conv10")
+    return G.classified(rows, rows.select("session_id", "seq", F.expr(_CLASS).alias("response"))).select("session_id", "seq", "subtopic_id", "subtopic_label")
+
+
+# Flat contexts -------------------------------------------------------------------------------------------------------------
+
+_CTX = [f"m AS (SELECT conv_id::VARCHAR AS session_id, turn::INTEGER AS idx, role, text AS content, {S.tokens('text')} AS tokens, turn = 1 AND conv_id % 10 = 0 AS pinned FROM conversations)", "x AS (SELECT *, count(*) OVER s AS n, sum(tokens) OVER s AS total, floor(sum(tokens) OVER s / 2) AS target FROM m WINDOW s AS (PARTITION BY session_id))", "y AS (SELECT *, pinned OR role = 'system' OR idx >= n - 1 AS safe FROM x)"]
+
+
+def _half(m: DataFrame):
+    return F.floor(F.sum("token_count").over(Window.partitionBy("session_id")) / 2)
+
+
+def _pruned(spark, sf_dir, strategy):
+    m = M.context_messages(spark, sf_dir)
+    return P.prune(m, _half(m), strategy, CTX).select("session_id", "idx", "pruned")
+
+
+@query(S.select(_CTX, "SELECT session_id, idx, NOT safe AND total - coalesce(sum(CASE WHEN safe THEN 0 ELSE tokens END) OVER (PARTITION BY session_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) > target AS pruned FROM y"))
+def prune_fifo(spark, sf_dir):
+    return _pruned(spark, sf_dir, "fifo")
+
+
+@query(S.select([*_CTX, "z AS (SELECT *, CASE role WHEN 'system' THEN 100 WHEN 'user' THEN 30 WHEN 'assistant' THEN 20 WHEN 'tool' THEN 10 ELSE 15 END + idx / greatest(1, n - 1)::DOUBLE * 50 + CASE WHEN pinned THEN 1000 ELSE 0 END AS score FROM y)"], "SELECT session_id, idx, NOT safe AND coalesce(sum(CASE WHEN safe THEN 0 ELSE tokens END) OVER (PARTITION BY session_id ORDER BY score, idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) < total - target AS pruned FROM z"))
+def prune_importance(spark, sf_dir):
+    return _pruned(spark, sf_dir, "importance")
+
+
+@query(S.select([*_CTX, "k AS (SELECT *, pinned OR role = 'system' AS held FROM x)", "b AS (SELECT session_id, idx, tokens, row_number() OVER (PARTITION BY session_id ORDER BY idx DESC) AS r FROM k WHERE NOT held)", "s AS (SELECT session_id, 0::BIGINT AS r, -1 AS idx, false AS kept, (any_value(target) - coalesce(sum(tokens) FILTER (held), 0))::DOUBLE AS room FROM k GROUP BY session_id UNION ALL SELECT s.session_id, b.r, b.idx, s.room >= b.tokens, CASE WHEN s.room >= b.tokens THEN s.room - b.tokens ELSE s.room END FROM s JOIN b ON s.session_id = b.session_id AND b.r = s.r + 1)"], "SELECT k.session_id, k.idx, total > target AND NOT held AND NOT coalesce(kept, false) AS pruned FROM k LEFT JOIN s ON k.session_id = s.session_id AND k.idx = s.idx"))
+def prune_sliding_window(spark, sf_dir):
+    return _pruned(spark, sf_dir, "sliding-window")
+
+
+@query(S.select(_CTX, "SELECT session_id, role, count(*) AS messages, sum(tokens)::BIGINT AS tokens, count(*) FILTER (pinned) AS pinned FROM m GROUP BY session_id, role"))
+def context_stats(spark, sf_dir):
+    return P.stats(M.context_messages(spark, sf_dir))
+
+
+@query(S.select(_CTX, "SELECT session_id, count(*) AS messages, sum(tokens)::BIGINT AS tokens, round(sum(tokens) / 500.0::DOUBLE, 9) AS usage, sum(tokens) / 500.0::DOUBLE >= 0.8::DOUBLE AS near_limit, sum(tokens) > 500 AS over_limit FROM m GROUP BY session_id"))
+def context_window(spark, sf_dir):
+    return P.window(M.context_messages(spark, sf_dir), ContextConfig(max_tokens=500)).withColumn("usage", F.round("usage", 9))
+
+
+@query(S.select(_CTX, "SELECT session_id, idx, CASE WHEN idx = 2 THEN true WHEN idx = 1 THEN false ELSE pinned END AS pinned FROM m"))
+def context_pin(spark, sf_dir):
+    m = M.context_messages(spark, sf_dir)
+    marks = m.filter("idx in (1, 2)").select("session_id", "idx", (F.col("idx") == 2).alias("pin"))
+    return P.pin(m, marks).select("session_id", "idx", "pinned")
+
+
+_FIRST = S.trim("regexp_split_to_array(content, '[.!?。！？' || chr(10) || ']')[1]")
+
+
+@query(S.select([*_CTX, f"p AS (SELECT session_id, idx, tokens, CASE WHEN role IN ('user', 'assistant') AND length({_FIRST}) > 10 THEN '[' || role || '] ' || {_FIRST} END AS p FROM m)", "g AS (SELECT session_id, count(*) AS original_messages, sum(tokens)::BIGINT AS original_tokens, list(p ORDER BY idx) FILTER (p IS NOT NULL) AS l FROM p GROUP BY session_id)", "o AS (SELECT session_id, original_messages, original_tokens, CASE WHEN len(l) > 0 THEN 'Context summary (' || original_messages || ' messages):' || chr(10) || array_to_string(l[:20], chr(10)) ELSE 'Context summary: ' || original_messages || ' messages exchanged.' END AS content FROM g)"], f"SELECT *, {S.tokens('content')} AS tokens FROM o"))
+def local_summary(spark, sf_dir):
+    return P.local_summary(M.context_messages(spark, sf_dir))
+
+
+# Compaction and assembly ---------------------------------------------------------------------------------------------------
+
+_SUMMARY = "concat_ws(chr(10), 'User: ' || user_preview, CASE WHEN len(tools_used) > 0 THEN 'Tools: ' || array_to_string(tools_used, ', ') END, CASE WHEN assistant_preview <> '' THEN 'Assistant: ' || assistant_preview END, CASE WHEN has_error THEN '⚠️ This turn had tool errors' END, '(' || message_count || ' messages, lines ' || line_start || '-' || line_end || ')')"
+_BIG = f"big AS (SELECT session_id, turn_id, summary, {S.tokens('summary')} AS tokens, total_tokens AS original_tokens FROM (SELECT *, {_SUMMARY} AS summary, row_number() OVER (PARTITION BY session_id ORDER BY total_tokens DESC, seq) AS r FROM turns WHERE seq < n_turns - 5) WHERE r <= 3)"
+
+
+@query(S.select(S.turns("events30"), f"SELECT session_id, seq, {_SUMMARY} AS summary FROM turns"))
+def local_turn_summary(spark, sf_dir):
+    return Q.turns(M.events30(spark, sf_dir)).select("session_id", "seq", A.turn_summary().alias("summary"))
+
+
+@query(S.select([*S.turns("conv10"), _BIG], "SELECT session_id, turn_id, summary, tokens, original_tokens FROM big"))
+def compact_top_n(spark, sf_dir):
+    return A.compact(Q.turns(M.conv10(spark, sf_dir)), CONV10).drop("method")
+
+
+_MARKED_TURNS = "mt AS (SELECT *, seq >= n_turns - 5 AS recent, last_value(topic_id) OVER w AS cur, max(topic_ord) OVER w + 1 AS n_topics FROM tturns WINDOW w AS (PARTITION BY session_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))"
+_PLACED = "pm AS (SELECT *, row_number() OVER (PARTITION BY session_id, seq ORDER BY line) - 1 AS msg_idx FROM placed)"
+_CONTEXT = f"""ctx AS (
+SELECT m.session_id, 1 AS phase, m.seq AS ord, 0 AS sub_ord, 'user' AS role, '[Summary of turn #' || m.seq || ']: ' || b.summary AS content, b.tokens FROM mt m JOIN big b USING (session_id, turn_id) WHERE NOT recent AND (topic_id = cur OR n_topics <= 1)
+UNION ALL SELECT p.session_id, 1, p.seq, p.msg_idx::INTEGER, CASE p.raw_role WHEN 'toolResult' THEN 'tool' ELSE p.raw_role END, p.text, {S.tokens('p.text')} FROM pm p JOIN mt m USING (session_id, seq) LEFT JOIN big b ON b.session_id = m.session_id AND b.turn_id = m.turn_id WHERE NOT recent AND (topic_id = cur OR n_topics <= 1) AND b.turn_id IS NULL AND (p.raw_role IN ('user', 'toolResult') OR (p.raw_role = 'assistant' AND p.text <> ''))
+UNION ALL SELECT p.session_id, 2, p.seq, p.msg_idx::INTEGER, p.raw_role, p.text, {S.tokens('p.text')} FROM pm p JOIN mt m USING (session_id, seq) WHERE recent)"""
+_NO_SUMMARIES = "big AS (SELECT ''::VARCHAR AS session_id, ''::VARCHAR AS turn_id, ''::VARCHAR AS summary, 0::BIGINT AS tokens WHERE false)"
+
+
+@query(S.select([*S.topics("conv10"), _BIG, _MARKED_TURNS, _PLACED, _CONTEXT], "SELECT session_id, phase, ord, sub_ord, role, content, tokens FROM ctx"))
+def assemble_messages(spark, sf_dir):
+    t = _topic_turns(spark, sf_dir, "conv10")
+    return A.assemble(M.conv10(spark, sf_dir), t, CONV10, summaries=A.compact(t, CONV10)).drop("tool_name")
+
+
+@query(S.select([*S.topics("conv10"), _NO_SUMMARIES, _MARKED_TURNS, _PLACED, _CONTEXT], f"SELECT session_id, count(*) AS messages, sum(tokens)::BIGINT AS tokens, sum(tokens) > {CONV10.threshold} AS over FROM ctx GROUP BY session_id"))
+def assemble_token_count(spark, sf_dir):
+    return A.used_tokens(A.assemble(M.conv10(spark, sf_dir), _topic_turns(spark, sf_dir, "conv10"), CONV10), CONV10)
+
+
+_TRUNCATED = [
+    f"spent AS (SELECT session_id, sum(tokens) AS used FROM ctx GROUP BY session_id HAVING sum(tokens) > {TOOLTALK.threshold})",
+    "src AS (SELECT p.session_id, m.turn_id, m.seq, p.msg_idx, p.text FROM pm p JOIN mt m USING (session_id, seq) JOIN spent u USING (session_id) WHERE NOT recent AND p.raw_role = 'toolResult' AND length(p.text) > 1000)",
+    f"cut AS (SELECT *, {S.tokens('text')} - {S.tokens('truncated')} AS saved FROM ({S.truncate('text', 1000)}))",
+    "walk AS (SELECT m.session_id, m.seq, u.used - coalesce(sum(coalesce(s, 0)) OVER (PARTITION BY m.session_id ORDER BY m.seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest FROM mt m JOIN spent u USING (session_id) LEFT JOIN (SELECT session_id, seq, sum(saved) AS s FROM cut GROUP BY ALL) c ON c.session_id = m.session_id AND c.seq = m.seq WHERE NOT recent)",
+    "goes AS (SELECT *, min(rest) OVER (PARTITION BY session_id ORDER BY seq) AS least FROM walk)",
+]
+
+
+@query(S.select([*S.topics("tooltalk"), _NO_SUMMARIES, _MARKED_TURNS, _PLACED, _CONTEXT, *_TRUNCATED], f"SELECT c.session_id, c.turn_id, c.msg_idx::INTEGER AS msg_idx, c.truncated AS truncated_content, {S.tokens('c.truncated')} AS truncated_tokens, {S.tokens('c.text')} AS original_tokens, length(c.text)::INTEGER AS original_chars FROM cut c JOIN goes g USING (session_id, seq) WHERE g.least > {TOOLTALK.threshold}"))
+def precompaction_truncations(spark, sf_dir):
+    lines, t = M.tooltalk(spark, sf_dir), _topic_turns(spark, sf_dir, "tooltalk")
+    return A.truncations(lines, t, A.used_tokens(A.assemble(lines, t, TOOLTALK), TOOLTALK), TOOLTALK)
+
+
+_GROUPS = [
+    "grp AS (SELECT session_id, topic_id, any_value(label) AS label, any_value(cur) AS cur, count(*) AS turn_count, min(seq) AS first_seq, sum(total_tokens)::BIGINT AS original_tokens, list('  - User: ' || left(user_preview, 80) || ' → ' || left(assistant_preview, 60) ORDER BY seq) AS pts, list(turn_id ORDER BY seq) AS ids, list(tools_used ORDER BY seq) AS tl FROM mt WHERE NOT recent GROUP BY session_id, topic_id)",
+    "tls AS (SELECT session_id, topic_id, list(tool ORDER BY spot) AS tl FROM (SELECT session_id, topic_id, tool, min(spot) AS spot FROM (SELECT session_id, topic_id, unnest(flatten(tl)) AS tool, generate_subscripts(flatten(tl), 1) AS spot FROM grp) GROUP BY ALL) GROUP BY ALL)",
+    "sm AS (SELECT g.* EXCLUDE (tl), '## Topic: ' || label || ' (' || turn_count || ' turns)' || chr(10) || CASE WHEN len(t.tl) > 0 THEN chr(10) || 'Tools used: ' || array_to_string(t.tl, ', ') ELSE '' END || chr(10) || chr(10) || 'Key turns:' || chr(10) || array_to_string(pts[:8], chr(10)) || CASE WHEN turn_count > 8 THEN chr(10) || '  - ... and ' || (turn_count - 8) || ' more turns' ELSE '' END AS summary FROM grp g LEFT JOIN tls t USING (session_id, topic_id))",
+    f"el AS (SELECT *, {S.tokens('summary')} AS summary_tokens, topic_id <> cur AND turn_count >= 2 AS eligible, sum(original_tokens) OVER (PARTITION BY session_id) AS total FROM sm)",
+    "rest AS (SELECT *, total - coalesce(sum(CASE WHEN eligible THEN original_tokens - summary_tokens ELSE 0 END) OVER (PARTITION BY session_id ORDER BY first_seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest FROM el)",
+    "least AS (SELECT *, min(rest) OVER (PARTITION BY session_id ORDER BY first_seq) AS least FROM rest)",
+]
+
+
+def _topic_compaction(name: str, binding: str, config: EngineConfig):
+    @query(S.select([*S.topics(binding), _MARKED_TURNS, *_GROUPS], f"SELECT session_id, topic_id, label, summary, summary_tokens, turn_count, array_to_string(ids, ',') AS turn_ids, original_tokens FROM least WHERE eligible AND least > {config.topic_target}"))
+    def run(spark, sf_dir):
+        return A.compact_topics(_topic_turns(spark, sf_dir, binding), config).select("session_id", "topic_id", "label", "summary", "summary_tokens", "turn_count", F.array_join("turn_ids", ",").alias("turn_ids"), "original_tokens")
+
+    QUERIES[name], SQL[name] = QUERIES.pop("run"), SQL.pop("run")
+
+
+_topic_compaction("topic_compaction", "conv10", CONV10)
+_topic_compaction("topic_compaction_tools", "tooltalk", TOOLTALK)
