@@ -13,6 +13,7 @@ from turnlake.operators import topics as G
 from turnlake.operators import turns as Q
 from turnlake.plans import sql as S
 from turnlake.sources import messages as M
+from turnlake.stores import materialise
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -191,8 +192,9 @@ def topic_boundaries(spark, sf_dir):
 
 
 def _topic_turns(spark, sf_dir, binding):
-    t = Q.turns(getattr(M, binding)(spark, sf_dir))
-    return G.with_topics(t, G.segments(t))
+    """Turns with topics, written once, as the steps after them read them several times."""
+    t = materialise(Q.turns(getattr(M, binding)(spark, sf_dir)), "turns")
+    return materialise(G.with_topics(t, G.segments(t)), "topics")
 
 
 @query(S.select(S.topics("conv10"), "SELECT session_id, seq, topic_ord::INTEGER AS topic_ord, topic_id, label, is_current FROM tturns"))

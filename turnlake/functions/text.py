@@ -20,6 +20,11 @@ INTERNAL = r"^<<<BEGIN_[A-Z_]*INTERNAL_CONTEXT>>>[\s\S]*?<<<END_[A-Z_]*INTERNAL_
 _EDGE = r"(?U)^[\s\x{FEFF}]+|[\s\x{FEFF}]+$"
 
 
+def let(value: Column, body) -> Column:
+    """body of value, which is computed once, however often body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def trim(text: Column) -> Column:
     """Without white space at both ends, of any kind."""
     return F.regexp_replace(text, _EDGE, "")
@@ -85,18 +90,21 @@ def truncate(text: Column, most: int) -> Column:
     """Head and tail of a text of more than most characters, cut at line ends that are near, with notes on what is missing."""
     budget = max(200, most - NOTES)
     size = F.char_length(text)
-    tail_counts = important_tail(text)
-    head, tail = (F.when(tail_counts, int(budget * a)).otherwise(int(budget * b)) for a, b in ((0.6, 0.8), (0.3, 0.1)))
-    before = F.substring(text, F.lit(1), head + 1)
-    newline = F.when(F.instr(before, "\n") > 0, F.char_length(before) - F.instr(F.reverse(before), "\n")).otherwise(-1)
-    head_cut = F.when(newline > head * F.lit(0.8), newline).otherwise(head)
-    start = size - tail
-    after = F.locate("\n", F.substring(text, start + 1, size), 1)
-    tail_start = F.when((after > 0) & (after - 1 < tail * F.lit(0.2)), start + after).otherwise(start)
-    gone = tail_start - head_cut
-    note = F.concat(F.lit("\n\n⚠️ [... "), gone.cast("string"), F.lit(" chars / ~"), F.floor(gone / 4 + F.lit(0.5)).cast("string"), F.lit(" tokens omitted — showing head and tail ...]\n\n"))
-    cut = F.concat(F.substring(text, F.lit(1), head_cut), note, F.substring(text, tail_start + 1, size), F.lit(CUT_NOTE))
-    return F.when(size <= most, text).otherwise(cut)
+
+    def cut(s: Column) -> Column:
+        gone = s["start"] - s["head"]
+        note = F.concat(F.lit("\n\n⚠️ [... "), gone.cast("string"), F.lit(" chars / ~"), F.floor(gone / 4 + F.lit(0.5)).cast("string"), F.lit(" tokens omitted — showing head and tail ...]\n\n"))
+        return F.concat(F.substring(text, F.lit(1), s["head"]), note, F.substring(text, s["start"] + 1, size), F.lit(CUT_NOTE))
+
+    def ends(counts: Column) -> Column:
+        head, tail = (F.when(counts, int(budget * a)).otherwise(int(budget * b)) for a, b in ((0.6, 0.8), (0.3, 0.1)))
+        before, after = F.substring(text, F.lit(1), head + 1), F.right(text, tail)
+        lines = F.struct((head + 1 - F.instr(F.reverse(before), "\n")).alias("last"), F.instr(after, "\n").alias("first"), head.alias("h"), tail.alias("t"))
+        head_cut = lambda s: F.when((s["last"] <= s["h"]) & (s["last"] > s["h"] * F.lit(0.8)), s["last"]).otherwise(s["h"])
+        start = lambda s: size - s["t"] + F.when((s["first"] > 0) & (s["first"] - 1 < s["t"] * F.lit(0.2)), s["first"]).otherwise(0)
+        return let(lines, lambda s: F.struct(head_cut(s).alias("head"), start(s).alias("start")))
+
+    return F.when(size <= most, text).otherwise(let(let(important_tail(text), ends), cut))
 
 
 def truncate_by_tokens(text: Column, most: int) -> Column:
