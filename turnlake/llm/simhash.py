@@ -114,7 +114,8 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Of rows that repeat an id, one stays.
     """
     found = scratch(near_duplicates(docs, id_col, text_col, width, radius).select(id_col, "component_id"), "simhash-rows").filter(F.col(id_col).isNotNull())
-    gone = scratch(found.filter(F.col(id_col) != F.col("component_id")).select(id_col).distinct(), "simhash-gone")
+    own = found.groupBy(id_col).agg(F.bool_or(F.col(id_col) == F.col("component_id")).alias("own"))
+    gone = scratch(own.filter("not own").select(id_col), "simhash-gone")
     repeated = scratch(found.groupBy(id_col).count().filter("count > 1").select(id_col), "simhash-repeated")
     stay = join_small(docs, gone, id_col, "left_anti", 8)
     if repeated.isEmpty():

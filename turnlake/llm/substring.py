@@ -181,9 +181,14 @@ def _near_links(docs: DataFrame, units: DataFrame, id_col: str, text_col: str) -
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Runs of words that go: (id, start, end, n_words, component_id, kept_id), start and end in words of the whole text.
 
-    component_id is the cluster of the run's first paragraph, kept_id the document that keeps its copy (maybe the same one).
-    Null ids, null and empty texts take no part; rows that repeat an id and text are one text. An empty table gives no rows.
+    component_id is the cluster of the run's first paragraph, kept_id the least document that keeps a copy (maybe the same one).
+    Null ids, null and empty texts take no part; rows that repeat an id and text are one text; ids with several texts take no part, as
+    positions in them would be unclear. An empty table gives no rows.
     """
+    text_hash = F.xxhash64(F.col(text_col).cast("string"))
+    several = scratch(docs.groupBy(F.col(id_col)).agg(F.min(text_hash).alias("a"), F.max(text_hash).alias("b")).filter("a <> b").select(id_col), "several")
+    if not several.isEmpty():
+        docs = join_small(docs, several, id_col, "left_anti", 8)
     units = scratch(paragraphs(docs, id_col, text_col), "units")
     near = components(_near_links(docs, units, id_col, text_col))
     lines = units.filter("line").join(near.toDF("id", "component"), "id", "left").select("line", "doc", "start", "n", F.coalesce("component", "id").alias("id"), F.when(F.col("component").isNull(), F.col("chk")).otherwise(0).alias("chk"))
@@ -194,7 +199,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     order = Window.partitionBy("doc").orderBy("start", "n", "id")
     top = F.max(F.col("start") + F.col("n")).over(order.rowsBetween(Window.unboundedPreceding, -1))
     runs = gone.withColumn("new", F.when(F.col("start") <= top, 0).otherwise(1)).withColumn("run", F.sum("new").over(order))
-    merged = runs.groupBy("doc", "run").agg(F.min("start").alias("start"), F.max(F.col("start") + F.col("n")).alias("end"), F.min(F.struct("start", "id")).alias("lead"), F.min_by("first.doc", F.struct("start", "id")).alias("kept_id"))
+    merged = runs.groupBy("doc", "run").agg(F.min("start").alias("start"), F.max(F.col("start") + F.col("n")).alias("end"), F.min(F.struct("start", "id")).alias("lead"), F.min("first.doc").alias("kept_id"))
     merged = merged.withColumn("n_words", F.col("end") - F.col("start")).filter(F.col("n_words") >= MIN_WORDS)
     return merged.select(F.col("doc").alias(id_col), "start", "end", "n_words", F.col("lead.id").alias("component_id"), "kept_id")
 
