@@ -18,8 +18,8 @@ from turnlake.llm.common import Words, components, discard, join_small, mix, pre
 
 REACH, MIN_WORDS, SHINGLE, SIMILARITY = 6, 16, 5, 0.8
 BANDS, ROWS = 10, 3
-#: Predecessors in a bucket's order with which a line is compared if it isn't similar to the bucket's first.
-BEFORE = 3
+#: Lines drawn from each bucket, with which its others are compared: the first, and for lines not similar to it the rest.
+CENTRES = 4
 _U = np.uint64
 _SEEDS = np.random.default_rng(11).integers(1, 2**63, BANDS * ROWS, dtype=np.uint64)
 _STEP = _U(0xD6E8FEB86659FD93)
@@ -149,13 +149,14 @@ def line_shingles(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def _near_links(docs: DataFrame, units: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Verified links (u, v) between different lines.
 
-    In a bucket every line is compared with the first; those that aren't similar to it, with up to BEFORE predecessors. The
-    first is found by aggregation and joined back, so a bucket of any size spreads over tasks.
+    In a bucket every line is compared with a line drawn from it, and if it isn't similar to that, with CENTRES - 1 more; each band
+    draws others. Lines are drawn by aggregation and joined back, so a bucket of any size spreads over tasks.
     """
     distinct = scratch(units.filter("line").groupBy("id").agg(F.first("bands").alias("bands"), F.min(F.struct("doc", "start")).alias("at")), "lines")
     met = distinct.select("id", F.explode("bands").alias("band"))
-    first = met.groupBy("band").agg(F.min("id").alias("first"), F.count("*").alias("size")).filter("size > 1").drop("size")
-    stars = scratch(met.join(first, "band").filter("id <> first").select("band", "id", "first"), "stars")
+    drawn = [F.min(F.struct(F.xxhash64("id", "band", F.lit(k)).alias("h"), "id"))["id"].alias(f"c{k}") for k in range(CENTRES)]
+    centres = met.groupBy("band").agg(*drawn, F.count("*").alias("size")).filter("size > 1").drop("size")
+    stars = scratch(met.join(centres, "band").drop("band").distinct(), "stars")
 
     def verified(pairs: DataFrame) -> DataFrame:
         pairs = pairs.select("u", "v").distinct()
@@ -169,11 +170,10 @@ def _near_links(docs: DataFrame, units: DataFrame, id_col: str, text_col: str) -
         discard(sets)
         return out
 
-    near = verified(stars.select(F.col("id").alias("u"), F.col("first").alias("v")))
-    left = stars.join(near.toDF("id", "first"), ["id", "first"], "left_anti")
-    order = Window.partitionBy("band").orderBy("id")
-    more = left.select("band", "id", F.array(*[F.lag("id", k).over(order) for k in range(1, BEFORE + 1)]).alias("vs"))
-    more = scratch(more.select(F.col("id").alias("u"), F.explode("vs").alias("v")).filter("v is not null and v <> u").distinct(), "more")
+    near = verified(stars.filter("id <> c0").select(F.col("id").alias("u"), F.col("c0").alias("v")))
+    left = stars.filter("id <> c0").join(near.toDF("id", "c0"), ["id", "c0"], "left_anti")
+    more = left.select(F.col("id").alias("u"), F.explode(F.array(*[f"c{k}" for k in range(1, CENTRES)])).alias("v"))
+    more = scratch(more.filter("v <> u").distinct(), "more")
     discard(stars)
     return near if more.isEmpty() else near.union(verified(more))
 
