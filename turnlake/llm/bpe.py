@@ -19,10 +19,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from turnlake.llm.common import prepare
+from turnlake.llm.common import live, prepare
 
 #: Bounds of what a worker keeps: pieces with their tokens, transitions, pairs of tokens. What is full starts afresh.
-PIECES, PIECE_BYTES, TRANSITIONS, PAIRS = 500_000, 48, 700_000, 700_000
+PIECES, PIECE_BYTES, TRANSITIONS, PAIRS = 350_000, 48, 450_000, 450_000
 _NEVER = 1 << 62
 
 
@@ -296,14 +296,8 @@ class Codec:
         return "".join([decoder.feed(ids[i : i + chunk]) for i in range(0, len(ids), chunk)]) + decoder.close()
 
 
-_LIVE: dict[int, Codec] = {}
-
-
 def _live(ranks: bytes, pattern: str) -> Codec:
-    key = hash((ranks, pattern))
-    if key not in _LIVE:
-        _LIVE[key] = Codec(read_ranks(ranks), pattern)
-    return _LIVE[key]
+    return live(("bpe", hash((ranks, pattern))), lambda: Codec(read_ranks(ranks), pattern))
 
 
 def encode(docs: DataFrame, ranks: bytes, pattern: str, text_col: str = "text", out_col: str = "ids", decoded_col: str | None = None) -> DataFrame:

@@ -59,6 +59,22 @@ def join_small(df: DataFrame, side: DataFrame, on, how: str, row_bytes: int, lim
     return df.join(F.broadcast(side) if side.count() * row_bytes <= limit else side, on, how)
 
 
+_LIVE: dict = {}
+
+
+def live(key, make):
+    """What a worker process keeps between tasks, made on first use. It keeps one thing: another key, or release(), drops it."""
+    if key not in _LIVE:
+        _LIVE.clear()
+        _LIVE[key] = make()
+    return _LIVE[key]
+
+
+def release() -> None:
+    """Drop what an earlier operator left in this worker."""
+    _LIVE.clear()
+
+
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 _MUL = np.uint64(0x9E3779B97F4A7C15)

@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from turnlake.llm.common import Words, components, join_small, prepare, scratch, slices
+from turnlake.llm.common import Words, components, join_small, prepare, release, scratch, slices
 
 SEED = 42
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -70,6 +70,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches):
+        release()
         for batch in batches:
             for part in slices(batch, "text"):
                 found = np.array(_of_batch(Words(part.column("text"), fold=_FOLD), width), np.uint64)

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from turnlake.llm.common import Words, components, discard, join_small, mix, prepare, scratch, slices
+from turnlake.llm.common import Words, components, discard, join_small, mix, prepare, release, scratch, slices
 
 REACH, MIN_WORDS, SHINGLE, SIMILARITY = 6, 16, 5, 0.8
 BANDS, ROWS = 10, 3
@@ -98,6 +98,7 @@ def paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     source = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text")).filter("doc is not null and text is not null")
 
     def run(batches):
+        release()
         for batch in batches:
             for part in slices(batch, "text"):
                 words = Words(part.column("text"))
@@ -129,6 +130,7 @@ def line_shingles(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     source = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text")).filter("doc is not null and text is not null")
 
     def run(batches):
+        release()
         for batch in batches:
             for part in slices(batch, "text"):
                 words = Words(part.column("text"))
@@ -212,6 +214,7 @@ def remove(docs: DataFrame, runs: DataFrame, id_col: str = "doc_id", text_col: s
     at, names = docs.columns.index(text_col), docs.columns
 
     def run(batches):
+        release()
         for batch in batches:
             texts, cuts = batch.column(at).to_pylist(), batch.column("_cuts").to_pylist()
             stay = []

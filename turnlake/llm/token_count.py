@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from turnlake.llm.common import prepare
+from turnlake.llm.common import live, prepare
 
 #: Segments whose counts a worker keeps before it starts afresh; longer segments are counted each time.
 CACHED, CACHED_CHARS = 600_000, 48
@@ -127,9 +127,6 @@ class PieceCounter:
         return total
 
 
-_LIVE: dict[int, PieceCounter] = {}
-
-
 def count_tokens(docs: DataFrame, model: bytes, limit: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of docs: id, n_bytes (UTF-8), n_tokens, over_limit (n_tokens > limit).
 
@@ -141,9 +138,7 @@ def count_tokens(docs: DataFrame, model: bytes, limit: int = 4096, id_col: str =
     key = hash(model)
 
     def run(batches):
-        counter = _LIVE.get(key)
-        if counter is None:
-            counter = _LIVE[key] = PieceCounter(model)
+        counter = live(("pieces", key), lambda: PieceCounter(model))
         for batch in batches:
             texts = batch.column("text").to_pylist()
             n = [counter(t) for t in texts]

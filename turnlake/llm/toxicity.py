@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from turnlake.llm.common import Words, prepare, slices
+from turnlake.llm.common import Words, prepare, release, slices
 
 #: Most labelled rows that the lexicon and the classifier are fitted on; all other statistics cover all documents.
 SAMPLE = 20_000
@@ -181,6 +181,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         rows = text.filter("doc is not null").filter(drawn(text.count())).withColumn("y", F.lit(0)).limit(2 * sample)
 
     def count(batches):
+        release()
         total = np.zeros((2, 1 << BITS), np.int64)
         for batch in batches:
             for part in slices(batch, "text"):
@@ -207,6 +208,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     m = len(lexicon) + len(PATTERNS)
 
     def moments(batches):
+        release()
         both, seen = np.zeros((m, m), np.int64), 0
         for batch in batches:
             for part in slices(batch, "text"):
@@ -227,6 +229,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     known[features] = np.arange(len(features))
 
     def matrix(batches):
+        release()
         for batch in batches:
             for part in slices(batch, "text"):
                 reader = Reader(part.column("text"), lexicon)
@@ -253,6 +256,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     source = docs.select(F.col(id_col).alias("id"), held_out(F.col(id_col)).alias("held_out"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches):
+        release()
         for batch in batches:
             for part in slices(batch, "text"):
                 s = model.score(part.column("text"))
@@ -266,6 +270,7 @@ def reject(docs: DataFrame, model: Model, text_col: str = "text", at: float = 0.
     prepare(docs.sparkSession)
 
     def run(batches):
+        release()
         for batch in batches:
             for part in slices(batch, text_col):
                 yield part.filter(pa.array(model.score(part.column(text_col)) < at))
