@@ -11,15 +11,17 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from turnlake.llm.common import Words, components, discard, join_small, mix, prepare, release, scratch, slices
+from turnlake.llm.common import BROADCAST_BYTES, Words, components, discard, join_small, mix, prepare, release, scratch, slices
 
 REACH, MIN_WORDS, SHINGLE, SIMILARITY = 6, 16, 5, 0.8
 BANDS, ROWS = 10, 3
-#: Lines drawn from each bucket, with which its others are compared: the first, and for lines not similar to it the rest.
+#: Lines drawn from each bucket, with which its others are compared: the first, and then the rest, as far as components differ.
 CENTRES = 4
+#: Longs of a line's bitmap, which has a bit for the hash of every shingle.
+BITMAP = 4
 _U = np.uint64
 _SEEDS = np.random.default_rng(11).integers(1, 2**63, BANDS * ROWS, dtype=np.uint64)
 _STEP = _U(0xD6E8FEB86659FD93)
@@ -81,19 +83,23 @@ def _shingles(h: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.n
     return rolled[np.repeat(starts - begin[:-1], n) + np.arange(begin[-1])], begin
 
 
-def _bands(h: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def _bands(h: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the bands and the bitmap of each line."""
     values, begin = _shingles(h, starts, ends)
+    place = values & _U(64 * BITMAP - 1)
+    bit, word = _U(1) << (place & _U(63)), place >> _U(6)
+    bits = np.column_stack([np.bitwise_or.reduceat(np.where(word == _U(w), bit, _U(0)), begin[:-1]) for w in range(BITMAP)])
     out = np.empty((len(starts), BANDS), np.uint64)
     for b in range(BANDS):
         key = np.full(len(starts), _U(b + 1))
         for seed in _SEEDS[b * ROWS : (b + 1) * ROWS]:
             key = key * _STEP + np.minimum.reduceat(mix(values ^ seed), begin[:-1])
         out[:, b] = mix(key)
-    return out.view(np.int64)
+    return out.view(np.int64), bits.view(np.int64)
 
 
 def paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Paragraphs of whole texts: (line, doc, start, n, id, chk, bands); start and n count words, bands only for lines."""
+    """Paragraphs of whole texts: (line, doc, start, n, id, chk, bands, bits); start and n count words, bands and bits only for lines."""
     prepare(docs.sparkSession)
     source = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text")).filter("doc is not null and text is not null")
 
@@ -117,67 +123,104 @@ def paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                     doc = np.searchsorted(words.first, starts, "right") - 1
                     ids, chk = _spans(h, starts, ends)
                     if line:
-                        bands = pa.ListArray.from_arrays(pa.array(np.arange(len(starts) + 1, dtype=np.int32) * BANDS), pa.array(_bands(h, starts, ends).ravel()))
+                        bands, bits = (pa.ListArray.from_arrays(pa.array(np.arange(len(starts) + 1, dtype=np.int32) * x.shape[1]), pa.array(np.ascontiguousarray(x).ravel())) for x in _bands(h, starts, ends))
                     else:
-                        bands = pa.nulls(len(starts), pa.list_(pa.int64()))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(starts), line)), pa.array(doc_ids[doc]), pa.array((starts - words.first[doc]).astype(np.int32)), pa.array((ends - starts).astype(np.int32)), pa.array(ids), pa.array(chk), bands], names=["line", "doc", "start", "n", "id", "chk", "bands"])
+                        bands = bits = pa.nulls(len(starts), pa.list_(pa.int64()))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(starts), line)), pa.array(doc_ids[doc]), pa.array((starts - words.first[doc]).astype(np.int32)), pa.array((ends - starts).astype(np.int32)), pa.array(ids), pa.array(chk), bands, bits], names=["line", "doc", "start", "n", "id", "chk", "bands", "bits"])
 
-    return source.mapInArrow(run, "line boolean, doc bigint, start int, n int, id bigint, chk int, bands array<bigint>")
+    return source.mapInArrow(run, "line boolean, doc bigint, start int, n int, id bigint, chk int, bands array<bigint>, bits array<bigint>")
 
 
-def line_shingles(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc, start, shingles): the distinct shingle hashes of every line of MIN_WORDS words or more."""
-    source = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text")).filter("doc is not null and text is not null")
+def line_shingles(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, s): the distinct shingle hashes of the lines wanted (id, doc, start); ids of docs are unique."""
+    of_doc = scratch(wanted.groupBy("doc").agg(F.collect_list("start").alias("starts"), F.collect_list("id").alias("ids"), F.count("*").alias("n")), "wanted")
+    size = of_doc.agg(F.sum(F.col("n") * 12 + 48)).first()[0] or 0
+    of_doc = of_doc.drop("n")
+    source = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
+    joined = source.join(F.broadcast(of_doc) if size <= BROADCAST_BYTES else of_doc, "doc").select("text", "starts", "ids")
 
     def run(batches):
         release()
         for batch in batches:
             for part in slices(batch, "text"):
                 words = Words(part.column("text"))
-                edges = _lines(words) if len(words.starts) else np.zeros(1, int)
-                starts, ends = edges[:-1], edges[1:]
-                long = ends - starts >= MIN_WORDS
-                starts, ends = starts[long], ends[long]
-                if not len(starts):
-                    continue
+                edges = _lines(words)
+                lists = part.column("starts").combine_chunks() if isinstance(part.column("starts"), pa.ChunkedArray) else part.column("starts")
+                counts = lists.value_lengths().to_numpy()
+                starts = lists.flatten().to_numpy() + np.repeat(words.first[:-1], counts)
+                ends = edges[np.searchsorted(edges, starts, "right")]
                 values, begin = _shingles(words.hashes(), starts, ends)
-                doc = np.searchsorted(words.first, starts, "right") - 1
-                lists = pa.ListArray.from_arrays(pa.array(begin.astype(np.int32)), pa.array(values.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([pa.array(part.column("doc").to_numpy()[doc]), pa.array((starts - words.first[doc]).astype(np.int32)), lists], names=["doc", "start", "shingles"])
+                sets = pa.ListArray.from_arrays(pa.array(begin.astype(np.int32)), pa.array(values.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([part.column("ids").flatten(), sets], names=["id", "s"])
 
-    return source.mapInArrow(run, "doc bigint, start int, shingles array<bigint>")
+    return joined.mapInArrow(run, "id bigint, s array<bigint>").select("id", F.array_distinct("s").alias("s"))
 
 
 def _near_links(docs: DataFrame, units: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Verified links (u, v) between different lines.
+    """Verified links (u, v) between different lines that span all components of lines that meet in a bucket and are similar.
 
-    In a bucket every line is compared with a line drawn from it, and if it isn't similar to that, with CENTRES - 1 more; each band
-    draws others. Lines are drawn by aggregation and joined back, so a bucket of any size spreads over tasks.
+    In a bucket every line is compared with a line drawn from it; lines that this leaves in another component than some of CENTRES - 1
+    more drawn lines are compared with these. What is then in different components of one bucket is compared pair by pair, but for
+    pairs whose bitmaps show that they can't be similar. Lines are drawn by aggregation and joined back, so a bucket of any size
+    spreads over tasks.
     """
-    distinct = scratch(units.filter("line").groupBy("id").agg(F.first("bands").alias("bands"), F.min(F.struct("doc", "start")).alias("at")), "lines")
+    distinct = scratch(units.filter("line").groupBy("id").agg(F.first("bands").alias("bands"), F.first("bits").alias("bits"), F.max("n").alias("n"), F.min(F.struct("doc", "start")).alias("at")), "lines")
     met = distinct.select("id", F.explode("bands").alias("band"))
     drawn = [F.min(F.struct(F.xxhash64("id", "band", F.lit(k)).alias("h"), "id"))["id"].alias(f"c{k}") for k in range(CENTRES)]
     centres = met.groupBy("band").agg(*drawn, F.count("*").alias("size")).filter("size > 1").drop("size")
-    stars = scratch(met.join(centres, "band").drop("band").distinct(), "stars")
+    stars = scratch(met.join(centres, "band"), "stars")
+    wanted = stars.select("id").distinct().join(distinct.select("id", "at.doc", "at.start"), "id")
+    sets = scratch(line_shingles(docs, wanted, id_col, text_col), "sets")
+    marks = scratch(distinct.select("id", "bits", "n").join(stars.select("id").distinct(), "id", "left_semi"), "marks")
+    discard(distinct)
+    common = F.size(F.array_intersect("s", "t"))
+    similar = common >= SIMILARITY * (F.size("s") + F.size("t") - common)
 
     def verified(pairs: DataFrame) -> DataFrame:
-        pairs = pairs.select("u", "v").distinct()
-        need = pairs.select(F.col("u").alias("id")).union(pairs.select("v")).distinct().join(distinct.select("id", "at.doc", "at.start"), "id")
-        need = scratch(need, "needed")
-        sets = scratch(join_small(line_shingles(docs, id_col, text_col), need, ["doc", "start"], "inner", 32).select("id", F.array_distinct("shingles").alias("s")).dropDuplicates(["id"]), "sets")
-        both = pairs.join(sets.toDF("u", "s"), "u").join(sets.toDF("v", "t"), "v")
-        common = F.size(F.array_intersect("s", "t"))
-        out = scratch(both.filter(common >= SIMILARITY * (F.size("s") + F.size("t") - common)).select("u", "v"), "near")
-        discard(need)
-        discard(sets)
-        return out
-
-    near = verified(stars.filter("id <> c0").select(F.col("id").alias("u"), F.col("c0").alias("v")))
-    left = stars.filter("id <> c0").join(near.toDF("id", "c0"), ["id", "c0"], "left_anti")
-    more = left.select(F.col("id").alias("u"), F.explode(F.array(*[f"c{k}" for k in range(1, CENTRES)])).alias("v"))
-    more = scratch(more.filter("v <> u").distinct(), "more")
-    discard(stars)
-    return near if more.isEmpty() else near.union(verified(more))
+        return scratch(pairs.distinct().join(sets.toDF("u", "s"), "u").join(sets.toDF("v", "t"), "v").filter(similar).select("u", "v"), "near")
+
+    def placed(near: DataFrame, columns: list[str]) -> DataFrame:
+        """Rows of the buckets whose lines lie in several components, with these as of, and of_ck for the k-th centre."""
+        parts = scratch(components(near).toDF("id", "of"), "placed")
+        rows = stars.select("band", "id", *columns)
+        for name in ("id", *columns):
+            own = parts.toDF(name, "found")
+            rows = rows.join(own, name, "left").withColumn("of" if name == "id" else f"of_{name}", F.coalesce("found", name)).drop("found")
+        several = rows.groupBy("band").agg(F.min("of").alias("a"), F.max("of").alias("b")).filter("a <> b").select("band")
+        return rows.join(several, "band")
+
+    def possible(pairs: DataFrame) -> DataFrame:
+        """Pairs (u, v) whose bitmaps and sizes allow the similarity."""
+        sides = [marks.select(F.col("id").alias(x), F.col("bits").alias(f"bits_{x}"), F.col("n").alias(f"n_{x}")) for x in "uv"]
+        return pairs.distinct().join(sides[0], "u").join(sides[1], "v").filter(_may_be_similar("bits_u", "n_u", "bits_v", "n_v")).select("u", "v")
+
+    near = verified(possible(stars.filter("id <> c0").select(F.col("id").alias("u"), F.col("c0").alias("v"))))
+    others = [f"c{k}" for k in range(1, CENTRES)]
+    rows = scratch(placed(near, others), "open")
+    if rows.isEmpty():
+        return near
+    more = rows.select(F.col("id").alias("u"), "of", F.explode(F.array(*[F.struct(F.col(c).alias("v"), F.col(f"of_{c}").alias("of_v")) for c in others])).alias("x")).filter("of <> x.of_v")
+    more = scratch(possible(more.select("u", "x.v")), "more")
+    if not more.isEmpty():
+        near = scratch(near.union(verified(more)), "near")
+    rest = scratch(placed(near, []).join(marks, "id"), "rest")
+    a, b = (rest.select("band", *[F.col(c).alias(f"{c}_{x}") for c in ("id", "of", "bits", "n")]) for x in "uv")
+    met_again = (F.col("id_u") < F.col("id_v")) & (F.col("of_u") != F.col("of_v")) & _may_be_similar("bits_u", "n_u", "bits_v", "n_v")
+    rest = scratch(a.join(b.withColumnRenamed("band", "band_v"), (F.col("band") == F.col("band_v")) & met_again).select(F.col("id_u").alias("u"), F.col("id_v").alias("v")).distinct(), "rest")
+    out = near if rest.isEmpty() else near.union(verified(rest))
+    for done in (stars, marks):
+        discard(done)
+    return out
+
+
+def _may_be_similar(bits_a: str, n_a: str, bits_b: str, n_b: str) -> Column:
+    """False only for lines that can't reach SIMILARITY: sets of a and b shingles that do differ in at most (a + b) / 9 of them.
+
+    Every differing bit of the bitmaps is a shingle that only one has; n - 4 is the number of shingles or more.
+    """
+    most = (F.greatest(F.col(n_a) - SHINGLE + 1, F.lit(1)) + F.greatest(F.col(n_b) - SHINGLE + 1, F.lit(1))) * ((1 - SIMILARITY) / (1 + SIMILARITY)) + 1e-6
+    bits = sum((F.bit_count(F.get(bits_a, F.lit(i)).bitwiseXOR(F.get(bits_b, F.lit(i)))) for i in range(1, BITMAP)), F.bit_count(F.get(bits_a, F.lit(0)).bitwiseXOR(F.get(bits_b, F.lit(0)))))
+    return bits <= most
 
 
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -187,12 +230,14 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     Null ids, null and empty texts take no part; rows that repeat an id and text are one text; ids with several texts take no part, as
     positions in them would be unclear. An empty table gives no rows.
     """
-    text_hash = F.xxhash64(F.col(text_col).cast("string"))
-    several = scratch(docs.groupBy(F.col(id_col)).agg(F.min(text_hash).alias("a"), F.max(text_hash).alias("b")).filter("a <> b").select(id_col), "several")
+    docs = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text")).filter("doc is not null and text is not null")
+    text_hash = F.xxhash64("text")
+    several = scratch(docs.groupBy("doc").agg(F.min(text_hash).alias("a"), F.max(text_hash).alias("b"), F.count("*").alias("n")).filter("n > 1").select("doc", (F.col("a") == F.col("b")).alias("same")), "several")
     if not several.isEmpty():
-        docs = join_small(docs, several, id_col, "left_anti", 8)
-    units = scratch(paragraphs(docs, id_col, text_col), "units")
-    near = components(_near_links(docs, units, id_col, text_col))
+        once = join_small(docs, several.filter("same").select("doc"), "doc", "left_semi", 8).dropDuplicates(["doc"])
+        docs = join_small(docs, several.select("doc"), "doc", "left_anti", 8).union(once)
+    units = scratch(paragraphs(docs, "doc", "text"), "units")
+    near = components(_near_links(docs, units, "doc", "text"))
     lines = units.filter("line").join(near.toDF("id", "component"), "id", "left").select("line", "doc", "start", "n", F.coalesce("component", "id").alias("id"), F.when(F.col("component").isNull(), F.col("chk")).otherwise(0).alias("chk"))
     all_units = lines.union(units.filter("not line").select(*lines.columns))
     key = ["line", "id", "chk"]
