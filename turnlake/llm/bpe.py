@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from turnlake.llm.common import live, prepare
 
 #: Bounds of what a worker keeps: pieces with their tokens, transitions, pairs of tokens. What is full starts afresh.
-PIECES, PIECE_BYTES, TRANSITIONS, PAIRS = 350_000, 48, 450_000, 450_000
+PIECES, PIECE_BYTES, TRANSITIONS, PAIRS = 150_000, 48, 250_000, 250_000
 _NEVER = 1 << 62
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
@@ -23,7 +25,7 @@ def prepare(spark: SparkSession) -> None:
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH", "")) if x)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -65,14 +67,24 @@ _LIVE: dict = {}
 def live(key, make):
     """What a worker process keeps between tasks, made on first use. It keeps one thing: another key, or release(), drops it."""
     if key not in _LIVE:
-        _LIVE.clear()
+        release()
         _LIVE[key] = make()
     return _LIVE[key]
 
 
 def release() -> None:
-    """Drop what an earlier operator left in this worker."""
+    """Drop what an earlier operator left in this worker, and give memory that is free back to the system."""
     _LIVE.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if _TRIM:
+        _TRIM(0)
+
+
+try:
+    _TRIM = ctypes.CDLL(None).malloc_trim  # glibc
+except (AttributeError, OSError):
+    _TRIM = None
 
 
 SPACE = np.zeros(256, bool)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from turnlake.llm.common import live, prepare
 
 #: Segments whose counts a worker keeps before it starts afresh; longer segments are counted each time.
-CACHED, CACHED_CHARS = 600_000, 48
+CACHED, CACHED_CHARS = 300_000, 48
 BLANK = "▁"
 
 
