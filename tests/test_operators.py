@@ -160,6 +160,13 @@ def test_store(spark, tmp_path):
     s.save("summaries", spark.createDataFrame([("s", "t", "one", 1, 2, "local"), ("s", "u", "x", 1, 2, "local")], schema))
     s.save("summaries", spark.createDataFrame([("s", "t", "two", 1, 2, "local")], schema))
     assert {(r.turn_id, r.summary) for r in s.load("summaries").collect()} == {("t", "two"), ("u", "x")}
+    turns = spark.createDataFrame([("s", 0), ("s", 1), ("t", 0)], "session_id string, seq int")
+    s.replace_sessions("turns", turns)
+    s.replace_sessions("turns", turns.filter("session_id = 's'").filter("seq = 0"))
+    for _ in range(2):
+        assert sorted(map(tuple, s.sessions("turns").collect())) == [("s", 0), ("t", 0)]
+        s.vacuum("turns")
+    assert [tuple(r) for r in s.sessions("turns", turns.filter("session_id = 't'")).collect()] == [("t", 0)]
     assert index_path("a/b.jsonl") == "a/b.index" and index_path("a/b") == "a/b.index"
 
 

@@ -5,15 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from turnlake import stores
 from turnlake.config import ContextConfig, EngineConfig
 from turnlake.functions import text as T
 from turnlake.operators import assemble as A
 from turnlake.operators import prune as P
 from turnlake.operators import topics as G
 from turnlake.operators import turns as Q
+from turnlake.operators.summarize import subtopics_by_model
 from turnlake.plans import sql as S
+from turnlake.sources import jsonl
 from turnlake.sources import messages as M
 from turnlake.stores import materialise
+from turnlake.streaming import ingest
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -374,3 +378,148 @@ def _topic_compaction(name: str, binding: str, config: EngineConfig):
 
 _topic_compaction("topic_compaction", "conv10", CONV10)
 _topic_compaction("topic_compaction_tools", "tooltalk", TOOLTALK)
+
+
+# Messages as JSON lines ------------------------------------------------------------------------------------------------------
+
+def json_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(session_id, line, raw): conversations written as session files, with a blank and a malformed line in each."""
+    c = conversations(spark, sf_dir)
+    part = F.to_json(F.struct(F.lit("text").alias("type"), "text"))
+    call = F.lit(', {"type": "toolCall", "name": "read", "arguments": {"path": "abcd"}}')
+    content = F.when(F.col("role") == "assistant", F.concat(F.lit("["), part, call, F.lit("]"))).otherwise(F.concat(F.lit("["), part, F.lit("]")))
+    usage = F.when((F.col("role") == "assistant") & (F.col("turn") % 2 == 0), F.lit(', "usage": {"output": 7}')).otherwise(F.lit(""))
+    message = F.concat(F.lit('{"type": "message", "id": "c'), "conv_id", F.lit("-t"), "turn", F.lit('", "timestamp": "2026-01-01T00:00:00Z", "message": {"role": "'), "role", F.lit('", "content": '), content, usage, F.lit("}}"))
+    head = F.concat(F.lit('{"type": "session", "id": "s'), "conv_id", F.lit('", "version": 3, "cwd": "/home", "timestamp": "2026-01-01T00:00:00Z"}'))
+    model = F.concat(F.lit('{"type": "model_change", "provider": "p", "modelId": "m'), F.col("conv_id") % 3, F.lit('"}'))
+    heads = c.filter("turn = 0").select(F.col("conv_id").cast("string").alias("session_id"), F.posexplode(F.array(head, model, F.lit("  "), F.lit("{bad"), F.lit("null"))).alias("k", "raw")).select("session_id", (F.col("k") + 1).alias("line"), "raw")
+    return heads.union(c.select(F.col("conv_id").cast("string").alias("session_id"), (F.col("turn") + 6).cast("int").alias("line"), message.alias("raw")))
+
+
+@query(f"SELECT conv_id::VARCHAR AS session_id, (turn + 6)::INTEGER AS line, 'c' || conv_id || '-t' || turn AS entry_id, role AS raw_role, CASE WHEN role = 'assistant' THEN role ELSE 'user' END AS role, text, CASE WHEN role = 'assistant' THEN CASE WHEN turn % 2 = 0 THEN 7 ELSE {S.tokens('text')} + 4 END ELSE {S.tokens('text')} END::BIGINT AS tokens, CASE WHEN role <> 'assistant' THEN left({S.strip('text')}, 200) END AS user_text, CASE WHEN role = 'assistant' THEN left(text, 200) END AS assistant_text, CASE WHEN role = 'assistant' THEN 'read' END AS tools FROM conversations")
+def parse_json_lines(spark, sf_dir):
+    rows = jsonl.parse_lines(json_lines(spark, sf_dir)).filter("type = 'message'")
+    return rows.select("session_id", "line", "entry_id", "raw_role", "role", "text", "tokens", "user_text", "assistant_text", F.when(F.col("tool_calls").isNotNull(), F.array_join("tool_calls", ",")).alias("tools"))
+
+
+@query("SELECT conv_id::VARCHAR AS session_id, 's' || conv_id AS meta_session_id, 3.0::DOUBLE AS session_version, '/home' AS cwd, 'p' AS provider, 'm' || (conv_id % 3) AS model_id FROM conversations WHERE turn = 0")
+def session_meta(spark, sf_dir):
+    return Q.session_meta(jsonl.parse_lines(json_lines(spark, sf_dir)))
+
+
+@query("SELECT conv_id::VARCHAR AS session_id, (turn + 6)::INTEGER AS line FROM conversations WHERE turn + 6 BETWEEN 7 AND 9")
+def raw_line_range(spark, sf_dir):
+    return json_lines(spark, sf_dir).filter(F.col("line").between(7, 9)).select("session_id", "line")
+
+
+@query("SELECT doc_id, CASE WHEN n_chars * 500 >= 1000000 THEN (floor(n_chars * 500 * 10.0::DOUBLE / 1000000 + 0.5) / 10)::DECIMAL(20, 1)::VARCHAR || 'M' WHEN n_chars * 500 >= 1000 THEN (floor(n_chars * 500 * 10.0::DOUBLE / 1000 + 0.5) / 10)::DECIMAL(20, 1)::VARCHAR || 'K' ELSE (n_chars * 500)::VARCHAR END AS shown FROM documents")
+def token_count_text(spark, sf_dir):
+    return docs(spark, sf_dir).select("doc_id", T.token_count_text(F.col("n_chars") * 500).alias("shown"))
+
+
+_CUT = "CASE WHEN length(text) <= 800 THEN text ELSE left(text, 480) || chr(10) || chr(10) || '... [' || (length(text) - 720) || ' chars omitted, ~' || floor((length(text) - 720) / 4.0 + 0.5)::BIGINT || ' tokens] ...' || chr(10) || chr(10) || right(text, 240) END"
+
+
+@query(f"SELECT conv_id, turn, CASE WHEN role = 'user' THEN {S.strip('text', True)} WHEN role = 'assistant' OR {S.tokens('text')} <= 200 THEN text ELSE {_CUT} END AS content FROM conversations")
+def trim_messages(spark, sf_dir):
+    return conversations(spark, sf_dir).select("conv_id", "turn", T.trim_message(F.col("role"), F.col("text"), 200).alias("content"))
+
+
+# More questions to the index -------------------------------------------------------------------------------------------------
+
+
+@query(S.select(S.turns("conv10"), "SELECT sum(message_count)::BIGINT AS messages FROM turns"))
+def bootstrap_messages(spark, sf_dir):
+    return Q.turns(M.conv10(spark, sf_dir)).agg(F.sum("message_count").alias("messages"))
+
+
+@query(S.select(S.topics("conv10"), "SELECT session_id, topic_id, seq, turn_id FROM tturns WHERE is_current"))
+def current_topic_turns(spark, sf_dir):
+    return _topic_turns(spark, sf_dir, "conv10").filter("is_current").select("session_id", "topic_id", "seq", "turn_id")
+
+
+@query(S.select(S.topics("conv10"), "SELECT session_id, topic_id, label, turn_count, string_agg(turn_id, ',' ORDER BY seq) AS first_turns FROM (SELECT *, count(*) OVER (PARTITION BY session_id, topic_id) AS turn_count, row_number() OVER (PARTITION BY session_id, topic_id ORDER BY seq) AS r FROM tturns) WHERE r <= 5 GROUP BY ALL"))
+def topic_report(spark, sf_dir):
+    rows = G.topics(_topic_turns(spark, sf_dir, "conv10"))
+    return rows.select("session_id", "topic_id", "label", "turn_count", F.array_join(F.slice("turn_ids", 1, 5), ",").alias("first_turns"))
+
+
+@query(S.select(S.turns("tooltalk"), "SELECT session_id, turn_id, line, raw_role, left(text, 300) AS text FROM placed JOIN (SELECT session_id, seq, turn_id FROM turns WHERE seq = 3) USING (session_id, seq)"))
+def recover_turn_messages(spark, sf_dir):
+    lines = M.tooltalk(spark, sf_dir)
+    rows = Q.recover(lines, Q.lookup(Q.turns(lines), seq=3).select("session_id", "seq", "turn_id", "line_start", "line_end"))
+    return rows.filter("role is not null").select("session_id", "turn_id", "line", "raw_role", F.substring("text", 1, 300).alias("text"))
+
+
+@query(S.select([*S.topics("conv10"), _MARKED_TURNS], "SELECT session_id, seq, topic_id, total_tokens, CASE WHEN recent THEN 'kept' WHEN topic_id = cur OR n_topics <= 1 THEN 'older' ELSE 'dropped' END AS zone FROM mt"))
+def assemble_preview(spark, sf_dir):
+    rows = A.relevant(_topic_turns(spark, sf_dir, "conv10"), CONV10)
+    return rows.select("session_id", "seq", "topic_id", "total_tokens", F.when(F.col("recent"), "kept").when(F.col("relevant"), "older").otherwise("dropped").alias("zone"))
+
+
+@query(S.select([*S.turns("conv10"), _BIG], "SELECT session_id, count(*) AS compacted, sum(original_tokens - tokens)::BIGINT AS tokens_saved, 0::BIGINT AS cache_hits FROM big GROUP BY session_id"))
+def compaction_report(spark, sf_dir):
+    rows = Q.turns(M.conv10(spark, sf_dir))
+    return A.compaction_report(rows, None, A.compact(rows, CONV10), CONV10).withColumn("cache_hits", F.col("cache_hits").cast("long"))
+
+
+@query(S.select([*S.topics("tooltalk"), _NO_SUMMARIES, _MARKED_TURNS, _PLACED, _CONTEXT, *_TRUNCATED], f"SELECT c.session_id, count(*) AS entries, count(DISTINCT c.turn_id) AS turns, sum(saved)::BIGINT AS tokens_saved FROM cut c JOIN goes g USING (session_id, seq) WHERE g.least > {TOOLTALK.threshold} GROUP BY c.session_id"))
+def tool_result_stats(spark, sf_dir):
+    return stores.tool_result_stats(precompaction_truncations(spark, sf_dir))
+
+
+@query(S.select([*S.topics("conv10"), _MARKED_TURNS, *_GROUPS], f"SELECT session_id, count(*) AS entries, sum(turn_count)::BIGINT AS turns, sum(original_tokens - summary_tokens)::BIGINT AS tokens_saved FROM least WHERE eligible AND least > {CONV10.topic_target} GROUP BY session_id"))
+def topic_compaction_stats(spark, sf_dir):
+    return stores.topic_compaction_stats(A.compact_topics(_topic_turns(spark, sf_dir, "conv10"), CONV10))
+
+
+@query(S.select(S.subtopics("events30"), "SELECT g.session_id, g.topic_id, 'subtopic-' || g.ord AS subtopic_id, g.start AS first_seq, g.size::INTEGER AS turns FROM sub g WHERE g.part = g.parts AND g.parts > 1"))
+def current_subtopic(spark, sf_dir):
+    return G.current_subtopic(G.subtopics(_all_one(spark, sf_dir))).select("session_id", "topic_id", "subtopic_id", F.element_at("turn_sequences", 1).alias("first_seq"), F.size("turn_sequences").alias("turns"))
+
+
+_PARTS = """CASE WHEN n_turns % 3 = 0 THEN 'none' ELSE concat('```json\\n[{"label": "all", "turns": [', list_, ']}]\\n```') END"""
+
+
+@query(S.select(S.turns("conv10"), "SELECT session_id, 'subtopic-0' AS subtopic_id, 'all' AS label, count(*)::INTEGER AS turns, 'llm' AS method FROM turns WHERE n_turns % 3 <> 0 AND n_turns > 2 GROUP BY session_id"))
+def subtopics_by_answers(spark, sf_dir):
+    rows = _all_one(spark, sf_dir, "conv10")
+    asked = rows.groupBy("session_id", "topic_id").agg(F.count("*").alias("n_turns"), F.array_join(F.sort_array(F.collect_list("seq")), ", ").alias("list_")).filter("n_turns > 2")
+    return subtopics_by_model(rows, asked.withColumn("response", F.expr(_PARTS)), G.subtopics(rows)).filter("method = 'llm'").select("session_id", "subtopic_id", "label", F.size("turn_sequences").alias("turns"), "method")
+
+
+# More of flat contexts -------------------------------------------------------------------------------------------------------
+
+
+@query(S.select([*_CTX, "e AS (SELECT session_id, max(idx) + 1 AS n FROM m GROUP BY session_id)"], "SELECT session_id, idx, content, tokens AS token_count FROM m UNION ALL SELECT m.session_id, (e.n + row_number() OVER (PARTITION BY m.session_id ORDER BY idx) - 1)::INTEGER, content, tokens FROM m JOIN e USING (session_id) WHERE idx < 2"))
+def context_add(spark, sf_dir):
+    m = M.context_messages(spark, sf_dir)
+    return P.add(m, m.filter("idx < 2").withColumn("token_count", F.lit(0).cast("long"))).select("session_id", "idx", "content", "token_count")
+
+
+@query(S.select([*_CTX, "f AS (SELECT *, NOT safe AND total - coalesce(sum(CASE WHEN safe THEN 0 ELSE tokens END) OVER (PARTITION BY session_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) > target AS pruned FROM y)"], "SELECT session_id, count(*) FILTER (NOT pruned) AS kept, count(*) FILTER (pruned) AS pruned, coalesce(sum(tokens) FILTER (pruned), 0)::BIGINT AS tokens_saved FROM f GROUP BY session_id"))
+def prune_report(spark, sf_dir):
+    m = M.context_messages(spark, sf_dir)
+    return P.report(P.prune(m, _half(m), "fifo", CTX))
+
+
+@query(S.select([*_CTX, f"p AS (SELECT session_id, idx, tokens, CASE WHEN role IN ('user', 'assistant') AND length({_FIRST}) > 10 THEN '[' || role || '] ' || {_FIRST} END AS p FROM m WHERE idx < 2)", "g AS (SELECT session_id, count(*) AS original_messages, sum(tokens)::BIGINT AS original_tokens, list(p ORDER BY idx) FILTER (p IS NOT NULL) AS l FROM p GROUP BY session_id)"], "SELECT session_id, original_messages, original_tokens, CASE WHEN len(l) > 0 THEN 'Context summary (' || original_messages || ' messages):' || chr(10) || array_to_string(l[:20], chr(10)) ELSE 'Context summary: ' || original_messages || ' messages exchanged.' END AS content FROM g"))
+def summarize_oldest(spark, sf_dir):
+    return P.local_summary(M.context_messages(spark, sf_dir).filter("idx < 2")).drop("tokens")
+
+
+# Streams ---------------------------------------------------------------------------------------------------------------------
+
+
+@query(S.select(S.turns("tooltalk"), "SELECT session_id, seq, turn_id, line_start, line_end, message_count, total_tokens FROM turns"))
+def stream_turns(spark, sf_dir):
+    """Turns of a stream, as they stand at its end."""
+    lines = M.tooltalk(spark, sf_dir).select("session_id", "line", "entry_id", "role", "tokens", "tool_calls")
+    return ingest.run_available(lines, lambda s: ingest.live_turns(s), ["session_id", "seq"], "line_end").select("session_id", "seq", "turn_id", "line_start", "line_end", "message_count", "total_tokens")
+
+
+@query()
+def stream_topics(spark, sf_dir):
+    """Topics of turns as they complete; without SQL, as a topic depends on all before it."""
+    rows = Q.turns(M.conv10(spark, sf_dir)).select("session_id", "seq", T.terms(T.turn_text(F.col("user_preview"), F.col("assistant_preview"), F.col("tools_used"))).alias("terms"))
+    return ingest.run_available(rows, lambda s: ingest.live_topics(s), ["session_id", "seq"], "seq")

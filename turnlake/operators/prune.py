@@ -98,6 +98,11 @@ def prune(messages: DataFrame, target: Column | int, strategy: str = "fifo", con
     return STRATEGIES.get(strategy, fifo)(messages, F.lit(target) if isinstance(target, int) else target, config)
 
 
+def report(pruned: DataFrame) -> DataFrame:
+    """Per session: messages kept and pruned, and the tokens that pruning saves."""
+    return pruned.groupBy("session_id").agg(F.count_if(~F.col("pruned")).alias("kept"), F.count_if("pruned").alias("pruned"), F.coalesce(F.sum(F.when(F.col("pruned"), F.col("token_count"))), F.lit(0)).cast("long").alias("tokens_saved"))
+
+
 def local_summary(messages: DataFrame, most: int = 20) -> DataFrame:
     """Per session, (original_messages, original_tokens, content, tokens): first sentences of over 10 characters of users and assistants."""
     sentence = T.first_sentence(F.col("content"))

@@ -153,6 +153,12 @@ def subtopics(topic_turns: DataFrame, least: int = 2, boundary: int = 3) -> Data
     return out.select("session_id", "topic_id", F.concat(F.lit("subtopic-"), F.col("ord").cast("string")).alias("subtopic_id"), label.alias("label"), "turn_sequences", (F.col("part") == F.col("parts") - 1).alias("is_current"))
 
 
+def current_subtopic(parts: DataFrame) -> DataFrame:
+    """The current sub-topic of each topic that has several."""
+    n = F.count("*").over(Window.partitionBy("session_id", "topic_id"))
+    return parts.withColumn("_n", n).filter("is_current and _n > 1").drop("_n")
+
+
 def time_chunks(topic_turns: DataFrame, size: int = 5) -> DataFrame:
     """Sub-topics of so many turns each, where nothing else divides a topic."""
     order = Window.partitionBy("session_id", "topic_id").orderBy("seq")

@@ -10,24 +10,30 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 VERSION = 1
+#: Folders that the index of sessions is dealt over.
+BUCKETS = 64
 KEYS = {
     "summaries": ["session_id", "turn_id"], "tool_results": ["session_id", "turn_id", "msg_idx"], "topic_compactions": ["session_id", "kind", "topic_id", "subtopic_id"],
     "subtopics": ["session_id", "topic_id", "subtopic_id"], "turns": ["session_id", "seq"], "topics": ["session_id", "topic_ord"], "session_index": ["session_id"],
 }
 
 
-def materialise(df: DataFrame, name: str = "stage") -> DataFrame:
-    """Write df to the folder that driver and executors share and read it again, so that later steps read it and don't redo it."""
-    spark = df.sparkSession
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that driver and executors share; a temporary one only where none is set on a local master."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="turnlake-")
         spark.conf.set("spark.checkpoint.dir", root)
-    path = f"{root.rstrip('/')}/turnlake/{name}-{uuid.uuid4().hex}"
+    return f"{root.rstrip('/')}/turnlake/{name}-{uuid.uuid4().hex}"
+
+
+def materialise(df: DataFrame, name: str = "stage") -> DataFrame:
+    """Write df to the shared folder and read it again, so that later steps read it and don't redo it."""
+    path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 class Store:
@@ -53,15 +59,36 @@ class Store:
         return rows.withColumn("_n", F.row_number().over(order)).filter("_n = 1").drop("_n", "_version", "_written", "_batch")
 
     def replace_sessions(self, table: str, rows: DataFrame) -> None:
-        """Write whole sessions into the partitioned index; sessions that rows lack stay as they are."""
-        rows.withColumn("_version", F.lit(VERSION)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("session_id").parquet(f"{self.path}/index/{table}")
+        """Add whole sessions to the index: they take the place of what it has of them, other sessions stay as they are.
+
+        Files are dealt over BUCKETS folders by the session, however many sessions there are; nothing that is there is rewritten.
+        """
+        marks = {"_version": F.lit(VERSION), "_written": F.current_timestamp(), "_batch": F.lit(uuid.uuid4().hex), "_bucket": _bucket()}
+        rows.withColumns(marks).hint("rebalance", "_bucket").write.mode("append").partitionBy("_bucket").parquet(f"{self.path}/index/{table}")
 
-    def sessions(self, table: str) -> DataFrame | None:
-        """Rows of the partitioned index."""
+    def sessions(self, table: str, touched: DataFrame | None = None) -> DataFrame | None:
+        """Each session's rows as last written; of the sessions in touched only, if given, and then only their folders are read."""
         if not self._exists(f"index/{table}"):
             return None
-        found = self.spark.read.parquet(f"{self.path}/index/{table}").filter(F.col("_version") == VERSION).drop("_version")
-        return found.withColumn("session_id", F.col("session_id").cast("string"))
+        found = self.spark.read.parquet(f"{self.path}/index/{table}").filter(F.col("_version") == VERSION)
+        if touched is not None:
+            buckets = [r[0] for r in touched.select(_bucket().alias("b")).distinct().collect()]  # at most BUCKETS
+            found = found.filter(F.col("_bucket").isin(buckets)).join(touched.select("session_id").distinct(), "session_id", "left_semi")
+        last = found.groupBy("session_id").agg(F.max(F.struct("_written", "_batch")).alias("_last"))
+        found = found.join(last, "session_id").filter((F.col("_written") == F.col("_last._written")) & (F.col("_batch") == F.col("_last._batch")))
+        return found.drop("_version", "_written", "_batch", "_bucket", "_last")
+
+    def vacuum(self, table: str) -> None:
+        """Rewrite the index table without rows that later writes have replaced; no other write may run meanwhile."""
+        rows = self.sessions(table)
+        if rows is not None:
+            marks = {"_version": F.lit(VERSION), "_written": F.current_timestamp(), "_batch": F.lit(uuid.uuid4().hex), "_bucket": _bucket()}
+            kept = materialise(rows.withColumns(marks), "vacuum")
+            kept.hint("rebalance", "_bucket").write.mode("overwrite").partitionBy("_bucket").parquet(f"{self.path}/index/{table}")
+
+
+def _bucket():
+    return F.pmod(F.xxhash64(F.col("session_id").cast("string")), F.lit(BUCKETS)).cast("int")
 
 
 def index_path(session_path: str) -> str:

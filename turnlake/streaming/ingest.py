@@ -5,14 +5,15 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from turnlake.config import TopicConfig
 from turnlake.operators import topics as G
 from turnlake.operators import turns as Q
-from turnlake.stores import Store
+from turnlake.stores import Store, materialise, shared_path
 
 _TURN = "session_id string, seq int, turn_id string, line_start int, line_end int, message_count bigint, total_tokens bigint, tool_call_count bigint"
 _STATE = "seq int, turn_id string, line_start int, line_end int, message_count bigint, total_tokens bigint, tool_call_count bigint"
@@ -100,6 +101,26 @@ def live_topics(turn_terms: DataFrame, config: TopicConfig = TopicConfig()) -> D
     return turn_terms.select("session_id", "seq", "terms").groupBy("session_id").applyInPandasWithState(step, "session_id string, seq int, topic_ord int", "seq int, topic int, vectors string", "update", GroupStateTimeout.NoTimeout)
 
 
+def run_available(rows: DataFrame, transform, keys: list[str], latest: str) -> DataFrame:
+    """transform(stream of rows) run over all that is there; of every key, the row that is last by latest.
+
+    rows are written to the shared folder as the stream's source, and what each batch emits is appended there.
+    """
+    spark = rows.sparkSession
+    source = materialise(rows, "stream-in")
+    stream = spark.readStream.schema(source.schema).parquet(source.inputFiles()[0].rsplit("/", 1)[0])
+    root = shared_path(spark, "stream-out")
+    out = transform(stream)
+
+    def append(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{root}/rows/batch={number}")
+
+    out.writeStream.foreachBatch(append).outputMode("update").option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    order = Window.partitionBy(*keys).orderBy(F.desc(latest), F.desc("batch"))
+    found = spark.read.schema(StructType([*out.schema.fields, StructField("batch", IntegerType())])).parquet(f"{root}/rows")
+    return found.withColumn("_n", F.row_number().over(order)).filter("_n = 1").drop("_n", "batch")
+
+
 def index_batch(store: Store, on_turns=None):
     """A foreachBatch sink that adds new lines to the store and rebuilds the index of the sessions they belong to.
 
@@ -111,16 +132,14 @@ def index_batch(store: Store, on_turns=None):
         if batch.isEmpty():
             return
         touched = batch.select("session_id").distinct()
-        known = store.sessions("lines")
-        rows = batch if known is None else known.join(touched, "session_id", "left_semi").unionByName(batch, allowMissingColumns=True)
-        from turnlake.stores import materialise
-
+        known = store.sessions("lines", touched)
+        rows = batch if known is None else known.unionByName(batch, allowMissingColumns=True)
         lines = materialise(rows.dropDuplicates(["session_id", "line"]), "lines")
         turn_rows = materialise(Q.turns(lines), "turns")
         with_topics = G.with_topics(turn_rows, G.segments(turn_rows))
         store.replace_sessions("lines", lines)
         store.replace_sessions("turns", with_topics)
         if on_turns:
-            on_turns(store.sessions("turns").join(touched, "session_id", "left_semi"))
+            on_turns(store.sessions("turns", touched))
 
     return run
