@@ -7,10 +7,10 @@ Documents are drawn by a hash of their id, so reruns and retries draw the same o
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from turnlake.llm.common import join_small, scratch
+from turnlake.llm.common import discard, join_small, scratch
 
 #: Per dimension, the target share is the observed share to this power, scaled to sum 1: below 1 evens out, 1 keeps.
 POWERS = {"source": 0.9, "lang": 0.9, "topic": 1.0}
@@ -32,20 +32,24 @@ def fit(cells: DataFrame, dims: list[str], targets: dict, sweeps: int = SWEEPS)
     """cells (dims, observed) with `weight`, raked to the targets; a target is a power of the observed share or a DataFrame (dim, target).
 
     A value that a target DataFrame lacks has target 0; a value without observed weight stays without. Targets need no common sum:
-    only proportions count. The plan grows by one window per step, on the cells alone.
+    only proportions count. Values of dims are unique and not null. Sums of a dimension are aggregated and joined back, so a value
+    with most of the cells spreads over tasks; every sweep is a written table, so the plan doesn't grow.
     """
-    out = cells
+    out = cells.withColumn("weight", F.col("observed").cast("double"))
     for d in dims:
         goal = targets.get(d, 1.0)
-        if isinstance(goal, DataFrame):
-            out = out.join(goal.select(F.col(d), F.col("target").cast("double").alias(f"to_{d}")), d, "left").fillna(0.0, [f"to_{d}"])
-        else:
-            out = out.withColumn(f"to_{d}", F.pow(F.sum("observed").over(Window.partitionBy(d)).cast("double"), F.lit(float(goal))))
-    out = out.withColumn("weight", F.col("observed").cast("double"))
-    for _ in range(sweeps):
+        if not isinstance(goal, DataFrame):
+            goal = cells.groupBy(d).agg(F.pow(F.sum("observed").cast("double"), F.lit(float(goal))).alias("target"))
+        out = out.join(goal.select(d, F.col("target").cast("double").alias(f"to_{d}")), d, "left").fillna(0.0, [f"to_{d}"])
+    columns = out.columns
+    for k in range(sweeps):
+        last = out
         for d in dims:
-            total = F.sum("weight").over(Window.partitionBy(d))
-            out = out.withColumn("weight", F.when(total > 0, F.col("weight") * F.col(f"to_{d}") / total).otherwise(0.0))
+            total = out.groupBy(d).agg(F.sum("weight").alias("_total"))
+            out = out.join(total, d).withColumn("weight", F.when(F.col("_total") > 0, F.col("weight") * F.col(f"to_{d}") / F.col("_total")).otherwise(0.0)).select(*columns)
+        out = scratch(out, "mix-sweep")
+        if k:
+            discard(last)
     return out.drop(*[f"to_{d}" for d in dims])
 
 
