@@ -55,7 +55,7 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.near_duplicates(read(spark, sf_dir, "documents"))
+    return simhash.near_duplicates(read(spark, sf_dir, "documents"), width=3, radius=2)
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

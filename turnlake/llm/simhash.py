@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from turnlake.llm.common import Words, components, join_small, prepare, release, scratch, slices
 
 SEED = 42
+#: Words of a shingle, where nothing else is asked for.
+WIDTH = 5
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 #: For each byte, eight counters of one byte, one for each bit.
@@ -60,7 +62,7 @@ def _of_batch(words: Words, width: int) -> list[int]:
     return out
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
     """Per row of docs: (id, fp), fp the 64-bit SimHash of the text's width-word shingles as a signed long.
 
     A-Z are lower-cased; words are runs of other characters than space and U+0009 to U+000D. Fewer words than width: one shingle
@@ -92,7 +94,7 @@ def links(distinct: DataFrame, radius: int = 2) -> DataFrame:
     return met.filter(F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))) <= radius).select(F.col("fp").alias("u"), F.col("other").alias("v")).distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, radius: int = 2) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, radius: int = 2) -> DataFrame:
     """Per row of docs: id, fingerprint (16 hex digits), component_id: the least id reachable over links of at most radius bits.
 
     Copies share a fingerprint and meet as one; rows without any word have fingerprint zero and link like others. Null ids are no
@@ -109,7 +111,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, radius: int = 2) -> DataFrame:
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, radius: int = 2) -> DataFrame:
     """docs with one row of each component of near-duplicates, that of the least id; rows without an id stay.
 
     Of rows that repeat an id, one stays.
