@@ -53,9 +53,9 @@ def test_simhash(spark):
     fps = np.array([fingerprint(t) for t in all_texts], np.uint64)
     links = [(i, j) for i in range(len(fps)) for j in np.flatnonzero(np.bitwise_count(fps ^ fps[i]) <= 2)]
     want = classes(len(fps), links)
-    got = {r.doc_id: (r.fingerprint, r.component_id) for r in simhash.near_duplicates(df).collect()}
+    got = {r.doc_id: (r.fingerprint, r.component_id) for r in simhash.near_duplicates(df, width=3).collect()}
     assert got == {i + 10: (f"{int(fps[i]):016x}", want[i] + 10) for i in range(len(fps))}
-    kept = simhash.deduplicate(df)
+    kept = simhash.deduplicate(df, width=3)
     assert kept.columns == df.columns
     assert sorted(r.doc_id for r in kept.collect()) == sorted({w + 10 for w in want})
 
@@ -173,9 +173,9 @@ def test_line_pairs(spark):
     units = common.scratch(substring.paragraphs(df), "t")
     ids = {r.doc: r.id for r in units.filter("line").collect()}
     at = {v: k for k, v in sorted(ids.items(), reverse=True)}
-    found = substring._near_links(df, units, "doc_id", "text").collect()
+    found = substring.line_classes(df, units, "doc_id", "text").collect()
     same = [(i, at[ids[i]]) for i in range(len(lines))]
-    got = classes(len(lines), [*same, *((at[e.u], at[e.v]) for e in found)])
+    got = classes(len(lines), [*same, *((at[e.id], at[e.component]) for e in found)])
     whole = classes(len(lines), [*links, *same])
     assert whole == want
     missed = sum(got[i] != got[j] for i, j in links)
@@ -183,6 +183,45 @@ def test_line_pairs(spark):
     assert all(want[i] == want[got[i]] for i in range(len(lines)))
 
 
+def test_lines_that_drawn_lines_do_not_link(spark):
+    """Variants of one line that are under the bar to most others, but reach it in pairs and chains: no link is lost."""
+    r = random.Random(5)
+    vocabulary = ["".join(r.choices("abcdefghijk", k=6)) for _ in range(3000)]
+    base = r.choices(vocabulary, k=40)
+    lines = []
+    for i in range(60):
+        w = list(base)
+        w[r.randrange(3, 37)] = f"x{i}"
+        lines.append(w)
+        if i % 3 == 0:  # a neighbour: the last word changed as well
+            lines.append([*w[:-1], f"y{i}"])
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in lines]
+    links = [(i, j) for i in range(len(lines)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    want = classes(len(lines), links)
+    assert 20 <= len(links) and len(set(want)) > 20
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(lines)], "doc_id long, text string")
+    units = common.scratch(substring.paragraphs(df), "t")
+    at = {r.id: r.doc for r in units.filter("line").collect()}
+    found = [(at[e.id], at[e.component]) for e in substring.line_classes(df, units, "doc_id", "text").collect()]
+    assert classes(len(lines), found) == want
+
+
+def test_bitmaps_bound_the_difference():
+    import numpy as np
+    import pyarrow as pa
+
+    r = random.Random(6)
+    for n in (16, 30, 200, 900):
+        base = [f"w{r.randrange(400)}" for _ in range(n)]
+        other = [w if r.random() > 0.03 else "z" for w in base]
+        words = common.Words(pa.array([" ".join(base), " ".join(other)]))
+        starts, ends = words.first[:-1], words.first[1:]
+        _, bits = substring._bands(words.hashes(), starts, ends)
+        sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (base, other)]
+        a, b = bits.view(np.uint64).tolist()
+        assert sum((x ^ y).bit_count() for x, y in zip(a, b)) <= len(sets[0] ^ sets[1])
+
+
 def test_repeats_odd_rows(spark):
     long = " ".join(f"w{i}" for i in range(60))
     rows = [(None, long), (1, long), (1, long), (2, long), (3, None), (4, ""), (5, "a"), (6, long + " x"), (6, "short other text"), (7, "tail " * 20_000)]

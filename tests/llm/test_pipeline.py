@@ -51,6 +51,21 @@ def test_stages(spark):
         assert list(r.ids) == library.encode_ordinary(before[r.doc_id]) and r.n_tokens == len(r.ids)
 
 
+def test_stages_odd_rows(spark):
+    """Nulls anywhere, empty and repeated rows, a very long text, an extra column, and no rows at all."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long, topic string, probability double, fp long, start int"
+    rows = [(None, "some words of a text", "en", "a", None, None, None, 1, 2), (1, None, None, None, None, "t", 0.5, 1, 2), (2, "", "en", "a", 0, "t", 0.5, None, None), (3, "w " * 60_000, "en", "a", 1, "t", 0.5, 1, 2)]
+    rows += [(4, "one text that stands here twice", "de", "b", 1, "t", 0.5, 1, 2)] * 2
+    for docs in (spark.createDataFrame(rows, schema), spark.createDataFrame([], schema)):
+        n = docs.count()
+        for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            out = scratch(stage(spark, docs, SF), "odd")
+            if k < 4:
+                assert out.columns == docs.columns
+            assert out.count() <= n and (out.count() > 0) == (n > 0)
+            docs = out if k < 4 else docs
+
+
 def test_registered():
     import __spark_entry__ as e
     from turnlake.llm import queries

@@ -156,8 +156,8 @@ def line_shingles(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str
     return joined.mapInArrow(run, "id bigint, s array<bigint>").select("id", F.array_distinct("s").alias("s"))
 
 
-def _near_links(docs: DataFrame, units: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Verified links (u, v) between different lines that span all components of lines that meet in a bucket and are similar.
+def line_classes(docs: DataFrame, units: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, component) of lines that have similar ones: components of all verified pairs of lines that share a bucket.
 
     In a bucket every line is compared with a line drawn from it; lines that this leaves in another component than some of CENTRES - 1
     more drawn lines are compared with these. What is then in different components of one bucket is compared pair by pair, but for
@@ -179,15 +179,16 @@ def _near_links(docs: DataFrame, units: DataFrame, id_col: str, text_col: str) -
     def verified(pairs: DataFrame) -> DataFrame:
         return scratch(pairs.distinct().join(sets.toDF("u", "s"), "u").join(sets.toDF("v", "t"), "v").filter(similar).select("u", "v"), "near")
 
-    def placed(near: DataFrame, columns: list[str]) -> DataFrame:
+    def open_buckets(parts: DataFrame, columns: list[str]) -> DataFrame:
         """Rows of the buckets whose lines lie in several components, with these as of, and of_ck for the k-th centre."""
-        parts = scratch(components(near).toDF("id", "of"), "placed")
         rows = stars.select("band", "id", *columns)
         for name in ("id", *columns):
-            own = parts.toDF(name, "found")
-            rows = rows.join(own, name, "left").withColumn("of" if name == "id" else f"of_{name}", F.coalesce("found", name)).drop("found")
+            rows = rows.join(parts.toDF(name, "found"), name, "left").withColumn("of" if name == "id" else f"of_{name}", F.coalesce("found", name)).drop("found")
         several = rows.groupBy("band").agg(F.min("of").alias("a"), F.max("of").alias("b")).filter("a <> b").select("band")
-        return rows.join(several, "band")
+        return scratch(rows.join(several, "band"), "open")
+
+    def classes(near: DataFrame) -> DataFrame:
+        return scratch(components(near).toDF("id", "component"), "line-classes")
 
     def possible(pairs: DataFrame) -> DataFrame:
         """Pairs (u, v) whose bitmaps and sizes allow the similarity."""
@@ -196,21 +197,22 @@ def _near_links(docs: DataFrame, units: DataFrame, id_col: str, text_col: str) -
 
     near = verified(possible(stars.filter("id <> c0").select(F.col("id").alias("u"), F.col("c0").alias("v"))))
     others = [f"c{k}" for k in range(1, CENTRES)]
-    rows = scratch(placed(near, others), "open")
+    parts = classes(near)
+    rows = open_buckets(parts, others)
     if rows.isEmpty():
-        return near
+        return parts
     more = rows.select(F.col("id").alias("u"), "of", F.explode(F.array(*[F.struct(F.col(c).alias("v"), F.col(f"of_{c}").alias("of_v")) for c in others])).alias("x")).filter("of <> x.of_v")
-    more = scratch(possible(more.select("u", "x.v")), "more")
-    if not more.isEmpty():
-        near = scratch(near.union(verified(more)), "near")
-    rest = scratch(placed(near, []).join(marks, "id"), "rest")
+    found = verified(possible(more.select("u", "x.v")))
+    if not found.isEmpty():
+        near = near.union(found)
+        parts = classes(near)
+        rows = open_buckets(parts, [])
+    rest = rows.select("band", "id", "of").join(marks, "id")
     a, b = (rest.select("band", *[F.col(c).alias(f"{c}_{x}") for c in ("id", "of", "bits", "n")]) for x in "uv")
     met_again = (F.col("id_u") < F.col("id_v")) & (F.col("of_u") != F.col("of_v")) & _may_be_similar("bits_u", "n_u", "bits_v", "n_v")
-    rest = scratch(a.join(b.withColumnRenamed("band", "band_v"), (F.col("band") == F.col("band_v")) & met_again).select(F.col("id_u").alias("u"), F.col("id_v").alias("v")).distinct(), "rest")
-    out = near if rest.isEmpty() else near.union(verified(rest))
-    for done in (stars, marks):
-        discard(done)
-    return out
+    met_again = a.join(b.withColumnRenamed("band", "band_v"), (F.col("band") == F.col("band_v")) & met_again)
+    found = verified(met_again.select(F.col("id_u").alias("u"), F.col("id_v").alias("v")))
+    return parts if found.isEmpty() else classes(near.union(found))
 
 
 def _may_be_similar(bits_a: str, n_a: str, bits_b: str, n_b: str) -> Column:
@@ -237,8 +239,8 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         once = join_small(docs, several.filter("same").select("doc"), "doc", "left_semi", 8).dropDuplicates(["doc"])
         docs = join_small(docs, several.select("doc"), "doc", "left_anti", 8).union(once)
     units = scratch(paragraphs(docs, "doc", "text"), "units")
-    near = components(_near_links(docs, units, "doc", "text"))
-    lines = units.filter("line").join(near.toDF("id", "component"), "id", "left").select("line", "doc", "start", "n", F.coalesce("component", "id").alias("id"), F.when(F.col("component").isNull(), F.col("chk")).otherwise(0).alias("chk"))
+    near = line_classes(docs, units, "doc", "text")
+    lines = units.filter("line").join(near, "id", "left").select("line", "doc", "start", "n", F.coalesce("component", "id").alias("id"), F.when(F.col("component").isNull(), F.col("chk")).otherwise(0).alias("chk"))
     all_units = lines.union(units.filter("not line").select(*lines.columns))
     key = ["line", "id", "chk"]
     groups = all_units.groupBy(*key).agg(F.min(F.struct("doc", "start")).alias("first"), F.count("*").alias("size")).filter("size > 1").drop("size")
