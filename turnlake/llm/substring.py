@@ -16,10 +16,8 @@ from pyspark.sql import functions as F
 
 from turnlake.llm.common import BROADCAST_BYTES, Words, components, discard, join_small, mix, prepare, release, scratch, slices
 
-REACH, MIN_WORDS, SHINGLE, SIMILARITY = 6, 16, 5, 0.8
+REACH, MIN_WORDS, SHINGLE, SIMILARITY = 4, 16, 5, 0.8
 BANDS, ROWS = 10, 3
-#: Lines drawn from each bucket, with which its others are compared: the first, and then the rest, as far as components differ.
-CENTRES = 4
 #: Longs of a line's bitmap, which has a bit for the hash of every shingle.
 BITMAP = 4
 _U = np.uint64
@@ -99,7 +97,10 @@ def _bands(h: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndar
 
 
 def paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Paragraphs of whole texts: (line, doc, start, n, id, chk, bands, bits); start and n count words, bands and bits only for lines."""
+    """Paragraphs of whole texts: (line, doc, start, n, id, chk, again, bands, bits).
+
+    start and n count words; again marks a piece that its text has before; bands and bits are for lines only.
+    """
     prepare(docs.sparkSession)
     source = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text")).filter("doc is not null and text is not null")
 
@@ -126,9 +127,13 @@ def paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                         bands, bits = (pa.ListArray.from_arrays(pa.array(np.arange(len(starts) + 1, dtype=np.int32) * x.shape[1]), pa.array(np.ascontiguousarray(x).ravel())) for x in _bands(h, starts, ends))
                     else:
                         bands = bits = pa.nulls(len(starts), pa.list_(pa.int64()))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(starts), line)), pa.array(doc_ids[doc]), pa.array((starts - words.first[doc]).astype(np.int32)), pa.array((ends - starts).astype(np.int32)), pa.array(ids), pa.array(chk), bands, bits], names=["line", "doc", "start", "n", "id", "chk", "bands", "bits"])
+                    again = np.zeros(len(starts), bool)
+                    if not line:
+                        again[:] = True
+                        again[np.unique(mix(ids.view(np.uint64) ^ mix(doc.astype(np.uint64) + _U(1))), return_index=True)[1]] = False
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(starts), line)), pa.array(doc_ids[doc]), pa.array((starts - words.first[doc]).astype(np.int32)), pa.array((ends - starts).astype(np.int32)), pa.array(ids), pa.array(chk), pa.array(again), bands, bits], names=["line", "doc", "start", "n", "id", "chk", "again", "bands", "bits"])
 
-    return source.mapInArrow(run, "line boolean, doc bigint, start int, n int, id bigint, chk int, bands array<bigint>, bits array<bigint>")
+    return source.mapInArrow(run, "line boolean, doc bigint, start int, n int, id bigint, chk int, again boolean, bands array<bigint>, bits array<bigint>")
 
 
 def line_shingles(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -159,15 +164,16 @@ def line_shingles(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str
 def line_classes(docs: DataFrame, units: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, component) of lines that have similar ones: components of all verified pairs of lines that share a bucket.
 
-    In a bucket every line is compared with a line drawn from it; lines that this leaves in another component than some of CENTRES - 1
-    more drawn lines are compared with these. What is then in different components of one bucket is compared pair by pair, but for
-    pairs whose bitmaps show that they can't be similar. Lines are drawn by aggregation and joined back, so a bucket of any size
-    spreads over tasks.
+    In a bucket every line is compared with a line drawn from it; lines that this leaves in another component than a second drawn line
+    are compared with that. What is then in different components of one bucket is compared pair by pair, but for pairs whose bitmaps
+    show that they can't be similar. Lines are drawn by aggregation and joined back, so a bucket of any size spreads over tasks; the
+    drawn ones are those of least and greatest id ^ band, which is an order of its own in each bucket.
     """
     distinct = scratch(units.filter("line").groupBy("id").agg(F.first("bands").alias("bands"), F.first("bits").alias("bits"), F.max("n").alias("n"), F.min(F.struct("doc", "start")).alias("at")), "lines")
     met = distinct.select("id", F.explode("bands").alias("band"))
-    drawn = [F.min(F.struct(F.xxhash64("id", "band", F.lit(k)).alias("h"), "id"))["id"].alias(f"c{k}") for k in range(CENTRES)]
-    centres = met.groupBy("band").agg(*drawn, F.count("*").alias("size")).filter("size > 1").drop("size")
+    order = F.col("id").bitwiseXOR(F.col("band"))
+    ends = met.groupBy("band").agg(F.min(order).alias("a"), F.max(order).alias("b")).filter("a <> b")
+    centres = ends.select("band", F.col("a").bitwiseXOR(F.col("band")).alias("c0"), F.col("b").bitwiseXOR(F.col("band")).alias("c1"))
     stars = scratch(met.join(centres, "band"), "stars")
     wanted = stars.select("id").distinct().join(distinct.select("id", "at.doc", "at.start"), "id")
     sets = scratch(line_shingles(docs, wanted, id_col, text_col), "sets")
@@ -180,7 +186,7 @@ def line_classes(docs: DataFrame, units: DataFrame, id_col: str, text_col: str)
         return scratch(pairs.distinct().join(sets.toDF("u", "s"), "u").join(sets.toDF("v", "t"), "v").filter(similar).select("u", "v"), "near")
 
     def open_buckets(parts: DataFrame, columns: list[str]) -> DataFrame:
-        """Rows of the buckets whose lines lie in several components, with these as of, and of_ck for the k-th centre."""
+        """Rows of the buckets whose lines lie in several components, with these as of; also the components of columns."""
         rows = stars.select("band", "id", *columns)
         for name in ("id", *columns):
             rows = rows.join(parts.toDF(name, "found"), name, "left").withColumn("of" if name == "id" else f"of_{name}", F.coalesce("found", name)).drop("found")
@@ -196,13 +202,11 @@ def line_classes(docs: DataFrame, units: DataFrame, id_col: str, text_col: str)
         return pairs.distinct().join(sides[0], "u").join(sides[1], "v").filter(_may_be_similar("bits_u", "n_u", "bits_v", "n_v")).select("u", "v")
 
     near = verified(possible(stars.filter("id <> c0").select(F.col("id").alias("u"), F.col("c0").alias("v"))))
-    others = [f"c{k}" for k in range(1, CENTRES)]
     parts = classes(near)
-    rows = open_buckets(parts, others)
+    rows = open_buckets(parts, ["c1"])
     if rows.isEmpty():
         return parts
-    more = rows.select(F.col("id").alias("u"), "of", F.explode(F.array(*[F.struct(F.col(c).alias("v"), F.col(f"of_{c}").alias("of_v")) for c in others])).alias("x")).filter("of <> x.of_v")
-    found = verified(possible(more.select("u", "x.v")))
+    found = verified(possible(rows.filter("of <> of_c1").select(F.col("id").alias("u"), F.col("c1").alias("v"))))
     if not found.isEmpty():
         near = near.union(found)
         parts = classes(near)
@@ -240,15 +244,16 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         docs = join_small(docs, several.select("doc"), "doc", "left_anti", 8).union(once)
     units = scratch(paragraphs(docs, "doc", "text"), "units")
     near = line_classes(docs, units, "doc", "text")
-    lines = units.filter("line").join(near, "id", "left").select("line", "doc", "start", "n", F.coalesce("component", "id").alias("id"), F.when(F.col("component").isNull(), F.col("chk")).otherwise(0).alias("chk"))
-    all_units = lines.union(units.filter("not line").select(*lines.columns))
-    key = ["line", "id", "chk"]
-    groups = all_units.groupBy(*key).agg(F.min(F.struct("doc", "start")).alias("first"), F.count("*").alias("size")).filter("size > 1").drop("size")
-    gone = all_units.join(groups, key).filter("doc <> first.doc or start <> first.start")
+    lines = units.filter("line").join(near, "id", "left").select("doc", "start", "n", F.coalesce("component", "id").alias("id"), F.when(F.col("component").isNull(), F.col("chk")).otherwise(0).alias("chk"))
+    firsts = lines.groupBy("id", "chk").agg(F.min(F.struct("doc", "start")).alias("first"), F.max(F.struct("doc", "start")).alias("last")).filter("first <> last").drop("last")
+    gone = lines.join(firsts, ["id", "chk"]).filter("doc <> first.doc or start <> first.start").select("doc", "start", "n", "id", F.col("first.doc").alias("kept"))
+    pieces = units.filter("not line").select("doc", "start", "n", "id", "chk", "again")
+    owners = pieces.filter("not again").groupBy("id", "chk").agg(F.min("doc").alias("kept"), F.max("doc").alias("last")).filter("kept <> last").drop("last")
+    gone = gone.union(pieces.join(owners, ["id", "chk"], "left").filter("again or doc <> kept").select("doc", "start", "n", "id", F.coalesce("kept", "doc").alias("kept")))
     order = Window.partitionBy("doc").orderBy("start", "n", "id")
     top = F.max(F.col("start") + F.col("n")).over(order.rowsBetween(Window.unboundedPreceding, -1))
     runs = gone.withColumn("new", F.when(F.col("start") <= top, 0).otherwise(1)).withColumn("run", F.sum("new").over(order))
-    merged = runs.groupBy("doc", "run").agg(F.min("start").alias("start"), F.max(F.col("start") + F.col("n")).alias("end"), F.min(F.struct("start", "id")).alias("lead"), F.min("first.doc").alias("kept_id"))
+    merged = runs.groupBy("doc", "run").agg(F.min("start").alias("start"), F.max(F.col("start") + F.col("n")).alias("end"), F.min(F.struct("start", "id")).alias("lead"), F.min("kept").alias("kept_id"))
     merged = merged.withColumn("n_words", F.col("end") - F.col("start")).filter(F.col("n_words") >= MIN_WORDS)
     return merged.select(F.col("doc").alias(id_col), "start", "end", "n_words", F.col("lead.id").alias("component_id"), "kept_id")
 
