@@ -3,7 +3,8 @@
 Voters fire or don't. Their moments are counted over all documents. Given the class, voters are taken as independent but for pairs
 that the moments show to depend on each other: C_ij = d_i d_j p (1 - p), with d_i the difference of a voter's rates in the two
 classes, is solved from triplets of voters; what a pair's covariance has beyond that is its correlation, and correlated voters share
-their weight. Labels of training rows give the prior, the learnt part of the lexicon, and are a voter of their own on those rows.
+their weight beyond the strongest vote. Labels of training rows give the prior, the learnt part of the lexicon and bounds of what a vote
+may count, and are a voter of their own on those rows.
 The posterior labels of a bounded sample of training rows train a logistic regression on words and voters.
 """
 
@@ -51,13 +52,13 @@ def _share(data: np.ndarray, offsets: np.ndarray, hit: np.ndarray) -> np.ndarray
 class Reader:
     """Words and votes of a batch of texts."""
 
-    def __init__(self, column: pa.Array, lexicon: np.ndarray | None = None):
+    def __init__(self, column: pa.Array, lexicon: np.ndarray | None = None, seeds: int = 0):
         self.words = Words(column, space=_SPACE, fold=_FOLD)
         self.bucket = _buckets(self.words)
         self.n = len(column)
         self.doc = np.repeat(np.arange(self.n), np.diff(self.words.first))
         if lexicon is not None:
-            self.fires = self._votes(column, lexicon)
+            self.fires = self._votes(column, lexicon, seeds)
 
     def features(self, known: np.ndarray, size: int) -> np.ndarray:
         """Which of the known buckets (bucket to index or -1) each text has."""
@@ -67,10 +68,13 @@ class Reader:
         out[self.doc[on], index[on]] = True
         return out
 
-    def _votes(self, column: pa.Array, lexicon: np.ndarray) -> np.ndarray:
+    def _votes(self, column: pa.Array, lexicon: np.ndarray, seeds: int) -> np.ndarray:
+        """Votes of the lexicon, of which the first are seeds, and of the patterns, the last of which is two seed words or more."""
         known = np.full(1 << BITS, -1, np.int32)
         known[lexicon[::-1]] = np.arange(len(lexicon))[::-1]
         words = self.features(known, len(lexicon))
+        index = known[self.bucket]
+        sworn = np.bincount(self.doc[(index >= 0) & (index < seeds)], minlength=self.n)
         raw = Words(column).data
         at = self.words.offsets
         letters, upper = _share(raw, at, _LETTER[raw]), _share(raw, at, _UPPER[raw])
@@ -78,7 +82,7 @@ class Reader:
         signs = _share(raw, at, np.isin(raw, np.frombuffer(b"#*$%&", np.uint8)))
         you = np.zeros(self.n, bool)
         you[self.doc[np.isin(self.bucket, _of(["you", "your", "you're"]))]] = True
-        patterns = [upper * 2 > letters, marks * 50 > size, signs * 20 > size, you, words[:, : len(LEXICON)].sum(axis=1) >= 2]
+        patterns = [upper * 2 > letters, marks * 50 > size, signs * 20 > size, you, sworn >= 2]
         return np.column_stack([words, *patterns])
 
 
@@ -92,9 +96,36 @@ class Labels:
     weight: np.ndarray
     correlation: np.ndarray
 
+    def ratios(self) -> tuple[np.ndarray, np.ndarray]:
+        """What a vote and its absence add to the log odds of an uncorrelated voter; nothing for voters without weight."""
+        used = self.weight > 0
+        return np.where(used, np.log(self.toxic / self.clean), 0.0), np.where(used, np.log((1 - self.toxic) / (1 - self.clean)), 0.0)
+
+    def calibrated(self, fires: np.ndarray, y: np.ndarray) -> "Labels":
+        """The model with rates that labelled rows bear out: a vote counts no more than its share among the labels, and a voter that
+        the moments say nothing of, but three toxic labels do, counts by these."""
+        n1, n0 = y.sum(), (~y).sum()
+        if not n1 or not n0:
+            return self
+        a, b = fires[y].sum(axis=0), fires[~y].sum(axis=0)
+        seen = np.log((a + 1) / (n1 + 2)) - np.log((b + 0.5) / (n0 + 1))
+        on, _ = self.ratios()
+        toxic, clean, weight = self.toxic.copy(), self.clean.copy(), self.weight.copy()
+        low = np.clip(seen, 0, None)
+        clean = np.where((weight > 0) & (on > low), toxic / np.exp(low), clean)
+        new = (weight == 0) & (a >= 3) & (seen > 1.5)
+        toxic[new] = ((a + 1) / (n1 + 2))[new]
+        clean[new] = (toxic / np.exp(seen - 0.5))[new]
+        weight[new] = weight[weight > 0].mean() if (weight > 0).any() else 1.0
+        return Labels(self.prior, np.clip(toxic, 1e-9, 1 - 1e-4), np.clip(clean, 1e-9, 1 - 1e-4), weight, self.correlation)
+
     def log_odds(self, fires: np.ndarray) -> np.ndarray:
-        on, off = np.log(self.toxic / self.clean), np.log((1 - self.toxic) / (1 - self.clean))
-        return np.log(self.prior / (1 - self.prior)) + (np.where(fires, on, off) * self.weight).sum(axis=1)
+        """The strongest vote counts in full, all others by their weight, as far as they are not said by it already."""
+        on, off = self.ratios()
+        votes = np.where(fires, on, 0.0)
+        lead = votes.argmax(axis=1)
+        first = votes[np.arange(len(votes)), lead] * (1 - self.weight[lead])
+        return np.log(self.prior / (1 - self.prior)) + first + (np.where(fires, on, off) * self.weight).sum(axis=1)
 
 
 def label_model(rows: int, both: np.ndarray, prior: float) -> Labels:
@@ -126,11 +157,11 @@ def label_model(rows: int, both: np.ndarray, prior: float) -> Labels:
     return Labels(prior, np.clip(mean + (1 - prior) * diff, low, 1 - 1e-4), np.clip(mean - prior * diff, low, 1 - 1e-4), weight, correlation)
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 3.0, steps: int = 30) -> np.ndarray:
-    """Weights of a logistic regression on soft labels, the last for the constant; Newton's method with a ridge."""
+def logistic(x: np.ndarray, y: np.ndarray, ridge: np.ndarray | float = 3.0, steps: int = 30) -> np.ndarray:
+    """Weights of a logistic regression on soft labels, the last for the constant; Newton's method with a ridge (one, or one each)."""
     x = np.column_stack([x, np.ones(len(x))]).astype(np.float64)
     w = np.zeros(x.shape[1])
-    keep = np.full(x.shape[1], ridge)
+    keep = np.append(np.broadcast_to(np.asarray(ridge, float), x.shape[1] - 1), 0.0)
     keep[-1] = 1e-3
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
@@ -144,15 +175,16 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 3.0, steps: int = 30)
 
 @dataclass
 class Model:
-    """What scores texts: lexicon buckets of the voters, buckets of the features, weights."""
+    """What scores texts: lexicon buckets of the voters, the first of which are seeds, buckets of the features, weights."""
 
     lexicon: np.ndarray
     features: np.ndarray
     weights: np.ndarray
     labels: Labels
+    seeds: int
 
     def score(self, column: pa.Array) -> np.ndarray:
-        reader = Reader(column, self.lexicon)
+        reader = Reader(column, self.lexicon, self.seeds)
         known = np.full(1 << BITS, -1, np.int32)
         known[self.features] = np.arange(len(self.features))
         x = np.column_stack([reader.features(known, len(self.features)), reader.fires])
@@ -204,6 +236,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     order = bucket[np.lexsort((bucket, -z))]
     order = order[np.isin(order, bucket[(z > 4) & (toxic >= 8)])]
     features = order[:FEATURES]
+    # Seed words that clean labels have about as often are no voters.
+    place = {b: i for i, b in enumerate(bucket.tolist())}
+    told = [(toxic[place[b]], clean[place[b]]) if b in place else (0, 0) for b in seeds.tolist()]
+    seeds = seeds[[not b or np.log((a + 1) / (n1 + 2)) - np.log((b + 0.5) / (n0 + 1)) >= 1 for a, b in told]]
+    n_seeds = len(seeds)
     lexicon = np.concatenate([seeds, [b for b in order if b not in set(seeds.tolist())][:LEARNT]]).astype(np.int64)
     m = len(lexicon) + len(PATTERNS)
 
@@ -212,7 +249,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         both, seen = np.zeros((m, m), np.int64), 0
         for batch in batches:
             for part in slices(batch, "text"):
-                fires = Reader(part.column("text"), lexicon).fires.astype(np.float32)
+                fires = Reader(part.column("text"), lexicon, n_seeds).fires.astype(np.float32)
                 both += (fires.T @ fires).astype(np.int64)
                 seen += len(fires)
         i, j = np.triu_indices(m)
@@ -232,7 +269,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         release()
         for batch in batches:
             for part in slices(batch, "text"):
-                reader = Reader(part.column("text"), lexicon)
+                reader = Reader(part.column("text"), lexicon, n_seeds)
                 x = np.packbits(np.column_stack([reader.features(known, len(features)), reader.fires]), axis=1)
                 yield pa.RecordBatch.from_arrays([part.column("doc"), part.column("y"), pa.array([r.tobytes() for r in x], pa.binary())], names=["doc", "y", "x"])
 
@@ -240,6 +277,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     width = len(features) + m
     x = np.unpackbits(np.frombuffer(b"".join(got.column("x").to_pylist()), np.uint8).reshape(len(got), -1), axis=1)[:, :width].astype(bool) if len(got) else np.zeros((1, width), bool)
     y = got.column("y").to_numpy() > 0 if len(got) else np.zeros(1, bool)
+    if n:
+        model = model.calibrated(x[:, len(features) :], y)
     odds = model.log_odds(x[:, len(features) :])
     if n:
         # The label is one more voter: its rates given the class, by the posterior of the others.
@@ -247,7 +286,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         hit, false = (post @ y + 1) / (post.sum() + 2), ((1 - post) @ y + 1) / ((1 - post).sum() + 2)
         odds = odds + np.where(y, np.log(hit / false), np.log((1 - hit) / (1 - false)))
     soft = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
-    return Model(lexicon, features, logistic(x, soft), model)
+    return Model(lexicon, features, logistic(x, soft, np.r_[np.full(len(features), 3.0), np.full(m, 0.3)]), model, n_seeds)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
