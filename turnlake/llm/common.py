@@ -56,6 +56,12 @@ def discard(df: DataFrame) -> None:
         where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def settle(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished steps now: it does once the driver's garbage is collected, which may take long."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def join_small(df: DataFrame, side: DataFrame, on, how: str, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
     """Join with a written table: broadcast if its rows, counted, stay under limit bytes, else a shuffle join."""
     return df.join(F.broadcast(side) if side.count() * row_bytes <= limit else side, on, how)

@@ -14,10 +14,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from turnlake.llm.common import BROADCAST_BYTES, Words, components, discard, join_small, mix, prepare, release, scratch, slices
+from turnlake.llm.common import BROADCAST_BYTES, Words, components, discard, join_small, mix, prepare, release, scratch, settle, slices
 
 REACH, MIN_WORDS, SHINGLE, SIMILARITY = 4, 16, 5, 0.8
 BANDS, ROWS = 10, 3
+#: Rounds of drawing lines from each bucket, and lines drawn in each.
+ROUNDS, DRAWS = 3, 4
 #: Longs of a line's bitmap, which has a bit for the hash of every shingle.
 BITMAP = 4
 _U = np.uint64
@@ -164,17 +166,17 @@ def line_shingles(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str
 def line_classes(docs: DataFrame, units: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, component) of lines that have similar ones: components of all verified pairs of lines that share a bucket.
 
-    In a bucket every line is compared with a line drawn from it; lines that this leaves in another component than a second drawn line
-    are compared with that. What is then in different components of one bucket is compared pair by pair, but for pairs whose bitmaps
-    show that they can't be similar. Lines are drawn by aggregation and joined back, so a bucket of any size spreads over tasks; the
-    drawn ones are those of least and greatest id ^ band, which is an order of its own in each bucket.
+    In a bucket every line is compared with a line drawn from it, then, for ROUNDS rounds or until that finds nothing, with DRAWS more
+    that lie in other components. What is then in different components of one bucket is compared pair by pair, but for pairs whose
+    bitmaps show that they can't be similar. Lines are drawn by aggregation and joined back, so a bucket of any size spreads over
+    tasks; the drawn one is that of least id ^ hash, which is an order of its own in each bucket.
     """
+    spark = docs.sparkSession
     distinct = scratch(units.filter("line").groupBy("id").agg(F.first("bands").alias("bands"), F.first("bits").alias("bits"), F.max("n").alias("n"), F.min(F.struct("doc", "start")).alias("at")), "lines")
     met = distinct.select("id", F.explode("bands").alias("band"))
     order = F.col("id").bitwiseXOR(F.col("band"))
     ends = met.groupBy("band").agg(F.min(order).alias("a"), F.max(order).alias("b")).filter("a <> b")
-    centres = ends.select("band", F.col("a").bitwiseXOR(F.col("band")).alias("c0"), F.col("b").bitwiseXOR(F.col("band")).alias("c1"))
-    stars = scratch(met.join(centres, "band"), "stars")
+    stars = scratch(met.join(ends.select("band", F.col("a").bitwiseXOR(F.col("band")).alias("c0")), "band"), "stars")
     wanted = stars.select("id").distinct().join(distinct.select("id", "at.doc", "at.start"), "id")
     sets = scratch(line_shingles(docs, wanted, id_col, text_col), "sets")
     marks = scratch(distinct.select("id", "bits", "n").join(stars.select("id").distinct(), "id", "left_semi"), "marks")
@@ -185,14 +187,19 @@ def line_classes(docs: DataFrame, units: DataFrame, id_col: str, text_col: str)
     def verified(pairs: DataFrame) -> DataFrame:
         return scratch(pairs.distinct().join(sets.toDF("u", "s"), "u").join(sets.toDF("v", "t"), "v").filter(similar).select("u", "v"), "near")
 
-    def open_buckets(parts: DataFrame, columns: list[str]) -> DataFrame:
-        """Rows of the buckets whose lines lie in several components, with these as of; also the components of columns."""
-        rows = stars.select("band", "id", *columns)
-        for name in ("id", *columns):
-            rows = rows.join(parts.toDF(name, "found"), name, "left").withColumn("of" if name == "id" else f"of_{name}", F.coalesce("found", name)).drop("found")
+    def open_buckets(parts: DataFrame) -> DataFrame:
+        """(band, id, of) of the buckets whose lines lie in several components; of is the component."""
+        rows = stars.select("band", "id").join(parts.toDF("id", "of"), "id", "left").withColumn("of", F.coalesce("of", "id"))
         several = rows.groupBy("band").agg(F.min("of").alias("a"), F.max("of").alias("b")).filter("a <> b").select("band")
         return scratch(rows.join(several, "band"), "open")
 
+    def drawn(rows: DataFrame, salt: int) -> DataFrame:
+        """Pairs (u, v) of rows with DRAWS lines of their bucket that lie in other components."""
+        orders = [F.xxhash64("band", F.lit(salt * DRAWS + k)) for k in range(DRAWS)]
+        picks = [F.min(F.struct(F.col("id").bitwiseXOR(h).alias("x"), F.col("id").alias("v"), F.col("of").alias("of_v"))) for h in orders]
+        centres = rows.groupBy("band").agg(F.array(*picks).alias("picks"))
+        return rows.join(centres, "band").select(F.col("id").alias("u"), "of", F.explode("picks").alias("x")).filter("of <> x.of_v").select("u", "x.v")
+
     def classes(near: DataFrame) -> DataFrame:
         return scratch(components(near).toDF("id", "component"), "line-classes")
 
@@ -202,15 +209,20 @@ def line_classes(docs: DataFrame, units: DataFrame, id_col: str, text_col: str)
         return pairs.distinct().join(sides[0], "u").join(sides[1], "v").filter(_may_be_similar("bits_u", "n_u", "bits_v", "n_v")).select("u", "v")
 
     near = verified(possible(stars.filter("id <> c0").select(F.col("id").alias("u"), F.col("c0").alias("v"))))
+    settle(spark)
     parts = classes(near)
-    rows = open_buckets(parts, ["c1"])
-    if rows.isEmpty():
-        return parts
-    found = verified(possible(rows.filter("of <> of_c1").select(F.col("id").alias("u"), F.col("c1").alias("v"))))
-    if not found.isEmpty():
+    for salt in range(ROUNDS):
+        rows = open_buckets(parts)
+        if rows.isEmpty():
+            return parts
+        found = verified(possible(drawn(rows, salt)))
+        if found.isEmpty():
+            break
         near = near.union(found)
         parts = classes(near)
-        rows = open_buckets(parts, [])
+    else:
+        rows = open_buckets(parts)
+    settle(spark)
     rest = rows.select("band", "id", "of").join(marks, "id")
     a, b = (rest.select("band", *[F.col(c).alias(f"{c}_{x}") for c in ("id", "of", "bits", "n")]) for x in "uv")
     met_again = (F.col("id_u") < F.col("id_v")) & (F.col("of_u") != F.col("of_v")) & _may_be_similar("bits_u", "n_u", "bits_v", "n_v")
@@ -244,6 +256,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         docs = join_small(docs, several.select("doc"), "doc", "left_anti", 8).union(once)
     units = scratch(paragraphs(docs, "doc", "text"), "units")
     near = line_classes(docs, units, "doc", "text")
+    settle(docs.sparkSession)
     lines = units.filter("line").join(near, "id", "left").select("doc", "start", "n", F.coalesce("component", "id").alias("id"), F.when(F.col("component").isNull(), F.col("chk")).otherwise(0).alias("chk"))
     firsts = lines.groupBy("id", "chk").agg(F.min(F.struct("doc", "start")).alias("first"), F.max(F.struct("doc", "start")).alias("last")).filter("first <> last").drop("last")
     gone = lines.join(firsts, ["id", "chk"]).filter("doc <> first.doc or start <> first.start").select("doc", "start", "n", "id", F.col("first.doc").alias("kept"))
