@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 
 from turnlake.llm.common import live, prepare
 
-#: Bounds of what a worker keeps: pieces with their tokens, transitions, pairs of tokens. What is full starts afresh.
-PIECES, PIECE_BYTES, TRANSITIONS, PAIRS = 150_000, 48, 250_000, 250_000
+#: Bounds of what a worker keeps: pieces with their tokens (twice so many), transitions, pairs of tokens. What is full starts afresh.
+PIECES, PIECE_CHARS, TRANSITIONS, PAIRS = 200_000, 24, 400_000, 400_000
 _NEVER = 1 << 62
 
 
@@ -269,14 +269,15 @@ class Codec:
         self.machine = Transducer(ranks)
         self.find = splitter(pattern)
         self.cache: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}  # the cache before it was full last: what is still in use moves over
         self.said: dict[int, str] = {r: str(r) for r in ranks.values()}
 
     def encode(self, text: str | None) -> list[int]:
         if not text:
             return []
-        cache = self.cache
-        if len(cache) > PIECES:
-            cache.clear()
+        if len(self.cache) > PIECES:
+            self.older, self.cache = self.cache, {}
+        cache, older = self.cache, self.older
         pieces = self.find(text)
         found = list(map(cache.get, pieces))
         if None in found:
@@ -285,9 +286,11 @@ class Codec:
                     piece = pieces[i]
                     found[i] = ids = cache.get(piece)
                     if ids is None:
-                        data = piece.encode("utf-8", "replace")
-                        found[i] = ids = tuple(self.machine.encode(data))
-                        if len(data) <= PIECE_BYTES:
+                        ids = older.get(piece)
+                        if ids is None:
+                            ids = tuple(self.machine.encode(piece.encode("utf-8", "replace")))
+                        found[i] = ids
+                        if len(piece) <= PIECE_CHARS:
                             cache[piece] = ids
         return list(chain.from_iterable(found))
 
