@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from turnlake.llm.common import live, prepare
+from turnlake.llm.common import live, prepare, shrink
 
 #: Bounds of what a worker keeps: pieces with their tokens (twice so many), transitions, pairs of tokens. What is full starts afresh.
 PIECES, PIECE_CHARS, TRANSITIONS, PAIRS = 200_000, 24, 400_000, 400_000
@@ -310,6 +310,7 @@ def encode(docs: DataFrame, ranks: bytes, pattern: str, text_col: str = "text",
     One pass without shuffle; a worker keeps bounded caches only.
     """
     prepare(docs.sparkSession)
+    shrink(docs.sparkSession)
     source = docs.drop(out_col, *([decoded_col] if decoded_col else []))
     text_at = source.columns.index(text_col)
 
@@ -346,6 +347,7 @@ def digests(docs: DataFrame, ranks: bytes, pattern: str, id_col: str = "doc_id",
     The same encoding and decoding as encode() without sending ids back to the JVM. Null and empty texts have no tokens.
     """
     prepare(docs.sparkSession)
+    shrink(docs.sparkSession)
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches):

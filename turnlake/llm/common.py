@@ -62,6 +62,15 @@ def settle(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+def shrink(spark: SparkSession) -> None:
+    """Have executors collect garbage, so that heap which earlier stages grew goes back to the system before Python workers need it.
+
+    A task for each core; what no task reaches keeps its heap, which is no harm.
+    """
+    n = spark.sparkContext.defaultParallelism
+    spark.range(0, n, 1, n).select(F.expr("reflect('java.lang.System', 'gc')").alias("done")).write.format("noop").mode("overwrite").save()
+
+
 def join_small(df: DataFrame, side: DataFrame, on, how: str, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
     """Join with a written table: broadcast if its rows, counted, stay under limit bytes, else a shuffle join."""
     return df.join(F.broadcast(side) if side.count() * row_bytes <= limit else side, on, how)
