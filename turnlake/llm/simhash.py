@@ -116,7 +116,12 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Of rows that repeat an id, one stays.
     """
-    found = scratch(near_duplicates(docs, id_col, text_col, width, radius).select(id_col, "component_id"), "simhash-rows").filter(F.col(id_col).isNotNull())
+    return keep_least(docs, near_duplicates(docs, id_col, text_col, width, radius), id_col)
+
+
+def keep_least(docs: DataFrame, found: DataFrame, id_col: str) -> DataFrame:
+    """docs without the rows whose component_id in found is another id; of rows that repeat an id, one stays."""
+    found = scratch(found.select(id_col, "component_id"), "simhash-rows").filter(F.col(id_col).isNotNull())
     own = found.groupBy(id_col).agg(F.bool_or(F.col(id_col) == F.col("component_id")).alias("own"))
     gone = scratch(own.filter("not own").select(id_col), "simhash-gone")
     repeated = scratch(found.groupBy(id_col).count().filter("count > 1").select(id_col), "simhash-repeated")
