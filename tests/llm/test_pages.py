@@ -56,6 +56,22 @@ def test_wrapper(spark):
     assert html_text.extract(df.limit(0)).count() == 0
 
 
+def extracted(spark, bodies):
+    """Texts of one host's pages, which lie in order in one task."""
+    rows = [(i, f"http://h.org/{i}", f"<html><body>{b}</body></html>") for i, b in enumerate(bodies)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    return {r.page_id: r.text.split("\n") for r in html_text.extract(df).collect()}
+
+
+def test_template_among_many_texts(spark):
+    """A line of every page is template however many other texts its node has, one of 17 pages in 20 is not inside an article."""
+    line = lambda x: f"<p>{x}</p>"
+    bodies = ["<article>" + "".join(line(f"text {k} of {i}") for k in range(30)) + line("Subscribe now") + (line("Not a template") if i % 20 < 17 else "") + "</article>" for i in range(100)]
+    got = extracted(spark, bodies)
+    for i in range(100):
+        assert got[i] == [f"text {k} of {i}" for k in range(30)] + ["Not a template"] * (i % 20 < 17)
+
+
 def test_tree_matching():
     tree = lambda s: html_text.of_page(html_text.parse(s)[0])
     a, b = tree("<div><h1>x</h1><ul><li>1</ul><p>y</p></div>"), tree("<div><h1>x</h1><p>z</p></div>")

@@ -1,13 +1,13 @@
 """Main text of web pages by wrapper induction.
 
 The DOM trees of a host's pages are merged into one wrapper: simple tree matching aligns the children of matched nodes (the largest
-order-preserving match, by dynamic programming), and every wrapper node counts the texts that pages have there. Texts that most
-pages share at a node are the template; what varies is content. Elements that say by tag, role, class or id that they are menus,
-headers, footers, sidebars, notices, adverts, forms or comments are left out at once, and an article or main element bounds the
-content where there is one.
+order-preserving match, by dynamic programming). Then every page is aligned with its host's wrapper, and pages are counted exactly for
+every (node, text) by a shuffle. Texts that most pages share at a node are the template; what varies is content. Elements that say by
+tag, role, class or id that they are menus, headers, footers, sidebars, notices, adverts, forms or comments are left out at once, and
+an article or main element bounds the content where there is one.
 
-Tasks merge their own pages first, so a host of any size meets as one wrapper per task, in two rounds. A wrapper keeps the
-SLOTS most frequent texts of a node (Misra-Gries) and drops nodes that under one page in RARE has, which can't be template.
+Tasks merge their own pages first, so a host of any size meets as one wrapper per task, in two rounds. A wrapper has no texts, and
+drops nodes that under one page in RARE has.
 """
 
 from __future__ import annotations
@@ -23,7 +23,9 @@ from pyspark.sql import functions as F
 
 from turnlake.llm.common import prepare, scratch
 
-SLOTS, RARE, HOSTS = 48, 200, 500
+RARE, HOSTS = 200, 500
+#: Counts that a task keeps before it passes them on.
+COUNTS = 100_000
 #: A text is template if at least so many pages have the node, and such a share of them the text: outside an article, inside one.
 OUTSIDE, INSIDE, SHORT_WORDS = (4, 0.5), (20, 0.9), 12
 
@@ -151,6 +153,11 @@ def _key(text: str) -> str:
     return xxhash.xxh64_hexdigest(text.encode("utf-8", "replace"))
 
 
+def _signed(text: str) -> int:
+    value = xxhash.xxh64_intdigest(text.encode("utf-8", "replace"))
+    return value - (1 << 64) if value >> 63 else value
+
+
 def of_page(node: Node) -> dict:
     """A page's tree as a wrapper of one page; neighbours of one label become one node that holds the texts of all."""
     children: list[dict] = []
@@ -193,42 +200,35 @@ def _weight(a: dict, b: dict) -> int:
 
 
 def merge(a: dict, b: dict, pages: int = 1) -> dict:
-    """One wrapper of two whose roots match; pages: 0 if both are parts of one page, so texts and nodes count once."""
-    add = (lambda x, y: x + y) if pages else max
-    texts = dict(a["t"])
-    for k, v in b["t"].items():
-        texts[k] = add(texts.get(k, 0), v)
-    if len(texts) > SLOTS and pages:
-        least = sorted(texts.values(), reverse=True)[SLOTS]
-        texts = {k: v - least for k, v in texts.items() if v > least}
+    """One wrapper of two whose roots match, without texts; pages: 0 if both are parts of one page, so nodes and texts count once."""
     children, i, j = [], 0, 0
     for x, y in [*match(a["c"], b["c"]), (len(a["c"]), len(b["c"]))]:
         children += a["c"][i:x] + b["c"][j:y]
         if x < len(a["c"]):
             children.append(merge(a["c"][x], b["c"][y], pages))
         i, j = x + 1, y + 1
-    n = add(a["n"], b["n"])
+    n = a["n"] + b["n"] if pages else 1
     if n > RARE:
         children = [c for c in children if c["n"] * RARE >= n]
-    return {"l": a["l"], "n": n, "t": texts, "c": children}
+    return {"l": a["l"], "n": n, "t": {} if pages else {**a["t"], **b["t"]}, "c": children}
+
 
+def bare(node: dict) -> dict:
+    """A page's tree without its texts."""
+    return {"l": node["l"], "n": node["n"], "t": {}, "c": [bare(c) for c in node["c"]]}
 
-def template(wrapper: dict) -> dict[str, float]:
-    """Texts of the template: "path text" to the share of the node's pages that have it, from the lower of the two bars on."""
-    out: dict[str, float] = {}
 
-    def walk(node: dict, path: str) -> None:
+def align(wrapper: dict, page: dict):
+    """(id, path, texts) of every node of a page: nodes of the wrapper by their place, others by their path of labels."""
+
+    def walk(known: dict | None, node: dict, place: str, path: str):
         path = f"{path}/{node['l']}"
-        for k, v in node["t"].items():
-            if node["n"] >= OUTSIDE[0] and v >= OUTSIDE[1] * node["n"]:
-                name = f"{_key(path)} {k}"
-                share = v / node["n"] if node["n"] >= INSIDE[0] else min(v / node["n"], INSIDE[1] - 0.01)
-                out[name] = max(out.get(name, 0), round(share, 3))
-        for c in node["c"]:
-            walk(c, path)
+        yield place if known else f"~{path}", path, node["t"]
+        at = {y: x for x, y in match(known["c"], node["c"])} if known else {}
+        for j, c in enumerate(node["c"]):
+            yield from walk(known["c"][at[j]] if j in at else None, c, f"{place}.{at.get(j)}", path)
 
-    walk(wrapper, "")
-    return out
+    return walk(wrapper, page, "", "")
 
 
 def main_text(page: str | None, known: dict[str, float] | None = None) -> str:
@@ -260,10 +260,8 @@ def host(url: Column) -> Column:
     return F.lower(F.coalesce(F.regexp_extract(url.cast("string"), r"(?s)^.*?://([^/?#]*)", 1), F.lit("")))
 
 
-def wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(host, known): the template of every host as JSON, from all of its pages."""
-    prepare(pages.sparkSession)
-    source = pages.select(host(F.col(url_col)).alias("host"), F.col(html_col).cast("string").alias("html"))
+def wrappers(source: DataFrame) -> DataFrame:
+    """(host, wrapper): the wrapper of every host as JSON, from all pages (host, html)."""
 
     def first(batches):
         found: dict[str, dict] = {}
@@ -273,7 +271,7 @@ def wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html") ->
 
         for batch in batches:
             for h, page in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist()):
-                one = of_page(parse(page)[0])
+                one = bare(of_page(parse(page)[0]))
                 found[h] = merge(found[h], one) if h in found else one
                 if len(found) > HOSTS:
                     yield rows()
@@ -281,34 +279,84 @@ def wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html") ->
         if found:
             yield rows()
 
-    def fold(last: bool):
-        def run(table: pa.Table) -> pa.Table:
-            whole = None
-            for row in table.column("wrapper"):
-                one = json.loads(row.as_py())
-                whole = merge(whole, one) if whole else one
-            if not last:
-                return pa.table({"host": table.column("host")[:1], "wrapper": [json.dumps(whole)]})
-            known = template(whole)
-            return pa.table({"host": table.column("host")[:1], "known": [json.dumps(known)] if known else pa.array([None], pa.string())})
+    def fold(table: pa.Table) -> pa.Table:
+        whole = None
+        for row in table.column("wrapper"):
+            one = json.loads(row.as_py())
+            whole = merge(whole, one) if whole else one
+        return pa.table({"host": table.column("host")[:1], "wrapper": [json.dumps(whole)]})
+
+    parts = source.select("host", "html").mapInArrow(first, "host string, wrapper string").withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(256)))
+    parts = parts.groupBy("host", "salt").applyInArrow(fold, "host string, wrapper string")
+    return parts.groupBy("host").applyInArrow(fold, "host string, wrapper string")
+
+
+def attach(source: DataFrame, side: DataFrame, column: str, broadcast_bytes: int) -> DataFrame:
+    """source with the host's value of a written table: broadcast if all values take no more than broadcast_bytes, else by a shuffle."""
+    size = side.agg(F.sum(F.length(column) + F.length("host"))).first()[0] or 0
+    return source.join(F.broadcast(side) if size <= broadcast_bytes else side, "host", "left")
 
-        return run
 
-    parts = source.mapInArrow(first, "host string, wrapper string").withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(256)))
-    parts = parts.groupBy("host", "salt").applyInArrow(fold(False), "host string, wrapper string")
-    return parts.groupBy("host").applyInArrow(fold(True), "host string, known string")
+def templates(source: DataFrame, broadcast_bytes: int) -> DataFrame:
+    """(host, known): the template of every host that has one, as JSON: "path text" to the share of the node's pages that have the text,
+    from the lower of the two bars on. Pages (host, html) are counted exactly."""
+    joined = attach(source, scratch(wrappers(source), "wrappers"), "wrapper", broadcast_bytes)
+
+    def count(batches):
+        seen: dict[str, dict] = {}
+        nodes: dict[tuple[str, str, str], int] = {}
+        texts: dict[tuple[int, str], int] = {}
+
+        def rows():
+            names = ["node", "host", "path", "text", "n"]
+            ids = [_signed(f"{h} {place}") for h, place, _ in nodes]
+            columns = [pa.array(ids, pa.int64()), pa.array([h for h, _, _ in nodes], pa.string()), pa.array([_key(p) for _, _, p in nodes], pa.string()), pa.nulls(len(ids), pa.string()), pa.array(list(nodes.values()), pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+            ids = [node for node, _ in texts]
+            columns = [pa.array(ids, pa.int64()), pa.nulls(len(ids), pa.string()), pa.nulls(len(ids), pa.string()), pa.array([t for _, t in texts], pa.string()), pa.array(list(texts.values()), pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+            nodes.clear()
+            texts.clear()
+
+        for batch in batches:
+            for h, page, w in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), batch.column("wrapper").to_pylist()):
+                if w not in seen:
+                    if len(seen) > HOSTS:
+                        seen.clear()
+                    seen[w] = json.loads(w)
+                found: dict[tuple[str, str], dict] = {}
+                for place, path, own in align(seen[w], of_page(parse(page)[0])):
+                    found.setdefault((place, path), {}).update(own)
+                for (place, path), own in found.items():
+                    nodes[h, place, path] = nodes.get((h, place, path), 0) + 1
+                    if own:
+                        node = _signed(f"{h} {place}")
+                        for t in own:
+                            texts[node, t] = texts.get((node, t), 0) + 1
+                if len(nodes) + len(texts) > COUNTS:
+                    yield from rows()
+        if nodes:
+            yield from rows()
+
+    counts = joined.select("host", "html", "wrapper").mapInArrow(count, "node bigint, host string, path string, text string, n bigint")
+    counts = scratch(counts.groupBy("node", "host", "path", "text").agg(F.sum("n").alias("n")).filter(F.col("n") >= OUTSIDE[0] * OUTSIDE[1]), "template-counts")
+    nodes = counts.filter("text is null").filter(F.col("n") >= OUTSIDE[0]).select("node", "host", "path", F.col("n").alias("pages"))
+    found = counts.filter("text is not null").select("node", "text", "n").join(nodes, "node").filter(F.col("n") >= OUTSIDE[1] * F.col("pages"))
+    share = F.col("n") / F.col("pages")
+    found = found.withColumn("share", F.when(F.col("pages") >= INSIDE[0], share).otherwise(F.least(share, F.lit(INSIDE[1] - 0.01))))
+    found = found.groupBy("host", F.concat_ws(" ", "path", "text").alias("name")).agg(F.max("share").alias("share"))
+    return found.groupBy("host").agg(F.to_json(F.map_from_entries(F.sort_array(F.collect_list(F.struct("name", "share"))))).alias("known"))
 
 
 def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html", id_col: str = "page_id", broadcast_bytes: int = 64 << 20) -> DataFrame:
     """Per row of pages: id, url, text, n_chars. Null pages and urls are empty; an empty host is a host; repeated rows stay.
 
-    Templates are broadcast if they take no more than broadcast_bytes together, else joined by a shuffle on the host.
+    Wrappers and templates are broadcast if they take no more than broadcast_bytes together, else joined by a shuffle on the host.
     """
     prepare(pages.sparkSession)
-    known = scratch(wrappers(pages, url_col, html_col).filter("known is not null"), "wrappers")
-    size = known.agg(F.sum(F.length("known") + F.length("host"))).first()[0] or 0
     source = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).cast("string").alias("html"), host(F.col(url_col)).alias("host"))
-    joined = source.join(F.broadcast(known) if size <= broadcast_bytes else known, "host", "left").select("id", "url", "html", "known")
+    known = scratch(templates(source.select("host", "html"), broadcast_bytes), "templates")
+    joined = attach(source, known, "known", broadcast_bytes).select("id", "url", "html", "known")
 
     def run(batches):
         seen: dict[str, dict] = {}
