@@ -72,6 +72,23 @@ def test_template_among_many_texts(spark):
         assert got[i] == [f"text {k} of {i}" for k in range(30)] + ["Not a template"] * (i % 20 < 17)
 
 
+def test_late_and_rare_nodes(spark):
+    """Templates of nodes that pages have only after many others, or only few pages have; one page's own texts stay."""
+    late, rare = "<div class='late'><p>New design</p></div>", "<div class='rare'><p>Week of sales</p></div>"
+    bodies = [f"<div class='text'><p>page {i}</p></div>{late if i > 250 else ''}{rare if i % 125 == 3 else ''}" for i in range(600)]
+    assert extracted(spark, bodies) == {i: [f"page {i}"] for i in range(600)}
+
+
+def test_wrapper_of_many_nodes(spark, monkeypatch):
+    """What a full wrapper drops is counted by its path."""
+    monkeypatch.setattr(html_text, "NODES", 40)
+    many = html_text.trim({"l": "", "n": 90, "t": {}, "c": [{"l": f"p.x{i}", "n": i + 1, "t": {}, "c": []} for i in range(60)]})
+    assert len(many["c"]) < 40 and many["c"][-1]["n"] == 60
+    page = html_text.of_page(html_text.parse("<div><p class='y'>a</p><p class='z'>b</p></div>")[0])
+    places = [x[:2] for x in html_text.align(html_text.of_page(html_text.parse("<div><p class='y'>c</p></div>")[0]), page)]
+    assert places == [("", "/"), (".0", "//div"), (".0.0", "//div/p.y"), ("~//div/p.z", "//div/p.z")]
+
+
 def test_tree_matching():
     tree = lambda s: html_text.of_page(html_text.parse(s)[0])
     a, b = tree("<div><h1>x</h1><ul><li>1</ul><p>y</p></div>"), tree("<div><h1>x</h1><p>z</p></div>")

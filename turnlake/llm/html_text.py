@@ -6,8 +6,8 @@ every (node, text) by a shuffle. Texts that most pages share at a node are the t
 tag, role, class or id that they are menus, headers, footers, sidebars, notices, adverts, forms or comments are left out at once, and
 an article or main element bounds the content where there is one.
 
-Tasks merge their own pages first, so a host of any size meets as one wrapper per task, in two rounds. A wrapper has no texts, and
-drops nodes that under one page in RARE has.
+Tasks merge their own pages first, so a host of any size meets as one wrapper per task, in two rounds. A wrapper has no texts. Only
+one of more than NODES nodes drops its rarest; what pages have there is counted all the same, by its path of labels.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from turnlake.llm.common import prepare, scratch
 
-RARE, HOSTS = 200, 500
+NODES, CHECKED, HOSTS = 2000, 64, 500
 #: Counts that a task keeps before it passes them on.
 COUNTS = 100_000
 #: A text is template if at least so many pages have the node, and such a share of them the text: outside an article, inside one.
@@ -207,10 +207,7 @@ def merge(a: dict, b: dict, pages: int = 1) -> dict:
         if x < len(a["c"]):
             children.append(merge(a["c"][x], b["c"][y], pages))
         i, j = x + 1, y + 1
-    n = a["n"] + b["n"] if pages else 1
-    if n > RARE:
-        children = [c for c in children if c["n"] * RARE >= n]
-    return {"l": a["l"], "n": n, "t": {} if pages else {**a["t"], **b["t"]}, "c": children}
+    return {"l": a["l"], "n": a["n"] + b["n"] if pages else 1, "t": {} if pages else {**a["t"], **b["t"]}, "c": children}
 
 
 def bare(node: dict) -> dict:
@@ -218,6 +215,22 @@ def bare(node: dict) -> dict:
     return {"l": node["l"], "n": node["n"], "t": {}, "c": [bare(c) for c in node["c"]]}
 
 
+def trim(wrapper: dict) -> dict:
+    """A wrapper of more than NODES nodes with the most frequent half of so many, any other as it is."""
+    sizes: list[int] = []
+
+    def walk(node: dict) -> None:
+        sizes.append(node["n"])
+        for c in node["c"]:
+            walk(c)
+
+    def cut(node: dict, least: int) -> dict:
+        return {**node, "c": [cut(c, least) for c in node["c"] if c["n"] > least]}
+
+    walk(wrapper)
+    return wrapper if len(sizes) <= NODES else cut(wrapper, sorted(sizes, reverse=True)[NODES // 2])
+
+
 def align(wrapper: dict, page: dict):
     """(id, path, texts) of every node of a page: nodes of the wrapper by their place, others by their path of labels."""
 
@@ -273,6 +286,8 @@ def wrappers(source: DataFrame) -> DataFrame:
             for h, page in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist()):
                 one = bare(of_page(parse(page)[0]))
                 found[h] = merge(found[h], one) if h in found else one
+                if found[h]["n"] % CHECKED == 0:
+                    found[h] = trim(found[h])
                 if len(found) > HOSTS:
                     yield rows()
                     found.clear()
@@ -283,7 +298,7 @@ def wrappers(source: DataFrame) -> DataFrame:
         whole = None
         for row in table.column("wrapper"):
             one = json.loads(row.as_py())
-            whole = merge(whole, one) if whole else one
+            whole = trim(merge(whole, one)) if whole else one
         return pa.table({"host": table.column("host")[:1], "wrapper": [json.dumps(whole)]})
 
     parts = source.select("host", "html").mapInArrow(first, "host string, wrapper string").withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(256)))
