@@ -66,6 +66,13 @@ def test_stages_odd_rows(spark):
             docs = out if k < 4 else docs
 
 
+def test_tokens_are_decoded(spark):
+    texts = ["Some words, and more.", " \n\ttabs ", "É日本語🙂\u0301", "", None, "a" * 5000]
+    docs = spark.createDataFrame([(i, t, "en", "a") for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string")
+    got = {r.doc_id: r.decoded_md5 for r in corpus_pipeline.encode_tokens(spark, docs, SF).collect()}
+    assert got == {i: hashlib.md5((t or "").encode()).hexdigest() for i, t in enumerate(texts)}
+
+
 def test_registered():
     import __spark_entry__ as e
     from turnlake.llm import queries
