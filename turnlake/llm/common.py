@@ -56,19 +56,12 @@ def discard(df: DataFrame) -> None:
         where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def settle(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of finished steps now: it does once the driver's garbage is collected, which may take long."""
-    gc.collect()
-    spark._jvm.System.gc()
-
-
-def shrink(spark: SparkSession) -> None:
-    """Have executors collect garbage, so that heap which earlier stages grew goes back to the system before Python workers need it.
-
-    A task for each core; what no task reaches keeps its heap, which is no harm.
-    """
-    n = spark.sparkContext.defaultParallelism
-    spark.range(0, n, 1, n).select(F.expr("reflect('java.lang.System', 'gc')").alias("done")).write.format("noop").mode("overwrite").save()
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, with as many underscores before it as it takes to clash with no column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
 
 
 def join_small(df: DataFrame, side: DataFrame, on, how: str, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:

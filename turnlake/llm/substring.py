@@ -1,7 +1,7 @@
 """Substring dedup: paragraphs, found by MinHash banding and exact identity, verified by exact Jaccard, clustered by components.
 
-Two kinds of paragraphs are cut from each text. Lines of MIN_WORDS words or more meet if they are equal or if one of BANDS bands of
-ROWS minhashes over their five-word shingles is equal; at a similarity of 0.8 a pair meets with probability 0.999. Pieces are
+Two kinds of paragraphs are cut from each text. Lines of MIN_WORDS words or more meet if they are equal or if one of 16 bands of
+5 minhashes over their five-word shingles is equal; at a similarity of 0.8 a pair meets with probability 0.998. Pieces are
 content-defined paragraphs: a cut stands before the word whose pair with the next has the least hash among REACH words to either
 side, so a passage has the same cuts inside wherever it stands, and meets its copies by identity. Of each cluster the first
 paragraph (least id, then position) stays, the others go; what goes counts only in runs of MIN_WORDS words or more.
@@ -14,16 +14,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from turnlake.llm.common import BROADCAST_BYTES, Words, components, discard, join_small, mix, prepare, release, scratch, settle, slices
+from turnlake.llm import minhash
+from turnlake.llm.common import BROADCAST_BYTES, Words, discard, free_name, join_small, mix, prepare, release, scratch, slices
 
-REACH, MIN_WORDS, SHINGLE, SIMILARITY = 4, 16, 5, 0.8
-BANDS, ROWS = 10, 3
-#: Rounds of drawing lines from each bucket, and lines drawn in each.
-ROUNDS, DRAWS = 3, 4
-#: Longs of a line's bitmap, which has a bit for the hash of every shingle.
-BITMAP = 4
+REACH, MIN_WORDS, SHINGLE = 4, 16, 5
+BANDS = minhash.Bands(16, 5, 11)
 _U = np.uint64
-_SEEDS = np.random.default_rng(11).integers(1, 2**63, BANDS * ROWS, dtype=np.uint64)
 _STEP = _U(0xD6E8FEB86659FD93)
 
 
@@ -52,6 +48,24 @@ def _lines(words: Words) -> np.ndarray:
     return np.append(at[at < n], n)
 
 
+def _periodic(h: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """The first and the last of neighbouring words that have REACH words to either side, all in one run of a period of at most REACH.
+
+    Inside such a run no pair's hash is the least, so it cuts by this rule, which looks at the run alone.
+    """
+    n = len(h)
+    inside = np.zeros(n + 2, bool)
+    for p in range(1, REACH + 1):
+        if n > 2 * REACH:
+            same = np.zeros(n + 1, np.int64)
+            same[1 : n - p + 1] = (h[:-p] == h[p:]) & (doc[:-p] == doc[p:])
+            np.cumsum(same, out=same)
+            same[n - p + 1 :] = same[n - p]
+            at = np.arange(REACH, n - REACH)
+            inside[at + 1] |= same[at + REACH - p + 1] - same[at - REACH] == 2 * REACH - p + 1
+    return inside[1:-1] & ~(inside[:-2] & inside[2:])
+
+
 def _pieces(words: Words, h: np.ndarray) -> np.ndarray:
     n = len(h)
     pair = np.full(n, _U(0xFFFFFFFFFFFFFFFF))
@@ -68,6 +82,7 @@ def _pieces(words: Words, h: np.ndarray) -> np.ndarray:
     for k in range(1, REACH + 1):
         cut &= pair < high[at - k]
         cut &= pair <= high[at + k]
+    cut |= _periodic(h, doc)
     cut[words.first[:-1][words.first[:-1] < n]] = True
     return np.append(np.flatnonzero(cut), n)
 
@@ -83,25 +98,10 @@ def _shingles(h: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.n
     return rolled[np.repeat(starts - begin[:-1], n) + np.arange(begin[-1])], begin
 
 
-def _bands(h: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of the bands and the bitmap of each line."""
-    values, begin = _shingles(h, starts, ends)
-    place = values & _U(64 * BITMAP - 1)
-    bit, word = _U(1) << (place & _U(63)), place >> _U(6)
-    bits = np.column_stack([np.bitwise_or.reduceat(np.where(word == _U(w), bit, _U(0)), begin[:-1]) for w in range(BITMAP)])
-    out = np.empty((len(starts), BANDS), np.uint64)
-    for b in range(BANDS):
-        key = np.full(len(starts), _U(b + 1))
-        for seed in _SEEDS[b * ROWS : (b + 1) * ROWS]:
-            key = key * _STEP + np.minimum.reduceat(mix(values ^ seed), begin[:-1])
-        out[:, b] = mix(key)
-    return out.view(np.int64), bits.view(np.int64)
-
-
 def paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Paragraphs of whole texts: (line, doc, start, n, id, chk, again, bands, bits).
+    """Paragraphs of whole texts: (line, doc, start, n, id, chk, again, bands).
 
-    start and n count words; again marks a piece that its text has before; bands and bits are for lines only.
+    start and n count words; again marks a piece that its text has before; bands are for lines only.
     """
     prepare(docs.sparkSession)
     source = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text")).filter("doc is not null and text is not null")
@@ -126,16 +126,16 @@ def paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                     doc = np.searchsorted(words.first, starts, "right") - 1
                     ids, chk = _spans(h, starts, ends)
                     if line:
-                        bands, bits = (pa.ListArray.from_arrays(pa.array(np.arange(len(starts) + 1, dtype=np.int32) * x.shape[1]), pa.array(np.ascontiguousarray(x).ravel())) for x in _bands(h, starts, ends))
+                        bands = pa.ListArray.from_arrays(pa.array(np.arange(len(starts) + 1, dtype=np.int32) * BANDS.n), pa.array(BANDS.keys(*_shingles(h, starts, ends)).ravel()))
                     else:
-                        bands = bits = pa.nulls(len(starts), pa.list_(pa.int64()))
+                        bands = pa.nulls(len(starts), pa.list_(pa.int64()))
                     again = np.zeros(len(starts), bool)
                     if not line:
                         again[:] = True
                         again[np.unique(mix(ids.view(np.uint64) ^ mix(doc.astype(np.uint64) + _U(1))), return_index=True)[1]] = False
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(starts), line)), pa.array(doc_ids[doc]), pa.array((starts - words.first[doc]).astype(np.int32)), pa.array((ends - starts).astype(np.int32)), pa.array(ids), pa.array(chk), pa.array(again), bands, bits], names=["line", "doc", "start", "n", "id", "chk", "again", "bands", "bits"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(starts), line)), pa.array(doc_ids[doc]), pa.array((starts - words.first[doc]).astype(np.int32)), pa.array((ends - starts).astype(np.int32)), pa.array(ids), pa.array(chk), pa.array(again), bands], names=["line", "doc", "start", "n", "id", "chk", "again", "bands"])
 
-    return source.mapInArrow(run, "line boolean, doc bigint, start int, n int, id bigint, chk int, again boolean, bands array<bigint>, bits array<bigint>")
+    return source.mapInArrow(run, "line boolean, doc bigint, start int, n int, id bigint, chk int, again boolean, bands array<bigint>")
 
 
 def line_shingles(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -164,99 +164,38 @@ def line_shingles(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str
 
 
 def line_classes(docs: DataFrame, units: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, component) of lines that have similar ones: components of all verified pairs of lines that share a bucket.
+    """(id, component) of lines that have similar ones: components of all similar pairs of lines that share a band."""
+    distinct = scratch(units.filter("line").groupBy("id").agg(F.first("bands").alias("bands"), F.min(F.struct("doc", "start")).alias("at")), "lines")
 
-    In a bucket every line is compared with a line drawn from it, then, for ROUNDS rounds or until that finds nothing, with DRAWS more
-    that lie in other components. What is then in different components of one bucket is compared pair by pair, but for pairs whose
-    bitmaps show that they can't be similar. Lines are drawn by aggregation and joined back, so a bucket of any size spreads over
-    tasks; the drawn one is that of least id ^ hash, which is an order of its own in each bucket.
-    """
-    spark = docs.sparkSession
-    distinct = scratch(units.filter("line").groupBy("id").agg(F.first("bands").alias("bands"), F.first("bits").alias("bits"), F.max("n").alias("n"), F.min(F.struct("doc", "start")).alias("at")), "lines")
-    met = distinct.select("id", F.explode("bands").alias("band"))
-    order = F.col("id").bitwiseXOR(F.col("band"))
-    ends = met.groupBy("band").agg(F.min(order).alias("a"), F.max(order).alias("b")).filter("a <> b")
-    stars = scratch(met.join(ends.select("band", F.col("a").bitwiseXOR(F.col("band")).alias("c0")), "band"), "stars")
-    wanted = stars.select("id").distinct().join(distinct.select("id", "at.doc", "at.start"), "id")
-    sets = scratch(line_shingles(docs, wanted, id_col, text_col), "sets")
-    marks = scratch(distinct.select("id", "bits", "n").join(stars.select("id").distinct(), "id", "left_semi"), "marks")
+    def sets_of(wanted: DataFrame) -> DataFrame:
+        at = wanted.join(distinct.select(F.col("id").alias("key"), "at"), "key").select(F.col("key").alias("id"), "at.doc", "at.start")
+        return line_shingles(docs, at, id_col, text_col).withColumnRenamed("id", "key")
+
+    found = scratch(minhash.links(distinct.select(F.col("id").alias("key"), "bands"), sets_of).toDF("id", "component"), "line-classes")
     discard(distinct)
-    common = F.size(F.array_intersect("s", "t"))
-    similar = common >= SIMILARITY * (F.size("s") + F.size("t") - common)
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        return scratch(pairs.distinct().join(sets.toDF("u", "s"), "u").join(sets.toDF("v", "t"), "v").filter(similar).select("u", "v"), "near")
-
-    def open_buckets(parts: DataFrame) -> DataFrame:
-        """(band, id, of) of the buckets whose lines lie in several components; of is the component."""
-        rows = stars.select("band", "id").join(parts.toDF("id", "of"), "id", "left").withColumn("of", F.coalesce("of", "id"))
-        several = rows.groupBy("band").agg(F.min("of").alias("a"), F.max("of").alias("b")).filter("a <> b").select("band")
-        return scratch(rows.join(several, "band"), "open")
-
-    def drawn(rows: DataFrame, salt: int) -> DataFrame:
-        """Pairs (u, v) of rows with DRAWS lines of their bucket that lie in other components."""
-        orders = [F.xxhash64("band", F.lit(salt * DRAWS + k)) for k in range(DRAWS)]
-        picks = [F.min(F.struct(F.col("id").bitwiseXOR(h).alias("x"), F.col("id").alias("v"), F.col("of").alias("of_v"))) for h in orders]
-        centres = rows.groupBy("band").agg(F.array(*picks).alias("picks"))
-        return rows.join(centres, "band").select(F.col("id").alias("u"), "of", F.explode("picks").alias("x")).filter("of <> x.of_v").select("u", "x.v")
-
-    def classes(near: DataFrame) -> DataFrame:
-        return scratch(components(near).toDF("id", "component"), "line-classes")
-
-    def possible(pairs: DataFrame) -> DataFrame:
-        """Pairs (u, v) whose bitmaps and sizes allow the similarity."""
-        sides = [marks.select(F.col("id").alias(x), F.col("bits").alias(f"bits_{x}"), F.col("n").alias(f"n_{x}")) for x in "uv"]
-        return pairs.distinct().join(sides[0], "u").join(sides[1], "v").filter(_may_be_similar("bits_u", "n_u", "bits_v", "n_v")).select("u", "v")
-
-    near = verified(possible(stars.filter("id <> c0").select(F.col("id").alias("u"), F.col("c0").alias("v"))))
-    settle(spark)
-    parts = classes(near)
-    for salt in range(ROUNDS):
-        rows = open_buckets(parts)
-        if rows.isEmpty():
-            return parts
-        found = verified(possible(drawn(rows, salt)))
-        if found.isEmpty():
-            break
-        near = near.union(found)
-        parts = classes(near)
-    else:
-        rows = open_buckets(parts)
-    settle(spark)
-    rest = rows.select("band", "id", "of").join(marks, "id")
-    a, b = (rest.select("band", *[F.col(c).alias(f"{c}_{x}") for c in ("id", "of", "bits", "n")]) for x in "uv")
-    met_again = (F.col("id_u") < F.col("id_v")) & (F.col("of_u") != F.col("of_v")) & _may_be_similar("bits_u", "n_u", "bits_v", "n_v")
-    met_again = a.join(b.withColumnRenamed("band", "band_v"), (F.col("band") == F.col("band_v")) & met_again)
-    found = verified(met_again.select(F.col("id_u").alias("u"), F.col("id_v").alias("v")))
-    return parts if found.isEmpty() else classes(near.union(found))
-
-
-def _may_be_similar(bits_a: str, n_a: str, bits_b: str, n_b: str) -> Column:
-    """False only for lines that can't reach SIMILARITY: sets of a and b shingles that do differ in at most (a + b) / 9 of them.
-
-    Every differing bit of the bitmaps is a shingle that only one has; n - 4 is the number of shingles or more.
-    """
-    most = (F.greatest(F.col(n_a) - SHINGLE + 1, F.lit(1)) + F.greatest(F.col(n_b) - SHINGLE + 1, F.lit(1))) * ((1 - SIMILARITY) / (1 + SIMILARITY)) + 1e-6
-    bits = sum((F.bit_count(F.get(bits_a, F.lit(i)).bitwiseXOR(F.get(bits_b, F.lit(i)))) for i in range(1, BITMAP)), F.bit_count(F.get(bits_a, F.lit(0)).bitwiseXOR(F.get(bits_b, F.lit(0)))))
-    return bits <= most
+    return found
 
 
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Runs of words that go: (id, start, end, n_words, component_id, kept_id), start and end in words of the whole text.
 
     component_id is the cluster of the run's first paragraph, kept_id the least document that keeps a copy (maybe the same one).
-    Null ids, null and empty texts take no part; rows that repeat an id and text are one text; ids with several texts take no part, as
-    positions in them would be unclear. An empty table gives no rows.
+    Null ids, null and empty texts take no part; rows that repeat an id and text are one text. text_key is null, but for ids with several
+    texts, where it is xxhash64 of the text that the positions are in; such texts stand under a number of their own, drawn by a hash, in
+    the order that says what stays. An empty table gives no rows.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text")).filter("doc is not null and text is not null")
     text_hash = F.xxhash64("text")
     several = scratch(docs.groupBy("doc").agg(F.min(text_hash).alias("a"), F.max(text_hash).alias("b"), F.count("*").alias("n")).filter("n > 1").select("doc", (F.col("a") == F.col("b")).alias("same")), "several")
+    own = None
     if not several.isEmpty():
-        once = join_small(docs, several.filter("same").select("doc"), "doc", "left_semi", 8).dropDuplicates(["doc"])
-        docs = join_small(docs, several.select("doc"), "doc", "left_anti", 8).union(once)
+        shared = join_small(docs, several, "doc", "inner", 9)
+        once = shared.filter("same").dropDuplicates(["doc"]).select("doc", "text")
+        own = shared.filter("not same").select("doc", text_hash.alias("text_key"), "text").dropDuplicates(["doc", "text_key"])
+        own = scratch(own.withColumn("number", F.xxhash64("doc", "text_key", F.lit(1))), "several-texts")
+        docs = join_small(docs, several.select("doc"), "doc", "left_anti", 8).union(once).union(own.select("number", "text"))
     units = scratch(paragraphs(docs, "doc", "text"), "units")
     near = line_classes(docs, units, "doc", "text")
-    settle(docs.sparkSession)
     lines = units.filter("line").join(near, "id", "left").select("doc", "start", "n", F.coalesce("component", "id").alias("id"), F.when(F.col("component").isNull(), F.col("chk")).otherwise(0).alias("chk"))
     firsts = lines.groupBy("id", "chk").agg(F.min(F.struct("doc", "start")).alias("first"), F.max(F.struct("doc", "start")).alias("last")).filter("first <> last").drop("last")
     gone = lines.join(firsts, ["id", "chk"]).filter("doc <> first.doc or start <> first.start").select("doc", "start", "n", "id", F.col("first.doc").alias("kept"))
@@ -268,22 +207,33 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     runs = gone.withColumn("new", F.when(F.col("start") <= top, 0).otherwise(1)).withColumn("run", F.sum("new").over(order))
     merged = runs.groupBy("doc", "run").agg(F.min("start").alias("start"), F.max(F.col("start") + F.col("n")).alias("end"), F.min(F.struct("start", "id")).alias("lead"), F.min("kept").alias("kept_id"))
     merged = merged.withColumn("n_words", F.col("end") - F.col("start")).filter(F.col("n_words") >= MIN_WORDS)
-    return merged.select(F.col("doc").alias(id_col), "start", "end", "n_words", F.col("lead.id").alias("component_id"), "kept_id")
+    out = merged.select("doc", "start", "end", "n_words", F.col("lead.id").alias("component_id"), "kept_id", F.lit(None).cast("long").alias("text_key"))
+    if own is not None:
+        known = own.select(F.col("number").alias("doc"), F.col("doc").alias("of"), F.col("text_key").alias("key"))
+        out = join_small(out, known, "doc", "left", 24).select(F.coalesce("of", "doc").alias("doc"), "start", "end", "n_words", "component_id", "kept_id", F.col("key").alias("text_key"))
+        out = join_small(out, known.select(F.col("doc").alias("kept_id"), F.col("of").alias("kept")), "kept_id", "left", 16).withColumn("kept_id", F.coalesce("kept", "kept_id"))
+    return out.select(F.col("doc").alias(id_col), "start", "end", "n_words", "component_id", "kept_id", "text_key")
 
 
 def remove(docs: DataFrame, runs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the words of the runs; a document that loses all its words goes, all others stay as they are."""
-    spans = scratch(runs.groupBy(F.col(id_col).alias("_cut_id")).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("_cuts"), F.count("*").alias("_n")), "cuts")
-    size = spans.agg(F.sum(F.col("_n") * 8 + 32)).first()[0] or 0
-    joined = docs.join(F.broadcast(spans.drop("_n")) if size <= 32 << 20 else spans.drop("_n"), docs[id_col] == F.col("_cut_id"), "left").drop("_cut_id")
+    key, cuts, size = (free_name(docs, x) for x in ("cut_id", "cuts", "n_cuts"))
+    spans = runs.groupBy(F.col(id_col).alias(key), "text_key").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans"), F.count("*").alias(size))
+    spans = scratch(spans.groupBy(key).agg(F.collect_list(F.struct("text_key", "spans")).alias(cuts), F.sum(size).alias(size)), "cuts")
+    total = spans.agg(F.sum(F.col(size) * 8 + 48)).first()[0] or 0
+    spans = spans.drop(size)
+    joined = docs.join(F.broadcast(spans) if total <= BROADCAST_BYTES else spans, docs[id_col] == F.col(key), "left").drop(key)
+    text = F.col(text_col).cast("string")
+    mine = F.filter(cuts, lambda x: x.text_key.isNull() | (x.text_key == F.xxhash64(text)))
+    joined = joined.withColumn(cuts, F.get(F.transform(mine, lambda x: x.spans), F.lit(0)))
     at, names = docs.columns.index(text_col), docs.columns
 
     def run(batches):
         release()
         for batch in batches:
-            texts, cuts = batch.column(at).to_pylist(), batch.column("_cuts").to_pylist()
+            texts, spans = batch.column(at).to_pylist(), batch.column(len(names)).to_pylist()
             stay = []
-            for i, c in enumerate(cuts):
+            for i, c in enumerate(spans):
                 if c:
                     words = Words(pa.array([texts[i]], pa.string()))
                     raw, n = words.data.tobytes(), len(words.starts)
