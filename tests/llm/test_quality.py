@@ -43,61 +43,60 @@ def corpus():
 
 def test_base_counts():
     column = pa.array(ODD, pa.string())
-    got = list(zip(*[x.tolist() for x in perplexity.base_counts(column)]))
+    words = perplexity.Words(column)
+    got = list(zip(*[x.tolist() for x in perplexity.base_counts(column, words, words.hashes())]))
     assert got == [base(t) for t in ODD]
 
 
-def test_model_sums_to_one():
-    good, _ = corpus()
-    data, offsets = perplexity.utf8(pa.array(good[:20]))
-    grams, n = np.unique(perplexity._grams(data, offsets), return_counts=True)
-    model = perplexity.train(grams, n)
-    for context in (*(grams[:20] // perplexity.SYMBOLS), 0, 12345):
-        p = np.exp(model.log_probability(int(context) * perplexity.SYMBOLS + np.arange(perplexity.SYMBOLS)))
-        assert p.sum() == pytest.approx(1, abs=1e-4)
-    assert np.allclose(model.scores(grams), model.log_probability(grams), atol=1e-5)
+def bigrams(texts):
+    words = perplexity.Words(pa.array(texts))
+    return perplexity.symbols(words, words.hashes())
 
 
-def test_kneser_ney_by_hand():
-    """Probabilities against the definition, with dictionaries, for a small set of counts."""
-    s = perplexity.SYMBOLS
+def test_packing():
+    r = np.random.default_rng(3)
+    g = np.append(r.integers(0, 1 << 40, 1000, dtype=np.uint64), [np.uint64(0), np.uint64((1 << 40) - 1)])
+    assert (perplexity._gram(perplexity._dealt(g)) == g).all() and perplexity._dealt(g).max() < 1 << 40
+    assert (perplexity._unpack_sorted(perplexity._pack_sorted(np.sort(g))) == np.sort(g)).all()
+    assert len(perplexity._unpack_sorted(b"")) == 0 and (perplexity._unpack(perplexity._pack(g, 5), 5) == g).all()
+
+
+@pytest.mark.parametrize("kept", [1 << 21, 30])
+def test_kneser_ney_by_hand(spark, monkeypatch, kept):
+    """Probabilities against the definition, with dictionaries; all symbols after a context sum to one, with pruning and without."""
+    monkeypatch.setattr(perplexity, "COUNTED", 50)
     r = random.Random(1)
-    counts = {}
-    for _ in range(600):
-        g = 0
-        for _ in range(4):
-            g = g * s + r.choice([1, 2, 3, 11, 12, 13])
-        counts[g] = counts.get(g, 0) + 1
-    levels = {4: counts}
-    for order in (3, 2, 1):
-        made = {}
-        for g in levels[order + 1]:
-            made[g % s**order] = made.get(g % s**order, 0) + 1
-        levels[order] = made
-
-    def cuts(c):
-        n = [max(sum(v == k for v in c.values()), 1) for k in range(1, 5)]
+    words = ["".join(r.choices("abcdefgh", k=4)) for _ in range(30)]
+    texts = [" ".join(r.choices(words, weights=range(1, 31), k=r.randrange(0, 40))) for _ in range(60)]
+    before, own = bigrams(texts)
+    c, firsts, lasts = {}, {}, {}
+    for u, v in zip(before.tolist(), own.tolist()):
+        c[u, v] = c.get((u, v), 0) + 1
+        firsts[u] = firsts.get(u, 0) + 1
+    for u, v in c:
+        lasts[v] = lasts.get(v, 0) + 1
+
+    def cuts(values):
+        n = [max(sum(x == k for x in values), 1) for k in range(1, 5)]
         y = n[0] / (n[0] + 2 * n[1])
-        raw = [1 - 2 * y * n[1] / n[0], 2 - 3 * y * n[2] / n[1], 3 - 4 * y * n[3] / n[2]]
-        return [min(max(x, 0), top) for x, top in zip(raw, (0.99, 1.98, 2.97))]
-
-    d = {o: cuts(levels[o]) for o in levels}
-
-    def p(order, g):
-        if not order:
-            return 1 / s
-        context = g // s
-        followers = [v for k, v in levels[order].items() if k // s == context]
-        if not followers:
-            return p(order - 1, g % s ** (order - 1))
-        total = sum(followers)
-        gamma = sum(d[order][min(v, 3) - 1] for v in followers) / total
-        c = levels[order].get(g, 0)
-        return (c - d[order][min(c, 3) - 1] if c else 0) / total + gamma * p(order - 1, g % s ** (order - 1))
-
-    model = perplexity.train(np.array(list(counts)), np.array(list(counts.values())))
-    some = [*list(counts)[:40], *[g + 1 for g in list(counts)[:20]], 5, s**3 + 7]
-    assert np.allclose(np.exp(model.log_probability(np.array(some))), [p(4, g) for g in some], atol=1e-5)
+        return [min(max(1 + k - (2 + k) * y * n[k + 1] / n[k], 0.01), 0.99 * (k + 1)) for k in range(3)]
+
+    bar = max(2, next(k for k in range(1, 100) if sum(x >= k for x in c.values()) <= kept))
+    d2, d1 = cuts(c.values()), cuts(lasts.values())
+    mass = sum(d1[min(x, 3) - 1] for x in lasts.values()) / len(c)
+
+    def p(u, v):
+        lower = ((lasts[v] - d1[min(lasts[v], 3) - 1]) / len(c) if v in lasts else 0) + mass / perplexity.SYMBOLS
+        part = lambda x: (x - d2[min(x, 3) - 1]) / firsts[u] if x >= bar else 0
+        return part(c.get((u, v), 0)) + (1 - sum(part(x) for (w, _), x in c.items() if w == u)) * lower
+
+    model = perplexity.fit(spark.createDataFrame([(t,) for t in [*texts, None]], "text string").repartition(5), kept=kept)
+    assert len(model.keys) <= kept and (kept > 30 or len(model.keys) > 5)
+    pairs = [*list(c)[:200], (before[0], 77), (999, own[0]), (999, 998)]
+    got = np.exp(model.log_probability(*np.array(pairs, np.int64).T))
+    assert np.allclose(got, [p(u, v) for u, v in pairs], rtol=1e-4)
+    for context in [*list(firsts)[:10], 999]:
+        assert np.exp(model.log_probability(np.full(perplexity.SYMBOLS, context), np.arange(perplexity.SYMBOLS))).sum() == pytest.approx(1, abs=1e-4)
 
 
 def test_judge(spark):
