@@ -178,6 +178,49 @@ def test_label_model_finds_rates_and_pairs():
     assert m.correlation[0, 5] > 0.3 and m.weight[0] < 0.9 and m.weight[1] > m.weight[0]
 
 
+def test_label_model_is_bayes_without_correlations():
+    """Log odds of all patterns of votes of independent voters, against the product of their rates."""
+    toxic, clean = np.array([0.5, 0.3, 0.6, 0.05]), np.array([0.02, 0.1, 0.3, 0.2])
+    model = toxicity.Labels(0.1, toxic, clean, np.ones(4), np.eye(4))
+    for bits in range(16):
+        fires = np.array([bits >> i & 1 for i in range(4)], bool)
+        like = [prior * np.prod(np.where(fires, r, 1 - r)) for prior, r in ((0.1, toxic), (0.9, clean))]
+        assert model.log_odds(fires[None])[0] == pytest.approx(math.log(like[0] / like[1]))
+
+
+def test_label_model_against_all_triplets():
+    """Differences of rates against the median over all triplets, by loops."""
+    r = np.random.default_rng(5)
+    y = r.random(20_000) < 0.3
+    fires = np.column_stack([r.random(len(y)) < np.where(y, a, b) for a, b in r.random((7, 2)) * 0.8]).astype(float)
+    both, n = fires.T @ fires, len(y)
+    mean = np.diag(both) / n
+    cov = both / n - np.outer(mean, mean)
+    sure = lambda i, j: cov[i, j] > 3 * math.sqrt(mean[i] * (1 - mean[i]) * mean[j] * (1 - mean[j]) / n)
+    m = toxicity.label_model(n, both, 0.3)
+    for i in range(7):
+        found = [cov[i, j] * cov[i, k] / cov[j, k] / 0.21 for j in range(7) for k in range(j) if i not in (j, k) and sure(i, j) and sure(i, k) and sure(j, k)]
+        want = min(math.sqrt(np.median(found)), mean[i] / 0.3 * 0.98) if found else 0
+        assert m.toxic[i] == pytest.approx(min(max(mean[i] + 0.7 * want, 0.5 / n), 1 - 1e-4)) and m.clean[i] == pytest.approx(max(mean[i] - 0.3 * want, 0.5 / n))
+
+
+def test_words_of_one_stem(spark):
+    """Toxic words that are all different, but begin alike, in texts that hold several of them; clean texts hold one at most."""
+    r = random.Random(9)
+    words = ["".join(r.choices("abcdefgh", k=5)) for _ in range(400)]
+    rows = []
+    for i in range(1500):
+        w = r.choices(words, k=60)
+        toxic = i % 9 == 0
+        for _ in range(3 if toxic else r.random() < 0.1):
+            w[r.randrange(60)] = "zoqurt" + "".join(r.choices("klmnop", k=4))
+        rows.append((i, " ".join(w), int(toxic)))
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    got = {x.doc_id: x for x in toxicity.score(docs, toxicity.fit(docs, spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int"))).collect()}
+    held = [(got[i].predicted, y) for i, _, y in rows if got[i].held_out]
+    assert sum(p for p, y in held if y) >= 0.9 * sum(y for _, y in held) and sum(p for p, y in held if not y) <= 3
+
+
 def test_mixing(spark):
     r = random.Random(3)
     rows = [(i, "w" * r.randrange(40, 400), r.choices(["a", "b", None], [6, 3, 1])[0], r.choice(["en", "de"]), "old", True) for i in range(4000)]

@@ -19,10 +19,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from turnlake.llm.common import live, prepare
+from turnlake.llm.common import live, prepare, slices
 
 #: Bounds of what a worker keeps: pieces with their tokens (twice so many), transitions, pairs of tokens. What is full starts afresh.
-PIECES, PIECE_CHARS, TRANSITIONS, PAIRS = 200_000, 24, 400_000, 400_000
+PIECES, PIECE_CHARS, TRANSITIONS, PAIRS = 100_000, 24, 350_000, 350_000
+#: Bytes of text that are encoded at a time, but for longer texts.
+PART = 1 << 20
 _NEVER = 1 << 62
 
 
@@ -316,11 +318,12 @@ def encode(docs: DataFrame, ranks: bytes, pattern: str, text_col: str = "text",
     def run(batches):
         codec = _live(ranks, pattern)
         for batch in batches:
-            ids = [codec.encode(t) for t in batch.column(text_at).cast(pa.string()).to_pylist()]
-            made = [*batch.columns, pa.array(ids, pa.list_(pa.int32()))]
-            if decoded_col:
-                made.append(pa.array([codec.decode(x) for x in ids], pa.string()))
-            yield pa.RecordBatch.from_arrays(made, names=[*batch.schema.names, out_col, *([decoded_col] if decoded_col else [])])
+            for part in slices(batch, text_col, PART):
+                ids = [codec.encode(t) for t in part.column(text_at).cast(pa.string()).to_pylist()]
+                made = [*part.columns, pa.array(ids, pa.list_(pa.int32()))]
+                if decoded_col:
+                    made.append(pa.array([codec.decode(x) for x in ids], pa.string()))
+                yield pa.RecordBatch.from_arrays(made, names=[*part.schema.names, out_col, *([decoded_col] if decoded_col else [])])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema) + f", `{out_col}` array<int>" + (f", `{decoded_col}` string" if decoded_col else "")
     return source.mapInArrow(run, schema)

@@ -89,6 +89,17 @@ def release() -> None:
         _TRIM(0)
 
 
+def tidy(run):
+    """A function of batches that leaves a worker as small as it can, before it begins and when it has ended."""
+
+    def tidied(batches):
+        release()
+        yield from run(batches)
+        release()
+
+    return tidied
+
+
 try:
     _TRIM = ctypes.CDLL(None).malloc_trim  # glibc
 except (AttributeError, OSError):
@@ -152,10 +163,14 @@ class Words:
 
     def hashes(self) -> np.ndarray:
         """A 64-bit hash of each word's bytes, the same in every batch."""
+        return self.spans()(self.starts, self.ends)
+
+    def spans(self):
+        """What gives a 64-bit hash of the bytes from starts to ends, the same in every batch."""
         up, down = _powers(len(self.data) + 1)
         total = np.zeros(len(self.data) + 1, np.uint64)
         np.cumsum(_BYTE[self.data] * up[:-1], out=total[1:])
-        return mix((total[self.ends] - total[self.starts]) * down[self.starts] + (self.ends - self.starts).astype(np.uint64))
+        return lambda starts, ends: mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 
 def slices(batch: pa.RecordBatch, column: str, most: int = 2 << 20):

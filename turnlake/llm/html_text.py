@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from turnlake.llm.common import discard, prepare, scratch
+from turnlake.llm.common import discard, prepare, scratch, tidy
 
 NODES, CHECKED, HOSTS, FOLD, DEPTH = 2000, 64, 500, 64, 48
 #: Counts that a task keeps before it passes them on.
@@ -337,7 +337,7 @@ def wrappers(source: DataFrame) -> DataFrame:
         return pa.table({"host": table.column("host")[:1], "wrapper": [json.dumps(whole)]})
 
     kind = "host string, wrapper string"
-    parts = source.select("host", "html").mapInArrow(first, kind).withColumn("task", F.spark_partition_id())
+    parts = source.select("host", "html").mapInArrow(tidy(first), kind).withColumn("task", F.spark_partition_id())
     for _ in range(2):
         parts = parts.withColumn("task", F.floor(F.col("task") / FOLD)).groupBy("host", "task").applyInArrow(lambda key, t: fold(t).append_column("task", pa.array([key[1].as_py()], pa.int64())), f"{kind}, task bigint")
     return parts.select("host", "wrapper").groupBy("host").applyInArrow(fold, kind)
@@ -428,7 +428,7 @@ def templates(source: DataFrame, broadcast_bytes: int) -> DataFrame:
             yield from rows()
 
     kind = "node bigint, host string, path string, text string, n bigint, words bigint, links bigint, inside bigint"
-    counts = by_host.rows.select("host", "html", *(["wrapper"] if by_host.shared is None else [])).mapInArrow(count, kind)
+    counts = by_host.rows.select("host", "html", *(["wrapper"] if by_host.shared is None else [])).mapInArrow(tidy(count), kind)
     counts = counts.groupBy("node", "host", "path", "text").agg(*[F.sum(c).alias(c) for c in ("n", "words", "links", "inside")])
     counts = scratch(counts.filter(F.col("n") >= OUTSIDE[0] * OUTSIDE[1]), "template-counts")
     discard(made)
@@ -476,4 +476,4 @@ def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html", id_c
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=[id_col, "url", "text", "n_chars"])
 
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
-    return rows.mapInArrow(run, f"`{id_col}` {kinds['id']}, url {kinds['url']}, text string, n_chars bigint")
+    return rows.mapInArrow(tidy(run), f"`{id_col}` {kinds['id']}, url {kinds['url']}, text string, n_chars bigint")

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from turnlake.llm.common import components, discard, join_small, mix, release, scratch
+from turnlake.llm.common import components, discard, join_small, mix, scratch, tidy
 
 #: Tokens are counted in so many buckets, to sort a set's tokens by rarity; any order that all sets share gives the same links.
 RARITY_BITS = 20
@@ -55,7 +55,6 @@ def _rarity(sets: DataFrame) -> np.ndarray:
     """How often tokens of each hash bucket occur in sets (key, of, s): 2 ** RARITY_BITS numbers at any input size."""
 
     def run(batches):
-        release()
         total = np.zeros(1 << RARITY_BITS, np.int64)
         for batch in batches:
             values = batch.column("s").flatten().to_numpy().view(np.uint64)
@@ -63,7 +62,7 @@ def _rarity(sets: DataFrame) -> np.ndarray:
         on = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(on), pa.array(total[on])], names=["bucket", "n"])
 
-    table = sets.select("s").mapInArrow(run, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    table = sets.select("s").mapInArrow(tidy(run), "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(1 << RARITY_BITS, np.int64)
     out[table.column("bucket").to_numpy()] = table.column("n").to_numpy()
     return out.astype(np.uint32)
@@ -78,7 +77,6 @@ def prefix_pairs(sets: DataFrame) -> DataFrame:
     shared = sets.sparkSession.sparkContext.broadcast(_rarity(sets))
 
     def run(batches):
-        release()
         for batch in batches:
             lists = batch.column("s")
             n = lists.value_lengths().to_numpy()
@@ -93,7 +91,7 @@ def prefix_pairs(sets: DataFrame) -> DataFrame:
             columns = [token.view(np.int64), key[row], of[row], n[row].astype(np.int32), at.astype(np.int32), offered]
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["token", "key", "of", "n", "at", "offered"])
 
-    rows = scratch(sets.mapInArrow(run, "token bigint, key bigint, of bigint, n int, at int, offered boolean"), "prefixes")
+    rows = scratch(sets.mapInArrow(tidy(run), "token bigint, key bigint, of bigint, n int, at int, offered boolean"), "prefixes")
     several = rows.groupBy("token").agg(F.min("of").alias("a"), F.max("of").alias("b"), F.max("offered").alias("offered")).filter("a <> b and offered").select("token")
     rows = rows.join(several, "token", "left_semi")
     names = ["token", "key", "of", "n", "at"]

@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from turnlake.llm.common import Words, components, join_small, prepare, release, scratch, slices
+from turnlake.llm.common import Words, components, join_small, prepare, scratch, slices, tidy
 
 SEED = 42
 #: Words of a shingle, where nothing else is asked for.
@@ -72,13 +72,12 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches):
-        release()
         for batch in batches:
             for part in slices(batch, "text"):
                 found = np.array(_of_batch(Words(part.column("text"), fold=_FOLD), width), np.uint64)
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(found.view(np.int64))], names=["id", "fp"])
 
-    return source.mapInArrow(run, f"id {source.schema['id'].dataType.simpleString()}, fp bigint")
+    return source.mapInArrow(tidy(run), f"id {source.schema['id'].dataType.simpleString()}, fp bigint")
 
 
 def links(distinct: DataFrame, radius: int = 2) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from turnlake.llm import minhash
-from turnlake.llm.common import BROADCAST_BYTES, Words, discard, free_name, join_small, mix, prepare, release, scratch, slices
+from turnlake.llm.common import BROADCAST_BYTES, Words, discard, free_name, join_small, mix, prepare, scratch, slices, tidy
 
 REACH, MIN_WORDS, SHINGLE = 4, 16, 5
 BANDS = minhash.Bands(16, 5, 11)
@@ -107,7 +107,6 @@ def paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     source = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text")).filter("doc is not null and text is not null")
 
     def run(batches):
-        release()
         for batch in batches:
             for part in slices(batch, "text"):
                 words = Words(part.column("text"))
@@ -135,7 +134,7 @@ def paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                         again[np.unique(mix(ids.view(np.uint64) ^ mix(doc.astype(np.uint64) + _U(1))), return_index=True)[1]] = False
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(starts), line)), pa.array(doc_ids[doc]), pa.array((starts - words.first[doc]).astype(np.int32)), pa.array((ends - starts).astype(np.int32)), pa.array(ids), pa.array(chk), pa.array(again), bands], names=["line", "doc", "start", "n", "id", "chk", "again", "bands"])
 
-    return source.mapInArrow(run, "line boolean, doc bigint, start int, n int, id bigint, chk int, again boolean, bands array<bigint>")
+    return source.mapInArrow(tidy(run), "line boolean, doc bigint, start int, n int, id bigint, chk int, again boolean, bands array<bigint>")
 
 
 def line_shingles(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -147,7 +146,6 @@ def line_shingles(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str
     joined = source.join(F.broadcast(of_doc) if size <= BROADCAST_BYTES else of_doc, "doc").select("text", "starts", "ids")
 
     def run(batches):
-        release()
         for batch in batches:
             for part in slices(batch, "text"):
                 words = Words(part.column("text"))
@@ -160,7 +158,7 @@ def line_shingles(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str
                 sets = pa.ListArray.from_arrays(pa.array(begin.astype(np.int32)), pa.array(values.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([part.column("ids").flatten(), sets], names=["id", "s"])
 
-    return joined.mapInArrow(run, "id bigint, s array<bigint>").select("id", F.array_distinct("s").alias("s"))
+    return joined.mapInArrow(tidy(run), "id bigint, s array<bigint>").select("id", F.array_distinct("s").alias("s"))
 
 
 def line_classes(docs: DataFrame, units: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -229,7 +227,6 @@ def remove(docs: DataFrame, runs: DataFrame, id_col: str = "doc_id", text_col: s
     at, names = docs.columns.index(text_col), docs.columns
 
     def run(batches):
-        release()
         for batch in batches:
             texts, spans = batch.column(at).to_pylist(), batch.column(len(names)).to_pylist()
             stay = []
@@ -248,4 +245,4 @@ def remove(docs: DataFrame, runs: DataFrame, id_col: str = "doc_id", text_col: s
             columns = [pa.array(texts, pa.string()) if k == at else batch.column(k) for k in range(len(names))]
             yield pa.RecordBatch.from_arrays(columns, names=names).take(pa.array(stay, pa.int64()))
 
-    return joined.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema))
+    return joined.mapInArrow(tidy(run), ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema))

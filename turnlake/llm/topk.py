@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from turnlake.llm.common import prepare, scratch
+from turnlake.llm.common import prepare, scratch, tidy
 
 BLOCK, QUERIES = 4096, 1024
 #: Levels that lists are read down to, as shares of the best contribution, the share of rows at which a query stops, and the queries that
@@ -157,7 +157,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_
             if size:
                 yield answers(*(np.concatenate([h[i] for h in held]) for i in range(2)), *shared.value)
 
-        met = rows.select("id", "v").mapInArrow(scan, kind)
+        met = rows.select("id", "v").mapInArrow(tidy(scan), kind)
     else:
         blocks, parts = max(1, -(-n // block)), max(1, -(-n_queries // QUERIES))
         spread = lambda m: F.array(*[F.lit(i) for i in range(m)]) if m < 64 else F.sequence(F.lit(0), F.lit(m - 1))

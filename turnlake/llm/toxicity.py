@@ -5,7 +5,9 @@ that the moments show to depend on each other: C_ij = d_i d_j p (1 - p), with d_
 classes, is solved from triplets of voters; what a pair's covariance has beyond that is its correlation, and correlated voters share
 their weight beyond the strongest vote. Labels of training rows give the prior, the learnt part of the lexicon and bounds of what a vote
 may count, and are a voter of their own on those rows.
-The posterior labels of a bounded sample of training rows train a logistic regression on words and voters.
+The posterior labels of a bounded sample of training rows train a logistic regression on the voters and on all hashed words and beginnings
+of words, by how often a text has them, that toxic labels have significantly more often. Beginnings find words that are made from one
+stem in any language, whatever the list of words knows. The labels of training rows so do much of the work; the lexicon is English.
 """
 
 from __future__ import annotations
@@ -17,12 +19,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from turnlake.llm.common import Words, prepare, release, slices
+from turnlake.llm.common import Words, mix, prepare, slices, tidy
 
 #: Most labelled rows that the lexicon and the classifier are fitted on; all other statistics cover all documents.
 SAMPLE = 20_000
-#: Words are hashed to so many bits; words that become features, and of these, voters.
-BITS, FEATURES, LEARNT = 18, 192, 16
+#: Words and their beginnings of so many bytes are hashed to so many bits; a text has a feature if it has the word so often.
+BITS, BEGINNINGS, TIMES = 20, (4, 6), (1, 2, 4)
+#: A feature is told from chance by so many standard errors of its log odds, toxic labels that have it, and log odds; so is a voter.
+FEATURE, VOTER = (4.0, 8, 1.0), (4.0, 12, 3.0)
 LEXICON = """idiot moron stupid dumb fool loser pathetic worthless disgusting scum trash garbage clown jerk imbecile creep freak liar
 coward ugly vermin filth bastard crap damn hate kill shut bloody lunatic psycho brainless spineless vile wretch""".split()
 
@@ -35,12 +39,15 @@ _LETTER = _UPPER | np.roll(_UPPER, 32)
 PATTERNS = ("shouting", "exclaims", "symbols", "addresses", "sworn")
 
 
-def _buckets(words: Words) -> np.ndarray:
-    return (words.hashes() >> np.uint64(64 - BITS)).astype(np.int64)
+_STEM_SALT = [np.uint64(0), *(np.uint64(0x9E3779B97F4A7C15 * k & (1 << 64) - 1) for k in BEGINNINGS)]
+
+
+def _buckets(h: np.ndarray) -> np.ndarray:
+    return (h >> np.uint64(64 - BITS)).astype(np.int64)
 
 
 def _of(names: list[str]) -> np.ndarray:
-    return _buckets(Words(pa.array(names, pa.string()), space=_SPACE, fold=_FOLD))
+    return _buckets(Words(pa.array(names, pa.string()), space=_SPACE, fold=_FOLD).hashes())
 
 
 def _share(data: np.ndarray, offsets: np.ndarray, hit: np.ndarray) -> np.ndarray:
@@ -50,38 +57,58 @@ def _share(data: np.ndarray, offsets: np.ndarray, hit: np.ndarray) -> np.ndarray
 
 
 class Reader:
-    """Words and votes of a batch of texts."""
+    """Words, beginnings of words and votes of a batch of texts. A feature is bucket + k << BITS: the bucket TIMES[k] times or more."""
 
     def __init__(self, column: pa.Array, lexicon: np.ndarray | None = None, seeds: int = 0):
         self.words = Words(column, space=_SPACE, fold=_FOLD)
-        self.bucket = _buckets(self.words)
         self.n = len(column)
-        self.doc = np.repeat(np.arange(self.n), np.diff(self.words.first))
+        doc = np.repeat(np.arange(self.n), np.diff(self.words.first))
+        spans, starts, ends = self.words.spans(), self.words.starts, self.words.ends
+        h = spans(starts, ends)
+        docs, found = [doc], [_buckets(h)]
+        for size, salt in zip(BEGINNINGS, _STEM_SALT[1:]):
+            long = np.flatnonzero(ends - starts > size)
+            docs.append(doc[long])
+            found.append(_buckets(mix(spans(starts[long], starts[long] + size) ^ salt)))
+        self.bucket, self.doc = np.concatenate(found), np.concatenate(docs)
+        self.n_words = len(h)
         if lexicon is not None:
             self.fires = self._votes(column, lexicon, seeds)
 
-    def features(self, known: np.ndarray, size: int) -> np.ndarray:
-        """Which of the known buckets (bucket to index or -1) each text has."""
-        index = known[self.bucket]
-        on = index >= 0
-        out = np.zeros((self.n, size), bool)
-        out[self.doc[on], index[on]] = True
+    def counted(self, known: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(doc, feature) of every feature of each text, of those with a known bucket."""
+        on = slice(None) if known is None else known[self.bucket]
+        pairs, n = np.unique(self.doc[on] << BITS | self.bucket[on], return_counts=True)
+        doc, bucket = pairs >> BITS, pairs & ((1 << BITS) - 1)
+        parts = [(doc[n >= t], bucket[n >= t] + (k << BITS)) for k, t in enumerate(TIMES)]
+        return np.concatenate([d for d, _ in parts]), np.concatenate([f for _, f in parts])
+
+    def features(self, features: np.ndarray) -> np.ndarray:
+        """Which of the features each text has."""
+        out = np.zeros((self.n, len(features)), bool)
+        if len(features):
+            known = np.zeros(1 << BITS, bool)
+            known[features & ((1 << BITS) - 1)] = True
+            doc, found = self.counted(known)
+            order = np.argsort(features, kind="stable")
+            at = np.minimum(np.searchsorted(features[order], found), len(features) - 1)
+            hit = features[order][at] == found
+            out[doc[hit], order[at[hit]]] = True
         return out
 
     def _votes(self, column: pa.Array, lexicon: np.ndarray, seeds: int) -> np.ndarray:
         """Votes of the lexicon, of which the first are seeds, and of the patterns, the last of which is two seed words or more."""
-        known = np.full(1 << BITS, -1, np.int32)
-        known[lexicon[::-1]] = np.arange(len(lexicon))[::-1]
-        words = self.features(known, len(lexicon))
-        index = known[self.bucket]
-        sworn = np.bincount(self.doc[(index >= 0) & (index < seeds)], minlength=self.n)
+        words = self.features(lexicon)
+        own = np.zeros(1 << BITS, bool)
+        own[lexicon[:seeds]] = True
+        sworn = np.bincount(self.doc[: self.n_words][own[self.bucket[: self.n_words]]], minlength=self.n)
         raw = Words(column).data
         at = self.words.offsets
         letters, upper = _share(raw, at, _LETTER[raw]), _share(raw, at, _UPPER[raw])
         marks, size = _share(raw, at, raw == 33), np.maximum(np.diff(at), 1)
         signs = _share(raw, at, np.isin(raw, np.frombuffer(b"#*$%&", np.uint8)))
         you = np.zeros(self.n, bool)
-        you[self.doc[np.isin(self.bucket, _of(["you", "your", "you're"]))]] = True
+        you[self.doc[: self.n_words][np.isin(self.bucket[: self.n_words], _of(["you", "your", "you're"]))]] = True
         patterns = [upper * 2 > letters, marks * 50 > size, signs * 20 > size, you, sworn >= 2]
         return np.column_stack([words, *patterns])
 
@@ -139,14 +166,16 @@ def label_model(rows: int, both: np.ndarray, prior: float) -> Labels:
     live = np.flatnonzero((np.diag(both) >= 5) & (mean < 0.9))
     diff = np.zeros(m)
     noise = 3 * np.sqrt(np.outer(mean * (1 - mean), mean * (1 - mean)) / rows)
-    for i in live:
-        found = []
-        for a, j in enumerate(live):
-            for k in live[a + 1 :]:
-                if i not in (j, k) and cov[j, k] > noise[j, k] and cov[i, j] > noise[i, j] and cov[i, k] > noise[i, k]:
-                    found.append(cov[i, j] * cov[i, k] / cov[j, k] / spread)
-        if found:
-            diff[i] = np.sqrt(np.median(found))
+    c, sure = cov[np.ix_(live, live)], (cov > noise)[np.ix_(live, live)]
+    np.fill_diagonal(sure, False)
+    for at, i in enumerate(live):
+        # Triplets of i with all pairs of voters that are seen to agree with it and with each other.
+        with_i = np.flatnonzero(sure[at])
+        j, k = np.triu_indices(len(with_i), 1)
+        j, k = with_i[j], with_i[k]
+        told = sure[j, k]
+        if told.any():
+            diff[i] = np.sqrt(np.median(c[at, j[told]] * c[at, k[told]] / c[j[told], k[told]] / spread))
     diff = np.minimum(diff, mean / prior * 0.98)
     left = cov - np.outer(diff, diff) * spread
     scale = np.sqrt(np.outer(mean * (1 - mean), mean * (1 - mean))) + 1e-9
@@ -157,16 +186,18 @@ def label_model(rows: int, both: np.ndarray, prior: float) -> Labels:
     return Labels(prior, np.clip(mean + (1 - prior) * diff, low, 1 - 1e-4), np.clip(mean - prior * diff, low, 1 - 1e-4), weight, correlation)
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: np.ndarray | float = 3.0, steps: int = 30) -> np.ndarray:
+def logistic(x: np.ndarray, y: np.ndarray, ridge: np.ndarray | float = 3.0, steps: int = 30, rows: int = 4096) -> np.ndarray:
     """Weights of a logistic regression on soft labels, the last for the constant; Newton's method with a ridge (one, or one each)."""
-    x = np.column_stack([x, np.ones(len(x))]).astype(np.float64)
-    w = np.zeros(x.shape[1])
-    keep = np.append(np.broadcast_to(np.asarray(ridge, float), x.shape[1] - 1), 0.0)
-    keep[-1] = 1e-3
+    w = np.zeros(x.shape[1] + 1)
+    keep = np.append(np.broadcast_to(np.asarray(ridge, float), x.shape[1]), 1e-3)
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        grad = x.T @ (y - p) - keep * w
-        step = np.linalg.solve((x * (p * (1 - p) + 1e-6)[:, None]).T @ x + np.diag(keep), grad)
+        grad, curve = -keep * w, np.diag(keep)
+        for at in range(0, len(x), rows):
+            part = np.column_stack([x[at : at + rows], np.ones(len(x[at : at + rows]))]).astype(np.float64)
+            p = 1 / (1 + np.exp(-np.clip(part @ w, -30, 30)))
+            grad = grad + part.T @ (y[at : at + rows] - p)
+            curve = curve + (part * (p * (1 - p) + 1e-6)[:, None]).T @ part
+        step = np.linalg.solve(curve, grad)
         w += step
         if np.abs(step).max() < 1e-6:
             break
@@ -175,7 +206,7 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: np.ndarray | float = 3.0, step
 
 @dataclass
 class Model:
-    """What scores texts: lexicon buckets of the voters, the first of which are seeds, buckets of the features, weights."""
+    """What scores texts: features of the voters, the first of which are seed words, features of the classifier, weights."""
 
     lexicon: np.ndarray
     features: np.ndarray
@@ -185,9 +216,7 @@ class Model:
 
     def score(self, column: pa.Array) -> np.ndarray:
         reader = Reader(column, self.lexicon, self.seeds)
-        known = np.full(1 << BITS, -1, np.int32)
-        known[self.features] = np.arange(len(self.features))
-        x = np.column_stack([reader.features(known, len(self.features)), reader.fires])
+        x = np.column_stack([reader.features(self.features), reader.fires])
         return 1 / (1 + np.exp(-np.clip(x @ self.weights[:-1] + self.weights[-1], -30, 30)))
 
 
@@ -212,40 +241,41 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     else:
         rows = text.filter("doc is not null").filter(drawn(text.count())).withColumn("y", F.lit(0)).limit(2 * sample)
 
+    seeds = _of(LEXICON)
+
     def count(batches):
-        release()
-        total = np.zeros((2, 1 << BITS), np.int64)
+        total = np.zeros((2, len(TIMES) << BITS), np.int32)
         for batch in batches:
             for part in slices(batch, "text"):
-                reader = Reader(part.column("text"))
-                pairs = np.unique(reader.doc << BITS | reader.bucket)
-                y = part.column("y").to_numpy()[pairs >> BITS] > 0
+                doc, feature = Reader(part.column("text")).counted()
+                y = part.column("y").to_numpy()[doc] > 0
                 for k in (0, 1):
-                    total[k] += np.bincount(pairs[y == k] & ((1 << BITS) - 1), minlength=1 << BITS)
-        on = np.flatnonzero(total.sum(axis=0))
-        yield pa.RecordBatch.from_arrays([pa.array(on), pa.array(total[0][on]), pa.array(total[1][on])], names=["bucket", "clean", "toxic"])
-
-    counts = rows.mapInArrow(count, "bucket bigint, clean bigint, toxic bigint").groupBy("bucket").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    table = counts.toArrow()  # at most 2 ** BITS rows
-    bucket, clean, toxic = (table.column(c).to_numpy() for c in ("bucket", "clean", "toxic"))
-    seeds = _of(LEXICON)
-    sizes = (marks.filter(drawn(n)).groupBy("y").count().toPandas().set_index("y")["count"].to_dict()) if n else {}
+                    total[k] += np.bincount(feature[y == k], minlength=total.shape[1]).astype(np.int32)
+        on = np.flatnonzero(total[1])
+        clean = np.flatnonzero((total[1] == 0) & (total[0] > 0))
+        for k in (on, clean):
+            for at in range(0, len(k), 1 << 16):
+                part = k[at : at + (1 << 16)]
+                yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(total[0][part].astype(np.int64)), pa.array(total[1][part].astype(np.int64))], names=["feature", "clean", "toxic"])
+
+    counts = rows.mapInArrow(tidy(count), "feature bigint, clean bigint, toxic bigint").groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    table = counts.filter((F.col("toxic") >= FEATURE[1]) | F.col("feature").isin(seeds.tolist())).toArrow()  # at most len(TIMES) << BITS rows
+    feature, clean, toxic = (table.column(c).to_numpy() for c in ("feature", "clean", "toxic"))
+    sizes = {r["y"]: r["count"] for r in marks.filter(drawn(n)).groupBy("y").count().collect()} if n else {}
     n1, n0 = max(sum(v for k, v in sizes.items() if k > 0), 1), max(sizes.get(0, 0), 1)
-    p1, p0 = (toxic + 0.5) / (n1 + 1), (clean + 0.5) / (n0 + 1)
-    z = (np.log(p1) - np.log(p0)) / np.sqrt(1 / (toxic + 0.5) + 1 / (clean + 0.5))
-    order = bucket[np.lexsort((bucket, -z))]
-    order = order[np.isin(order, bucket[(z > 4) & (toxic >= 8)])]
-    features = order[:FEATURES]
+    odds = np.log((toxic + 0.5) / (n1 + 1)) - np.log((clean + 0.5) / (n0 + 1))
+    z = odds / np.sqrt(1 / (toxic + 0.5) + 1 / (clean + 0.5))
+    told = lambda bar: feature[(z > bar[0]) & (toxic >= bar[1]) & (odds > bar[2])]
+    features = np.sort(told(FEATURE))
     # Seed words that clean labels have about as often are no voters.
-    place = {b: i for i, b in enumerate(bucket.tolist())}
-    told = [(toxic[place[b]], clean[place[b]]) if b in place else (0, 0) for b in seeds.tolist()]
-    seeds = seeds[[not b or np.log((a + 1) / (n1 + 2)) - np.log((b + 0.5) / (n0 + 1)) >= 1 for a, b in told]]
+    place = {b: i for i, b in enumerate(feature.tolist())}
+    had = [(toxic[place[b]], clean[place[b]]) if b in place else (0, 0) for b in seeds.tolist()]
+    seeds = seeds[[not b or np.log((a + 1) / (n1 + 2)) - np.log((b + 0.5) / (n0 + 1)) >= 1 for a, b in had]]
     n_seeds = len(seeds)
-    lexicon = np.concatenate([seeds, [b for b in order if b not in set(seeds.tolist())][:LEARNT]]).astype(np.int64)
+    lexicon = np.concatenate([seeds, np.setdiff1d(told(VOTER), seeds)]).astype(np.int64)
     m = len(lexicon) + len(PATTERNS)
 
     def moments(batches):
-        release()
         both, seen = np.zeros((m, m), np.int64), 0
         for batch in batches:
             for part in slices(batch, "text"):
@@ -256,24 +286,21 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         yield pa.RecordBatch.from_arrays([pa.array([-1, *i]), pa.array([-1, *j]), pa.array([seen, *both[i, j]])], names=["i", "j", "n"])
 
     both, total = np.zeros((m, m)), 0
-    for i, j, v in text.select("text").mapInArrow(moments, "i bigint, j bigint, n bigint").groupBy("i", "j").agg(F.sum("n").alias("n")).collect():  # m * (m + 1) / 2 + 1 rows
+    for i, j, v in text.select("text").mapInArrow(tidy(moments), "i bigint, j bigint, n bigint").groupBy("i", "j").agg(F.sum("n").alias("n")).collect():  # m * (m + 1) / 2 + 1 rows
         if i < 0:
             total = v
         else:
             both[i, j] = both[j, i] = v
     model = label_model(total, both, float(share) if n else 0.05)
-    known = np.full(1 << BITS, -1, np.int32)
-    known[features] = np.arange(len(features))
 
     def matrix(batches):
-        release()
         for batch in batches:
             for part in slices(batch, "text"):
                 reader = Reader(part.column("text"), lexicon, n_seeds)
-                x = np.packbits(np.column_stack([reader.features(known, len(features)), reader.fires]), axis=1)
+                x = np.packbits(np.column_stack([reader.features(features), reader.fires]), axis=1)
                 yield pa.RecordBatch.from_arrays([part.column("doc"), part.column("y"), pa.array([r.tobytes() for r in x], pa.binary())], names=["doc", "y", "x"])
 
-    got = rows.select("doc", "y", "text").mapInArrow(matrix, "doc bigint, y int, x binary").toArrow().sort_by("doc")
+    got = rows.select("doc", "y", "text").mapInArrow(tidy(matrix), "doc bigint, y int, x binary").toArrow().sort_by("doc")
     width = len(features) + m
     x = np.unpackbits(np.frombuffer(b"".join(got.column("x").to_pylist()), np.uint8).reshape(len(got), -1), axis=1)[:, :width].astype(bool) if len(got) else np.zeros((1, width), bool)
     y = got.column("y").to_numpy() > 0 if len(got) else np.zeros(1, bool)
@@ -295,13 +322,12 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     source = docs.select(F.col(id_col).alias("id"), held_out(F.col(id_col)).alias("held_out"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches):
-        release()
         for batch in batches:
             for part in slices(batch, "text"):
                 s = model.score(part.column("text"))
                 yield pa.RecordBatch.from_arrays([part.column("id"), part.column("held_out"), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], names=[id_col, "held_out", "score", "predicted"])
 
-    return source.mapInArrow(run, f"`{id_col}` {source.schema['id'].dataType.simpleString()}, held_out boolean, score double, predicted int")
+    return source.mapInArrow(tidy(run), f"`{id_col}` {source.schema['id'].dataType.simpleString()}, held_out boolean, score double, predicted int")
 
 
 def reject(docs: DataFrame, model: Model, text_col: str = "text", at: float = 0.5) -> DataFrame:
@@ -309,9 +335,8 @@ def reject(docs: DataFrame, model: Model, text_col: str = "text", at: float = 0.
     prepare(docs.sparkSession)
 
     def run(batches):
-        release()
         for batch in batches:
             for part in slices(batch, text_col):
                 yield part.filter(pa.array(model.score(part.column(text_col)) < at))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
