@@ -25,8 +25,9 @@ from turnlake.llm.common import Words, mix, prepare, slices, tidy
 SAMPLE = 20_000
 #: Words and their beginnings of so many bytes are hashed to so many bits; a text has a feature if it has the word so often.
 BITS, BEGINNINGS, TIMES = 20, (4, 6), (1, 2, 4)
-#: A feature is told from chance by so many standard errors of its log odds, toxic labels that have it, and log odds; so is a voter.
-FEATURE, VOTER = (4.0, 8, 1.0), (4.0, 12, 3.0)
+#: A feature is told from chance by so many standard errors of its log odds, so many toxic labels that have it, such a share of them, and
+#: log odds; so is a voter. The ridge of a feature's and of a voter's weight.
+FEATURE, VOTER, RIDGE = (4.5, 12, 0.02, 2.0), (4.0, 12, 0.03, 3.0), (15.0, 1.0)
 LEXICON = """idiot moron stupid dumb fool loser pathetic worthless disgusting scum trash garbage clown jerk imbecile creep freak liar
 coward ugly vermin filth bastard crap damn hate kill shut bloody lunatic psycho brainless spineless vile wretch""".split()
 
@@ -265,7 +266,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     n1, n0 = max(sum(v for k, v in sizes.items() if k > 0), 1), max(sizes.get(0, 0), 1)
     odds = np.log((toxic + 0.5) / (n1 + 1)) - np.log((clean + 0.5) / (n0 + 1))
     z = odds / np.sqrt(1 / (toxic + 0.5) + 1 / (clean + 0.5))
-    told = lambda bar: feature[(z > bar[0]) & (toxic >= bar[1]) & (odds > bar[2])]
+    told = lambda bar: feature[(z > bar[0]) & (toxic >= max(bar[1], bar[2] * n1)) & (odds > bar[3])]
     features = np.sort(told(FEATURE))
     # Seed words that clean labels have about as often are no voters.
     place = {b: i for i, b in enumerate(feature.tolist())}
@@ -285,12 +286,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         i, j = np.triu_indices(m)
         yield pa.RecordBatch.from_arrays([pa.array([-1, *i]), pa.array([-1, *j]), pa.array([seen, *both[i, j]])], names=["i", "j", "n"])
 
-    both, total = np.zeros((m, m)), 0
-    for i, j, v in text.select("text").mapInArrow(tidy(moments), "i bigint, j bigint, n bigint").groupBy("i", "j").agg(F.sum("n").alias("n")).collect():  # m * (m + 1) / 2 + 1 rows
-        if i < 0:
-            total = v
-        else:
-            both[i, j] = both[j, i] = v
+    sums = text.select("text").mapInArrow(tidy(moments), "i bigint, j bigint, n bigint").groupBy("i", "j").agg(F.sum("n").alias("n")).toArrow()  # m * (m + 1) / 2 + 1 rows
+    i, j, v = (sums.column(c).to_numpy() for c in ("i", "j", "n"))
+    both, total = np.zeros((m, m)), int(v[i < 0].sum())
+    both[i[i >= 0], j[i >= 0]] = v[i >= 0]
+    both = np.maximum(both, both.T)
     model = label_model(total, both, float(share) if n else 0.05)
 
     def matrix(batches):
@@ -313,7 +313,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         hit, false = (post @ y + 1) / (post.sum() + 2), ((1 - post) @ y + 1) / ((1 - post).sum() + 2)
         odds = odds + np.where(y, np.log(hit / false), np.log((1 - hit) / (1 - false)))
     soft = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
-    return Model(lexicon, features, logistic(x, soft, np.r_[np.full(len(features), 3.0), np.full(m, 0.3)]), model, n_seeds)
+    return Model(lexicon, features, logistic(x, soft, np.r_[np.full(len(features), RIDGE[0]), np.full(m, RIDGE[1])]), model, n_seeds)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
