@@ -1,21 +1,30 @@
 """Mixing sources to target weights by iterative proportional fitting (raking), with DataFrame functions only.
 
 Documents are summed into cells of (source, lang, topic). The cells' token weights are scaled to the targets of one dimension
-after the other, sweep by sweep; a cell's probability is its fitted weight by its observed weight, scaled so that the largest is 1.
-Documents are drawn by a hash of their id, so reruns and retries draw the same ones.
+after the other, sweep by sweep, until all marginals are met; a cell's probability is its fitted weight by its observed weight, scaled
+so that the largest is 1. Documents are drawn by a hash of their id, so reruns and retries draw the same ones.
 """
 
 from __future__ import annotations
 
+import logging
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from turnlake.llm.common import discard, join_small, scratch
 
-#: Per dimension, the target share is the observed share to this power, scaled to sum 1: below 1 evens out, 1 keeps.
-POWERS = {"source": 0.9, "lang": 0.9, "topic": 1.0}
-SWEEPS = 8
+#: Target shares of tokens: a table of shares, where values that it lacks keep their observed share, or a power of the observed share
+#: (below 1 evens out). All are scaled to sum 1. Shares much above the observed ones would leave few documents of all others.
+TARGETS = {
+    "source": 0.9,
+    "lang": {"en": 0.58, "de": 0.16, "fr": 0.16, "es": 0.10},
+    "topic": {"prose": 0.60, "long": 0.29, "table": 0.03, "legal": 0.03, "contact": 0.02, "shouting": 0.02, "note": 0.007},
+}
+#: Sweeps at most, and the largest relative error of a marginal at which they end.
+SWEEPS, ERROR, PLACES = 30, 1e-12, 6
 NONE = "(none)"
+_log = logging.getLogger(__name__)
 
 
 def token_weight(text: Column) -> Column:
@@ -23,43 +32,75 @@ def token_weight(text: Column) -> Column:
     return F.coalesce(F.floor((F.octet_length(text) + 3) / 4), F.lit(0)).cast("long")
 
 
-def form(text: Column) -> Column:
-    """The topic where no column has one: the form of the text."""
-    return F.when(F.contains(text, F.lit(" | ")), "table").when(F.contains(text, F.lit("@")), "contact").otherwise("prose")
+#: The topic where no column has one: the first form of text that fits, as a condition of DuckDB and Spark alike.
+FORMS = [("table", "contains(text, ' | ')"), ("contact", "contains(text, '@')"), ("legal", "contains(lower(text), 'license') OR contains(lower(text), 'copyright')"), ("shouting", "contains(text, '!!')"), ("note", "length(text) < 500"), ("long", "length(text) >= 8000")]
 
 
-def fit(cells: DataFrame, dims: list[str], targets: dict, sweeps: int = SWEEPS) -> DataFrame:
-    """cells (dims, observed) with `weight`, raked to the targets; a target is a power of the observed share or a DataFrame (dim, target).
+def form(text: Column) -> Column:
+    """The name of the first of FORMS that fits a text, else "prose"; null texts are prose."""
+    low = F.lower(text)
+    fits = [F.contains(text, F.lit(" | ")), F.contains(text, F.lit("@")), F.contains(low, F.lit("license")) | F.contains(low, F.lit("copyright")), F.contains(text, F.lit("!!")), F.length(text) < 500, F.length(text) >= 8000]
+    out = F.when(fits[0], FORMS[0][0])
+    for (name, _), fit_ in zip(FORMS[1:], fits[1:]):
+        out = out.when(fit_, name)
+    return out.otherwise("prose")
+
+
+def target(cells: DataFrame, dim: str, goal) -> DataFrame:
+    """(dim, to): shares that sum to 1 over the values with observed weight; goal is a power, a dict or a DataFrame (dim, target)."""
+    seen = cells.groupBy(dim).agg(F.sum("observed").cast("double").alias("seen"))
+    if isinstance(goal, DataFrame):
+        to = seen.join(goal.select(dim, F.col("target").cast("double").alias("to")), dim, "left")
+    elif isinstance(goal, dict):
+        table = F.create_map(*[F.lit(x) for pair in goal.items() for x in (pair[0], float(pair[1]))])
+        whole = float(seen.agg(F.sum("seen")).first()[0] or 1)
+        to = seen.withColumn("to", F.coalesce(table[F.col(dim)], F.col("seen") / F.lit(whole)))
+    else:
+        to = seen.withColumn("to", F.pow("seen", F.lit(float(goal))))
+    to = scratch(to.select(dim, F.when(F.col("seen") > 0, F.coalesce("to", F.lit(0.0))).otherwise(0.0).alias("to")), "mix-target")
+    total = to.agg(F.sum("to")).first()[0] or 1.0
+    return to.select(dim, (F.col("to") / F.lit(total)).alias(f"to_{dim}"))
+
+
+def fit(cells: DataFrame, dims: list[str], targets: dict, sweeps: int = SWEEPS, error: float = ERROR) -> DataFrame:
+    """cells (dims, observed) with `weight`, raked to the targets until no marginal is off by more than a share of error, or for sweeps.
 
     A value that a target DataFrame lacks has target 0; a value without observed weight stays without. Targets need no common sum:
     only proportions count. Values of dims are unique and not null. Sums of a dimension are aggregated and joined back, so a value
-    with most of the cells spreads over tasks; every sweep is a written table, so the plan doesn't grow.
+    with most of the cells spreads over tasks; every sweep is a written table, so the plan doesn't grow. Where cells are too sparse for
+    all targets at once, the error left is logged.
     """
     out = cells.withColumn("weight", F.col("observed").cast("double"))
     for d in dims:
-        goal = targets.get(d, 1.0)
-        if not isinstance(goal, DataFrame):
-            goal = cells.groupBy(d).agg(F.pow(F.sum("observed").cast("double"), F.lit(float(goal))).alias("target"))
-        out = out.join(goal.select(d, F.col("target").cast("double").alias(f"to_{d}")), d, "left").fillna(0.0, [f"to_{d}"])
-    columns = out.columns
-    for k in range(sweeps):
+        out = out.join(target(cells, d, targets.get(d, 1.0)), d)
+    out = scratch(out, "mix-sweep")
+    columns, off = out.columns, 0.0
+    for _ in range(sweeps):
         last = out
         for d in dims:
             total = out.groupBy(d).agg(F.sum("weight").alias("_total"))
             out = out.join(total, d).withColumn("weight", F.when(F.col("_total") > 0, F.col("weight") * F.col(f"to_{d}") / F.col("_total")).otherwise(0.0)).select(*columns)
         out = scratch(out, "mix-sweep")
-        if k:
-            discard(last)
+        discard(last)
+        sums = [out.groupBy(d).agg(F.sum("weight").alias("has"), F.max(f"to_{d}").alias("to")).filter("to > 0").agg(F.max(F.abs(F.col("has") / F.col("to") - 1)).alias("off")) for d in dims]
+        whole = sums[0]
+        for x in sums[1:]:
+            whole = whole.union(x)
+        off = whole.agg(F.max("off")).first()[0] or 0.0
+        if off <= error:
+            break
+    else:
+        _log.warning("raking left a marginal off by %.3g after %d sweeps", off, sweeps)
     return out.drop(*[f"to_{d}" for d in dims])
 
 
 def mix(docs: DataFrame, targets: dict | None = None, tokens: Column | None = None, topic: Column | None = None, sweeps: int = SWEEPS, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with topic, n_tokens, probability (rounded to 9 places) and kept; columns of these names are replaced.
+    """docs with topic, n_tokens, probability (rounded to 6 places) and kept; columns of these names are replaced.
 
-    Null sources, languages and topics are a value of their own, "(none)"; a null text has no tokens. A cell without tokens keeps
+    topic is the column given, else the form of the text: a column of that name is no topic unless it is given. Null sources, languages and topics are a value of their own, "(none)"; a null text has no tokens. A cell without tokens keeps
     its documents. Repeated ids are drawn alike; a null id is drawn as an empty one. An empty table gives none.
     """
-    targets = POWERS if targets is None else targets
+    targets = TARGETS if targets is None else targets
     dims = ["source", "lang", "topic"]
     text = F.col(text_col).cast("string")
     docs = docs.withColumns({"n_tokens": token_weight(text) if tokens is None else tokens, "topic": F.coalesce(form(text) if topic is None else topic, F.lit(NONE))})
@@ -67,26 +108,32 @@ def mix(docs: DataFrame, targets: dict | None = None, tokens: Column | None = No
     cells = scratch(keyed.groupBy(*[F.col(f"_mix_{d}").alias(d) for d in dims]).agg(F.sum("n_tokens").alias("observed")), "mix-cells")
     fitted = scratch(fit(cells, dims, targets, sweeps).withColumn("ratio", F.when(F.col("observed") > 0, F.col("weight") / F.col("observed"))), "mix-fitted")
     top = fitted.agg(F.max("ratio")).first()[0] or 1.0
-    chance = fitted.select(*[F.col(d).alias(f"_mix_{d}") for d in dims], F.round(F.coalesce(F.col("ratio") / F.lit(top), F.lit(1.0)), 9).alias("probability"))
+    chance = fitted.select(*[F.col(d).alias(f"_mix_{d}") for d in dims], F.round(F.coalesce(F.col("ratio") / F.lit(top), F.lit(1.0)), PLACES).alias("probability"))
     drawn = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("")))), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
     joined = join_small(keyed.drop("probability", "kept"), chance, [f"_mix_{d}" for d in dims], "inner", 120)
     return joined.withColumn("kept", drawn < F.col("probability")).drop(*[f"_mix_{d}" for d in dims])
 
 
-def mix_sql(powers: dict | None = None, sweeps: int = SWEEPS, seed: int = 42) -> str:
+def mix_sql(targets: dict | None = None, sweeps: int = SWEEPS, seed: int = 42) -> str:
     """DuckDB SQL for mix() over documents."""
-    powers = POWERS if powers is None else powers
+    targets = TARGETS if targets is None else targets
     dims = ["source", "lang", "topic"]
+    forms = " ".join(f"WHEN {fits} THEN '{name}'" for name, fits in FORMS)
     ctes = [
-        f"d AS (SELECT doc_id, coalesce(source, '{NONE}') AS source, coalesce(lang, '{NONE}') AS lang, CASE WHEN contains(text, ' | ') THEN 'table' WHEN contains(text, '@') THEN 'contact' ELSE 'prose' END AS topic, coalesce((strlen(text) + 3) // 4, 0) AS n_tokens FROM documents)",
+        f"d AS (SELECT doc_id, coalesce(source, '{NONE}') AS source, coalesce(lang, '{NONE}') AS lang, CASE {forms} ELSE 'prose' END AS topic, coalesce((strlen(text) + 3) // 4, 0) AS n_tokens FROM documents)",
         "c AS (SELECT source, lang, topic, sum(n_tokens)::BIGINT AS observed FROM d GROUP BY ALL)",
-        "s0 AS (SELECT *, observed::DOUBLE AS weight, " + ", ".join(f"pow((sum(observed) OVER (PARTITION BY {x}))::DOUBLE, {powers.get(x, 1.0)}::DOUBLE) AS to_{x}" for x in dims) + " FROM c)",
     ]
+    for x in dims:
+        goal = targets.get(x, 1.0)
+        share = f"CASE {x} " + " ".join(f"WHEN '{k}' THEN {float(v)}::DOUBLE" for k, v in goal.items()) + " ELSE seen / sum(seen) OVER () END" if isinstance(goal, dict) else f"pow(seen, {float(goal)}::DOUBLE)"
+        ctes.append(f"g_{x} AS (SELECT {x}, CASE WHEN seen > 0 THEN {share} ELSE 0 END AS goal FROM (SELECT {x}, sum(observed)::DOUBLE AS seen FROM c GROUP BY {x}))")
+        ctes.append(f"t_{x} AS (SELECT {x}, goal / sum(goal) OVER () AS to_{x} FROM g_{x})")
+    ctes.append("s0 AS (SELECT *, observed::DOUBLE AS weight FROM c JOIN t_source USING (source) JOIN t_lang USING (lang) JOIN t_topic USING (topic))")
     n = 0
     for _ in range(sweeps):
         for x in dims:
             n += 1
             ctes.append(f"s{n} AS (SELECT * EXCLUDE (weight), CASE WHEN sum(weight) OVER (PARTITION BY {x}) > 0 THEN weight * to_{x} / sum(weight) OVER (PARTITION BY {x}) ELSE 0 END AS weight FROM s{n - 1})")
     ctes.append(f"r AS (SELECT source, lang, topic, CASE WHEN observed > 0 THEN weight / observed END AS ratio FROM s{n})")
-    ctes.append("p AS (SELECT source, lang, topic, round(coalesce(ratio / (SELECT max(ratio) FROM r), 1.0), 9) AS probability FROM r)")
+    ctes.append(f"p AS (SELECT source, lang, topic, round(coalesce(ratio / (SELECT max(ratio) FROM r), 1.0), {PLACES}) AS probability FROM r)")
     return f"WITH {', '.join(ctes)} SELECT doc_id, source, lang, topic, n_tokens::BIGINT AS n_tokens, probability, ('0x' || substr(md5('{seed}:' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0 < probability AS kept FROM d JOIN p USING (source, lang, topic)"
