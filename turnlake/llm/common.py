@@ -83,6 +83,7 @@ def live(key, make):
 def release() -> None:
     """Drop what an earlier operator left in this worker, and give memory that is free back to the system."""
     _LIVE.clear()
+    _POWERS[:] = [x[:1].copy() for x in _POWERS]
     gc.collect()
     pa.default_memory_pool().release_unused()
     if _TRIM:
