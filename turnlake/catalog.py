@@ -335,7 +335,7 @@ _NO_SUMMARIES = "big AS (SELECT ''::VARCHAR AS session_id, ''::VARCHAR AS turn_i
 @query(S.select([*S.topics("conv10"), _BIG, _MARKED_TURNS, _PLACED, _CONTEXT], "SELECT session_id, phase, ord, sub_ord, role, content, tokens FROM ctx"))
 def assemble_messages(spark, sf_dir):
     t = _topic_turns(spark, sf_dir, "conv10")
-    return A.assemble(M.conv10(spark, sf_dir), t, CONV10, summaries=A.compact(t, CONV10)).drop("tool_name")
+    return A.assemble(M.conv10(spark, sf_dir), t, CONV10, summaries=A.compact(t, CONV10)).drop("tool_name", "parts")
 
 
 @query(S.select([*S.topics("conv10"), _NO_SUMMARIES, _MARKED_TURNS, _PLACED, _CONTEXT], f"SELECT session_id, count(*) AS messages, sum(tokens)::BIGINT AS tokens, sum(tokens) > {CONV10.threshold} AS over FROM ctx GROUP BY session_id"))

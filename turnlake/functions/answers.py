@@ -6,6 +6,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+# The patterns below are formats of answers.
+
+
 def _object(text: Column) -> Column:
     return F.try_parse_json(F.trim(text))
 

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Tools whose results can be had again weigh less than nothing; changes and messages weigh most.
+# Tools whose results can be had again weigh less than nothing; changes and messages weigh most.
 TOOL_WEIGHTS = {
-    **dict.fromkeys(("write", "edit"), 8), "gateway": 6, **dict.fromkeys(("exec", "cron", "message", "sessions_send"), 5), **dict.fromkeys(("sessions_spawn", "wecom_mcp"), 4),
-    **dict.fromkeys(("tts", "knot_skills"), 3), **dict.fromkeys(("image", "pdf", "memory_get", "memory_search"), -2),
-    **dict.fromkeys(("session_status", "sessions_list", "sessions_history", "web_search", "web_fetch"), -3), "read": -5,
+    "write": 8, "edit": 8, "gateway": 6, "exec": 5, "cron": 5, "message": 5, "sessions_send": 5, "sessions_spawn": 4, "wecom_mcp": 4, "tts": 3, "knot_skills": 3,
+    "image": -2, "pdf": -2, "memory_get": -2, "memory_search": -2,
+    "session_status": -3, "sessions_list": -3, "sessions_history": -3, "web_search": -3, "web_fetch": -3, "read": -5,
 }
 
 

@@ -9,11 +9,25 @@ from pyspark.sql import functions as F
 WIDE = r"\x{4E00}-\x{9FFF}\x{3400}-\x{4DBF}\x{20000}-\x{2A6DF}\x{2A700}-\x{2B73F}\x{F900}-\x{FAFF}\x{3000}-\x{303F}\x{FF00}-\x{FFEF}"
 IDEOGRAPHS = r"\x{4E00}-\x{9FFF}\x{3400}-\x{4DBF}\x{20000}-\x{2A6DF}\x{F900}-\x{FAFF}"
 
-STOP_WORDS = sorted("""a about an and are as at be been but by can could did do does for from had has have he her his how i if in is it its may might
-my no not of on or our out she should so that the their these they this those to up was we were what when where which who why will
-with would you your""".split())
-STOP_CHARACTERS = sorted("与个中为么也了于他会但其出到可吗吧呀呢和哇哈哦啊嗯嘛在大好如就很我或是来说都那要这不一上以无有的而还")
-
+# Words and characters that are no terms. They are data that results depend on, in their usual order.
+STOP_WORDS = [
+    "the", "a", "an", "and", "or", "but", "in", "on", "at", "to", "for",
+    "of", "with", "by", "from", "is", "are", "was", "were", "be", "been",
+    "have", "has", "had", "do", "does", "did", "will", "would", "could",
+    "should", "may", "might", "can", "this", "that", "these", "those",
+    "it", "its", "i", "you", "he", "she", "we", "they", "my", "your",
+    "his", "her", "our", "their", "what", "how", "why", "when", "where",
+    "which", "who", "not", "no", "so", "if", "as", "up", "out", "about",
+]
+STOP_CHARACTERS = [
+    "的", "了", "和", "是", "在", "我", "有", "他", "这", "中", "大", "来", "上", "为",
+    "与", "个", "到", "说", "就", "也", "都", "会", "那", "很", "好", "么", "但",
+    "以", "要", "可", "还", "出", "如", "而", "于", "其", "或", "无",
+    "不", "一",
+    "啊", "吧", "呢", "嗯", "哦", "哈", "嘛", "吗", "呀", "哇",
+]
+
+# Patterns of the blocks and stamps that messages begin with.
 SENDER = r"^Sender\s*\(untrusted metadata\):\n```json\n[\s\S]*?```\n*"
 STAMP = r"^\[\w{3}\s+\d{4}-\d{2}-\d{2}\s+\d{2}:\d{2}\s+GMT[+-]\d+\]\s*"
 INTERNAL = r"^<<<BEGIN_[A-Z_]*INTERNAL_CONTEXT>>>[\s\S]*?<<<END_[A-Z_]*INTERNAL_CONTEXT>>>\s*"
@@ -55,8 +69,8 @@ def preview(text: Column, size: int = 200) -> Column:
 def terms(text: Column) -> Column:
     """Terms in order: runs of ASCII letters, digits, "_" and "-" in lower case, ideographs one by one, without stop words."""
     found = F.transform(F.regexp_extract_all(text, F.lit(rf"([A-Za-z0-9_-]+|[{IDEOGRAPHS}])"), F.lit(1)), F.lower)
-    stop = F.array(*[F.lit(w) for w in [*STOP_WORDS, *STOP_CHARACTERS]])
-    return F.filter(found, lambda w: ((F.char_length(w) > 1) | w.rlike(f"^[{IDEOGRAPHS}]$")) & ~F.array_contains(stop, w))
+    # Single characters of ASCII have one byte, ideographs three or four: no pattern is run for each term.
+    return F.filter(found, lambda w: (F.octet_length(w) > 1) & ~w.isin(*STOP_WORDS, *STOP_CHARACTERS))
 
 
 def turn_text(user: Column, assistant: Column, tools: Column) -> Column:
@@ -77,11 +91,12 @@ def topic_label(user_preview: Column, ordinal: Column) -> Column:
 def important_tail(text: Column) -> Column:
     """Whether the last 2000 characters speak of errors or results or end in a closing brace."""
     tail = F.lower(F.right(text, F.lit(2000)))
+    # Words that make the tail worth keeping.
     words = r"\b(error|exception|failed|fatal|traceback|panic|stack trace|errno|exit code|total|summary|result|complete|finished|done|conclusion)\b"
     return tail.rlike(words) | tail.rlike(r"(?U)\}\s*$")
 
 
-#: Lengths of the two notes that a cut text's budget is reduced by.
+# Lengths of the two notes that a cut text's budget is reduced by, and the second one.
 NOTES = 62 + 63
 CUT_NOTE = "\n[truncated: tool output exceeded budget, head+tail preserved]"
 

@@ -11,8 +11,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from turnlake.config import EngineConfig
+from turnlake.functions import content as C
 from turnlake.functions import text as T
 from turnlake.operators import turns as Q
+from turnlake.stores import materialise
 
 SUMMARIES = "session_id string, turn_id string, summary string, tokens bigint, original_tokens bigint, method string"
 TOOL_RESULTS = "session_id string, turn_id string, msg_idx int, truncated_content string, truncated_tokens bigint, original_tokens bigint, original_chars int"
@@ -29,7 +31,7 @@ def relevant(topic_turns: DataFrame, config: EngineConfig = EngineConfig(), comp
     rows = Q.with_cutoff(topic_turns, config.preserve_recent_turns).withColumns({"_now": F.last("topic_id").over(order), "_topics": F.max("topic_ord").over(order) + 1})
     same = F.col("topic_id") == F.col("_now")
     if "subtopic_id" in topic_turns.columns:
-        current = F.last("subtopic_id").over(order)
+        current = F.last("current_subtopic" if "current_subtopic" in topic_turns.columns else "subtopic_id").over(order)
         same = same & (F.col("subtopic_id").isNull() | current.isNull() | (F.col("subtopic_id") == current))
     rows = rows.withColumn("relevant", same | (F.col("_topics") <= 1) if config.topic_aware else F.lit(True))
     done = _or_empty(compacted, topic_turns, TOPIC_COMPACTIONS)
@@ -46,12 +48,14 @@ def same_topic():
 
 def _old_messages(lines: DataFrame, rows: DataFrame) -> DataFrame:
     """Message lines of turns in rows with msg_idx, their place in the turn."""
-    placed = Q.with_turn(lines).withColumn("msg_idx", F.row_number().over(Window.partitionBy("session_id", "seq").orderBy("line")) - 1)
-    return placed.select("session_id", "seq", "line", "msg_idx", "raw_role", "text", "tool_name").join(rows, ["session_id", "seq"])
+    placed = Q.with_turn(C.with_parts(lines)).withColumn("msg_idx", F.row_number().over(Window.partitionBy("session_id", "seq").orderBy("line")) - 1)
+    return placed.select("session_id", "seq", "line", "msg_idx", "raw_role", "text", "tool_name", "parts", "message_tokens").join(rows, ["session_id", "seq"])
 
 
 def assemble(lines: DataFrame, topic_turns: DataFrame, config: EngineConfig = EngineConfig(), summaries: DataFrame | None = None, tool_results: DataFrame | None = None, compacted: DataFrame | None = None) -> DataFrame:
-    """(session_id, phase, ord, sub_ord, role, content, tool_name, tokens): the context's messages in order of phase, ord, sub_ord.
+    """(session_id, phase, ord, sub_ord, role, content, tool_name, tokens, parts): the context's messages in order of phase, ord, sub_ord.
+
+    parts is the content as a list of parts, whatever form it came in; content is its text.
 
     Phase 0: summaries of topics but the current one, and of sub-topics. Phase 1: older relevant turns, as a summary or message by
     message, tool results in their truncated form if there is one. Phase 2: messages of the last turns as they are.
@@ -60,7 +64,7 @@ def assemble(lines: DataFrame, topic_turns: DataFrame, config: EngineConfig = En
     summaries = _or_empty(summaries, lines, SUMMARIES)
     tool_results = _or_empty(tool_results, lines, TOOL_RESULTS)
     compacted = _or_empty(compacted, lines, TOPIC_COMPACTIONS)
-    columns = ["session_id", "phase", "ord", "sub_ord", "role", "content", "tool_name", "tokens"]
+    columns = ["session_id", "phase", "ord", "sub_ord", "role", "content", "tool_name", "tokens", "parts"]
     none = F.lit(None).cast("string")
 
     now = marked.filter("recent").groupBy("session_id").agg(F.first("_now").alias("_now")) if config.preserve_recent_turns else marked.groupBy("session_id").agg(F.first("_now").alias("_now"))
@@ -77,8 +81,15 @@ def assemble(lines: DataFrame, topic_turns: DataFrame, config: EngineConfig = En
     whole = messages.select("session_id", F.lit(1).alias("phase"), F.col("seq").alias("ord"), F.col("msg_idx").alias("sub_ord"), F.when(is_tool, "tool").otherwise(F.col("raw_role")).alias("role"), F.when(is_tool, F.coalesce("truncated_content", "text")).otherwise(F.col("text")).alias("content"), F.when(is_tool, F.col("tool_name")).alias("tool_name"), F.when(is_tool & F.col("truncated_tokens").isNotNull(), F.col("truncated_tokens")).otherwise(T.tokens(F.col("text"))).alias("tokens"))
 
     last = _old_messages(lines, marked.filter("recent").select("session_id", "seq"))
-    two = last.select("session_id", F.lit(2).alias("phase"), F.col("seq").alias("ord"), F.col("msg_idx").alias("sub_ord"), F.col("raw_role").alias("role"), F.col("text").alias("content"), "tool_name", T.tokens(F.col("text")).alias("tokens"))
-    return zero.select(columns).union(short.select(columns)).union(whole.select(columns)).union(two.select(columns))
+    two = last.select("session_id", F.lit(2).alias("phase"), F.col("seq").alias("ord"), F.col("msg_idx").alias("sub_ord"), F.col("raw_role").alias("role"), F.col("text").alias("content"), "tool_name", F.col("message_tokens").alias("tokens"), "parts")
+    plain = lambda rows: rows.withColumn("parts", C.of_text(F.col("content"))).select(columns)
+    return plain(zero).union(plain(short)).union(plain(whole)).union(two.select(columns))
+
+
+def pass_through(messages: DataFrame) -> DataFrame:
+    """Messages (session_id, idx, role, content) of sessions without a log, as a context of no tokens: content in parts, nothing left out."""
+    text = F.coalesce(F.col("content").cast("string"), F.lit(""))
+    return messages.select("session_id", F.lit(2).alias("phase"), F.col("idx").cast("int").alias("ord"), F.lit(0).alias("sub_ord"), "role", text.alias("content"), F.lit(None).cast("string").alias("tool_name"), F.lit(0).cast("long").alias("tokens"), C.of_text(text).alias("parts"))
 
 
 def used_tokens(context: DataFrame, config: EngineConfig = EngineConfig()) -> DataFrame:
@@ -99,7 +110,8 @@ def truncations(lines: DataFrame, turn_rows: DataFrame, used: DataFrame, config:
     most = config.tool_result_truncate_chars
     big = _old_messages(lines, old).filter((F.col("raw_role") == "toolResult") & (F.char_length("text") > most))
     big = big.join(_or_empty(tool_results, lines, TOOL_RESULTS), ["session_id", "turn_id", "msg_idx"], "left_anti")
-    cut = big.withColumn("truncated_content", T.truncate(F.col("text"), most)).withColumns({"truncated_tokens": T.tokens(F.col("truncated_content")), "original_tokens": T.tokens(F.col("text")), "original_chars": F.char_length("text")})
+    # Written once: what is saved by each turn and what goes out are both read from it.
+    cut = materialise(big.withColumn("truncated_content", T.truncate(F.col("text"), most)), "cut").withColumns({"truncated_tokens": T.tokens(F.col("truncated_content")), "original_tokens": T.tokens(F.col("text")), "original_chars": F.char_length("text")})
     saved = cut.groupBy("session_id", "seq").agg(F.sum(F.col("original_tokens") - F.col("truncated_tokens")).alias("saved"))
     steps = old.select("session_id", "seq", "_used").join(saved, ["session_id", "seq"], "left").fillna(0, ["saved"])
     order = Window.partitionBy("session_id").orderBy("seq")
@@ -140,6 +152,20 @@ def compaction_report(turn_rows: DataFrame, before: DataFrame | None, new: DataF
     return rows.groupBy("session_id").agg(F.count("*").alias("compacted"), F.sum(F.col("original_tokens") - F.col("tokens")).alias("tokens_saved"), F.sum("hit").alias("cache_hits"))
 
 
+def compaction_result(report: DataFrame, summaries: DataFrame, tool_results: DataFrame | None, sessions: DataFrame) -> DataFrame:
+    """Per session: compacted, reason or summary, tokens_before and tokens_after, and the details of a compaction.
+
+    tokens_before is what all stored summaries have saved and what this compaction saves, tokens_after what this one saves.
+    """
+    saved = summaries.groupBy("session_id").agg(F.sum(F.col("original_tokens") - F.col("tokens")).alias("_all"))
+    cut = _or_empty(tool_results, summaries, TOOL_RESULTS).groupBy("session_id").agg(F.count("*").alias("tool_result_truncations"), F.sum(F.col("original_tokens") - F.col("truncated_tokens")).alias("tool_result_tokens_saved"))
+    rows = sessions.select("session_id").distinct().join(report, "session_id", "left").join(saved, "session_id", "left").join(cut, "session_id", "left")
+    rows = rows.fillna(0, ["compacted", "tokens_saved", "cache_hits", "_all", "tool_result_truncations", "tool_result_tokens_saved"])
+    done = F.col("compacted") > 0
+    text = F.concat(F.lit("Compacted "), F.col("compacted").cast("string"), F.lit(" turns ("), (F.col("compacted") - F.col("cache_hits")).cast("string"), F.lit(" new, "), F.col("cache_hits").cast("string"), F.lit(" cached)"))
+    return rows.select("session_id", done.alias("compacted"), F.when(~done, "All turns already compacted or recent").alias("reason"), F.when(done, text).alias("summary"), F.when(done, F.col("_all") + F.col("tokens_saved")).alias("tokens_before"), F.when(done, F.col("tokens_saved")).alias("tokens_after"), F.col("compacted").alias("compacted_count"), "cache_hits", "tool_result_truncations", "tool_result_tokens_saved")
+
+
 def _summed(rows: DataFrame, keys: list[str], title, summaries: DataFrame) -> DataFrame:
     """Local summaries of groups of turns: title, tools in order of use, the first eight turns."""
     rows = rows.join(summaries.select("session_id", "turn_id", "summary", F.col("tokens").alias("_st")), ["session_id", "turn_id"], "left")
