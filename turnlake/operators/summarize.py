@@ -4,16 +4,31 @@ from __future__ import annotations
 
 import logging
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from turnlake.functions import content as C
+from turnlake.operators import turns as Q
+
 Summarizer = Callable[[str, str], str]
+#: Seconds that a model's answer may take.
+TIMEOUT = 30.0
+
+
+def timed(model: Callable[..., str], *given: str, timeout: float = TIMEOUT) -> str:
+    """model(*given), or TimeoutError after so many seconds; a call that takes longer goes on in a thread of its own, unheeded."""
+    pool = ThreadPoolExecutor(1)
+    try:
+        return pool.submit(model, *given).result(timeout)
+    finally:
+        pool.shutdown(wait=False, cancel_futures=True)
 
 
-def summarize(rows: DataFrame, summarizer: Summarizer, text_col: str, hint_col: str, retries: int = 1) -> DataFrame:
+def summarize(rows: DataFrame, summarizer: Summarizer, text_col: str, hint_col: str, retries: int = 1, timeout: float = TIMEOUT) -> DataFrame:
     """rows with text_col replaced by summarizer(text, hint) and method "llm"; where all tries fail, the text stays and method is "local".
 
     Calls run once per row on the executors; write the result before using it twice, for a model may answer otherwise again.
@@ -24,7 +39,7 @@ def summarize(rows: DataFrame, summarizer: Summarizer, text_col: str, hint_col:
     def one(text: str, hint: str) -> tuple[str, str]:
         for _ in range(retries + 1):
             try:
-                return summarizer(text, hint), "llm"
+                return timed(summarizer, text, hint, timeout=timeout), "llm"
             except Exception:
                 logging.getLogger(__name__).warning("summary failed for %s", hint, exc_info=True)
         return text, "local"
@@ -37,14 +52,14 @@ def summarize(rows: DataFrame, summarizer: Summarizer, text_col: str, hint_col:
     return source.mapInPandas(run, schema)
 
 
-def ask(rows: DataFrame, model: Callable[[str], str], prompt_col: str = "prompt", out_col: str = "response") -> DataFrame:
+def ask(rows: DataFrame, model: Callable[[str], str], prompt_col: str = "prompt", out_col: str = "response", timeout: float = TIMEOUT) -> DataFrame:
     """rows with out_col, the model's answer to prompt_col; null where it fails."""
     source = rows.drop(out_col)
     schema = StructType([*source.schema.fields, StructField(out_col, StringType())])
 
     def one(prompt: str) -> str | None:
         try:
-            return model(prompt)
+            return timed(model, prompt, timeout=timeout)
         except Exception:
             logging.getLogger(__name__).warning("no answer", exc_info=True)
             return None
@@ -84,6 +99,27 @@ def class_prompts(topic_turns: DataFrame) -> DataFrame:
     return topic_turns.select("session_id", "seq", F.concat_ws("\n", F.concat(F.lit("Topic: "), "label"), _turn_line(150), F.lit(ask_)).alias("prompt"))
 
 
+def compact_inputs(lines: DataFrame, turn_rows: DataFrame, tool_results: DataFrame | None = None) -> DataFrame:
+    """(session_id, seq, turn_id, text): what a model is given of a turn to summarise: its messages in order, a block each, tool results
+    in their truncated form where there is one, assistants' tool calls with their arguments.
+    """
+    from turnlake.operators import assemble as A
+
+    rows = turn_rows.select("session_id", "seq", "turn_id", "message_count", F.size("tools_used").alias("n_tools"))
+    placed = Q.with_turn(C.with_parts(lines)).withColumn("msg_idx", F.row_number().over(Window.partitionBy("session_id", "seq").orderBy("line")) - 1)
+    told = placed.join(rows, ["session_id", "seq"])
+    cut = A._or_empty(tool_results, lines, A.TOOL_RESULTS).select("session_id", "turn_id", "msg_idx", "truncated_content")
+    told = told.join(cut, ["session_id", "turn_id", "msg_idx"], "left")
+    text, name = F.coalesce("text", F.lit("")), F.coalesce(F.nullif(F.col("tool_name"), F.lit("")), F.lit("?"))
+    said = F.when(text != "", F.concat(F.lit("[Assistant]: "), text))
+    called = F.when(F.size("call_texts") > 0, F.concat(F.lit("[ToolCalls]: "), F.array_join("call_texts", ", ")))
+    result = F.concat(F.lit("[Tool "), name, F.when(F.col("is_error"), " ❌ ERROR").otherwise(""), F.lit("]: "), F.coalesce("truncated_content", text))
+    block = F.when(F.col("raw_role") == "user", F.concat(F.lit("[User]: "), text)).when(F.col("raw_role") == "assistant", F.nullif(F.concat_ws("\n", said, called), F.lit(""))).when(F.col("raw_role") == "toolResult", result)
+    grouped = told.withColumn("_b", block).groupBy("session_id", "seq", "turn_id").agg(F.first("message_count").alias("m"), F.first("n_tools").alias("k"), F.sort_array(F.collect_list(F.when(F.col("_b").isNotNull(), F.struct("line", "_b")))).alias("g"))
+    head = F.concat(F.lit("[Turn #"), F.col("seq").cast("string"), F.lit(" | "), F.col("m").cast("string"), F.lit(" messages | "), F.col("k").cast("string"), F.lit(" tools]\n"))
+    return grouped.select("session_id", "seq", "turn_id", F.concat_ws("\n", head, F.array_join(F.transform("g", lambda x: x["_b"]), "\n")).alias("text"))
+
+
 def subtopics_by_model(topic_turns: DataFrame, responses: DataFrame, fallback: DataFrame) -> DataFrame:
     """Sub-topics by a model's answers (session_id, topic_id, n_turns, response); fallback's where an answer is missing or unsound."""
     from turnlake.functions import answers

@@ -28,27 +28,34 @@ class Engine:
         self._turns: DataFrame | None = None
 
     def configure(self, **options) -> EngineConfig:
-        """Options replaced; the index stays."""
+        """Options of the engine replaced; the index stays."""
         self.config = resolved(self.config, **options)
         return self.config
 
+    def configure_context(self, **options) -> ContextConfig:
+        """Options of flat contexts, replaced where given."""
+        self.context = resolved(self.context, **options)
+        return self.context
+
     # Index
 
     def files(self) -> DataFrame:
-        """(session_id, modified) of the session files."""
+        """(session_id, modified, path) of the session files."""
         found = self.spark.read.format("binaryFile").load(self.path).select("path", F.col("modificationTime").alias("modified"))
-        return found.select(F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.jsonl$", "").alias("session_id"), "modified")
+        return found.select(jsonl.session_of(F.col("path")).alias("session_id"), "modified", "path")
 
     def build(self, only_stale: bool = True) -> DataFrame:
         """Build and store the index, of sessions whose file changed since; per session, its statistics."""
         lines = self.lines
         if self.path is not None:
-            fresh = stale(self.files(), self.store.load("session_index")) if only_stale else self.files()
+            files = self.files()
+            fresh = stale(files, self.store.load("session_index")) if only_stale else files.select("session_id", "modified")
             fresh = materialise(fresh, "stale")
             if fresh.isEmpty():
                 self._turns = self.store.sessions("turns")
                 return self.stats()
-            lines = lines.join(fresh.select("session_id"), "session_id", "left_semi")
+            # Only files that changed are read; the driver lists the files anyway.
+            lines = jsonl.read_sessions(self.spark, [r.path for r in files.join(fresh.select("session_id"), "session_id", "left_semi").select("path").collect()])
         rows = materialise(Q.turns(lines), "turns")
         built = G.with_topics(rows, materialise(G.segments(rows, self.topic_config), "segments"))
         self.store.replace_sessions("turns", built)
@@ -64,7 +71,18 @@ class Engine:
     def turns(self, session_id: str | None = None) -> DataFrame:
         if self._turns is None:
             self.build()
-        return self._turns if session_id is None else self._turns.filter(F.col("session_id") == session_id)
+        rows = self._turns if session_id is None else self._turns.filter(F.col("session_id") == session_id)
+        return self._with_subtopics(rows)
+
+    def _with_subtopics(self, rows: DataFrame) -> DataFrame:
+        """rows with subtopic_id, and the current_subtopic of their topic, of stored sub-topics; topics of one sub-topic have none."""
+        kept = self.store.load("subtopics")
+        if kept is None or "topic_id" not in rows.columns:
+            return rows
+        kept = kept.withColumn("_k", F.count("*").over(Q.Window.partitionBy("session_id", "topic_id"))).filter("_k > 1")
+        member = kept.select("session_id", "topic_id", "subtopic_id", F.explode("turn_sequences").alias("seq")).groupBy("session_id", "topic_id", "seq").agg(F.max("subtopic_id").alias("subtopic_id"))
+        now = kept.groupBy("session_id", "topic_id").agg(F.max(F.when(F.col("is_current"), F.col("subtopic_id"))).alias("current_subtopic"))
+        return rows.join(member, ["session_id", "topic_id", "seq"], "left").join(now, ["session_id", "topic_id"], "left").select(*rows.columns, "subtopic_id", "current_subtopic")
 
     # Index tools
 
@@ -127,19 +145,38 @@ class Engine:
 
     # Compaction tools
 
-    def compact(self, session_id: str | None = None) -> DataFrame:
-        """Summarise the largest older turns and store it; per session: compacted turns, tokens saved, cache hits."""
-        rows, before = self.turns(session_id), self.store.load("summaries", A.SUMMARIES)
+    def compact(self, session_id: str | None = None, only: DataFrame | None = None) -> DataFrame:
+        """Summarise the largest older turns and store it; per session: compacted turns, tokens saved, cache hits. only: of these sessions."""
+        rows, before = self._only(self.turns(session_id), only), self.store.load("summaries", A.SUMMARIES)
         new = materialise(A.compact(rows, self.config, before, self.summarizer), "summaries")
         report = materialise(A.compaction_report(rows, before, new, self.config), "report")
         self.store.save("summaries", new)
         return report
 
-    def compact_topics(self, session_id: str | None = None) -> DataFrame:
-        """Compact topics, and the sub-topics of sessions of one topic, and store it; the new rows."""
-        rows, summaries, done = self.turns(session_id), self.store.load("summaries", A.SUMMARIES), self.store.load("topic_compactions", A.TOPIC_COMPACTIONS)
+    def compact_result(self, session_id: str | None = None) -> DataFrame:
+        """compact(), and per session what it did: compacted, reason or summary, tokens before and after, stored truncations."""
+        rows = materialise(self.turns(session_id).select("session_id").distinct(), "sessions")
+        report = self.compact(session_id)
+        return A.compaction_result(report, self.store.load("summaries", A.SUMMARIES), self.store.load("tool_results", A.TOOL_RESULTS), rows)
+
+    @staticmethod
+    def _only(rows: DataFrame, only: DataFrame | None) -> DataFrame:
+        return rows if only is None else rows.join(only.select("session_id").distinct(), "session_id", "left_semi")
+
+    def _parts(self, old: DataFrame) -> DataFrame:
+        """Sub-topics of older turns: the stored ones of topics that have several, else those found by signals."""
+        found, kept = G.subtopics(old), self.store.load("subtopics")
+        if kept is None:
+            return found
+        many = kept.groupBy("session_id", "topic_id").count().filter("count > 1").select("session_id", "topic_id")
+        kept = kept.join(many, ["session_id", "topic_id"], "left_semi").select(*[c for c in found.columns if c in kept.columns])
+        return found.join(many, ["session_id", "topic_id"], "left_anti").unionByName(kept, allowMissingColumns=True)
+
+    def compact_topics(self, session_id: str | None = None, only: DataFrame | None = None) -> DataFrame:
+        """Compact topics, and the sub-topics of sessions of one topic, and store it; the new rows. only: of these sessions."""
+        rows, summaries, done = self._only(self.turns(session_id), only), self.store.load("summaries", A.SUMMARIES), self.store.load("topic_compactions", A.TOPIC_COMPACTIONS)
         old = Q.with_cutoff(rows, self.config.preserve_recent_turns).filter("not recent").drop("recent")
-        new = A.compact_topics(rows, self.config, summaries, done).unionByName(A.compact_subtopics(rows, G.subtopics(old), G.time_chunks(old), self.config, summaries, done))
+        new = A.compact_topics(rows, self.config, summaries, done).unionByName(A.compact_subtopics(rows, self._parts(old), G.time_chunks(old), self.config, summaries, done))
         new = materialise(new, "topics")
         self.store.save("topic_compactions", new)
         return new
@@ -149,17 +186,31 @@ class Engine:
         rows = Q.recover(self.lines, Q.lookup(self.turns(session_id), turn_id=turn_id).select("session_id", "seq", "turn_id", "line_start", "line_end"))
         return rows.filter("role is not null").select("session_id", "turn_id", "line", "raw_role", F.substring("text", 1, size).alias("text"))
 
-    def assemble(self, session_id: str | None = None, token_budget: int | None = None) -> DataFrame:
-        """The context; tool results that are too large are truncated in the store, for the next time."""
-        config = resolved(self.config, max_context_tokens=token_budget)
+    def assemble(self, session_id: str | None = None, token_budget: int | None = None, messages: DataFrame | None = None) -> DataFrame:
+        """The context. Where it is over the threshold, tool results that are too large are truncated in the store, for the next time;
+        where that doesn't suffice, the largest turns and then topics are compacted there. A budget stays set. Of messages (session_id,
+        idx, role, content), if given, those of sessions without a log pass as they are.
+        """
+        config = self.configure(max_context_tokens=token_budget)
         rows = self.turns(session_id)
         lines = self.lines if session_id is None else self.lines.filter(F.col("session_id") == session_id)
         summaries, results, done = self.store.load("summaries", A.SUMMARIES), self.store.load("tool_results", A.TOOL_RESULTS), self.store.load("topic_compactions", A.TOPIC_COMPACTIONS)
         context = materialise(A.assemble(lines, rows, config, summaries, results, done), "context")
-        cut = materialise(A.truncations(lines, rows, A.used_tokens(context, config), config, summaries, results), "cuts")
+        used = materialise(A.used_tokens(context, config), "used")
+        cut = materialise(A.truncations(lines, rows, used, config, summaries, results), "cuts")
         if not cut.isEmpty():
             self.store.save("tool_results", cut)
-        return context
+        saved = cut.groupBy("session_id").agg(F.sum(F.col("original_tokens") - F.col("truncated_tokens")).alias("saved"))
+        left = F.col("tokens") - F.coalesce("saved", F.lit(0))
+        still = materialise(used.filter("over").join(saved, "session_id", "left").filter(left > config.threshold).select("session_id"), "still")
+        if not still.isEmpty():
+            self.compact(session_id, still)
+            self.compact_topics(session_id, still)
+        if messages is None:
+            return context
+        known = self.turns().select("session_id").distinct()
+        other = A.pass_through(messages.join(known, "session_id", "left_anti"))
+        return context.unionByName(other if session_id is None else other.filter(F.col("session_id") == session_id))
 
     def preview(self, session_id: str | None = None) -> DataFrame:
         """What assembling does with each turn: kept as it is, or up for summary, truncation or dropping."""
@@ -193,7 +244,7 @@ class Engine:
 #: Tool names and what serves them.
 TOOLS = {
     "context_engine_topics": Engine.topics, "context_stats": lambda e, session_id=None: P.stats(e.flat(session_id)), "context_prune": Engine.prune, "context_summarize": Engine.summarize,
-    "context_pin": lambda e, marks, session_id=None: P.pin(e.flat(session_id), marks), "context_config": Engine.configure,
+    "context_pin": lambda e, marks, session_id=None: P.pin(e.flat(session_id), marks), "context_config": Engine.configure_context,
     "context_set_strategy": lambda e, strategy: setattr(e, "context", resolved(e.context, strategy=strategy if strategy in P.STRATEGIES else "fifo")),
     "session_index_build": Engine.build, "session_index_query": Engine.query, "session_index_read_raw": Engine.read_raw, "context_engine_status": Engine.status, "context_engine_compact": Engine.compact,
     "context_engine_recover": Engine.recover, "context_engine_assemble": Engine.preview, "context_engine_detect_subtopics": Engine.detect_subtopics,

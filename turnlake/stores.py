@@ -14,7 +14,7 @@ VERSION = 1
 BUCKETS = 64
 KEYS = {
     "summaries": ["session_id", "turn_id"], "tool_results": ["session_id", "turn_id", "msg_idx"], "topic_compactions": ["session_id", "kind", "topic_id", "subtopic_id"],
-    "subtopics": ["session_id", "topic_id", "subtopic_id"], "turns": ["session_id", "seq"], "topics": ["session_id", "topic_ord"], "session_index": ["session_id"],
+    "subtopics": ["session_id", "topic_id", "subtopic_id"], "turns": ["session_id", "seq"], "topics": ["session_id", "topic_ord"], "session_index": ["session_id"], "turn_classes": ["session_id", "seq"],
 }
 
 
@@ -43,8 +43,8 @@ class Store:
         self.spark, self.path = spark, path.rstrip("/")
 
     def _exists(self, table: str) -> bool:
-        where = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{table}")
-        return where.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(where)
+        where, files = self._files(table)
+        return files.exists(where)
 
     def save(self, table: str, rows: DataFrame) -> None:
         """Append rows; rows of a key that is there already take its place on reads."""
@@ -52,6 +52,8 @@ class Store:
 
     def load(self, table: str, schema: str | StructType | None = None) -> DataFrame | None:
         """Latest rows by key; None, or no rows of schema, if nothing was saved."""
+        if not self._exists(table) and self._exists(f"{table}.old"):
+            self._move(f"{table}.old", table)
         if not self._exists(table):
             return None if schema is None else self.spark.createDataFrame([], schema)
         rows = self.spark.read.option("mergeSchema", "true").parquet(f"{self.path}/{table}").filter(F.col("_version") == VERSION)
@@ -68,6 +70,7 @@ class Store:
 
     def sessions(self, table: str, touched: DataFrame | None = None) -> DataFrame | None:
         """Each session's rows as last written; of the sessions in touched only, if given, and then only their folders are read."""
+        self._recover(table)
         if not self._exists(f"index/{table}"):
             return None
         found = self.spark.read.parquet(f"{self.path}/index/{table}").filter(F.col("_version") == VERSION)
@@ -79,12 +82,46 @@ class Store:
         return found.drop("_version", "_written", "_batch", "_bucket", "_last")
 
     def vacuum(self, table: str) -> None:
-        """Rewrite the index table without rows that later writes have replaced; no other write may run meanwhile."""
+        """Rewrite the index table without rows that later writes have replaced; no other write may run meanwhile.
+
+        It is written beside the table and takes its place by two renames; what a failure leaves is found by the next call.
+        """
+        self._recover(table)
         rows = self.sessions(table)
         if rows is not None:
             marks = {"_version": F.lit(VERSION), "_written": F.current_timestamp(), "_batch": F.lit(uuid.uuid4().hex), "_bucket": _bucket()}
-            kept = materialise(rows.withColumns(marks), "vacuum")
-            kept.hint("rebalance", "_bucket").write.mode("overwrite").partitionBy("_bucket").parquet(f"{self.path}/index/{table}")
+            rows.withColumns(marks).hint("rebalance", "_bucket").write.mode("overwrite").partitionBy("_bucket").parquet(f"{self.path}/index/{table}.new")
+            self._move(f"index/{table}", f"index/{table}.old")
+            self._move(f"index/{table}.new", f"index/{table}")
+            self._delete(f"index/{table}.old")
+
+    def compact(self, table: str) -> None:
+        """Rewrite a side table with each key's latest row; the same way, and no other write may run meanwhile."""
+        rows = self.load(table)
+        if rows is not None:
+            marks = {"_version": F.lit(VERSION), "_written": F.current_timestamp(), "_batch": F.lit(uuid.uuid4().hex)}
+            rows.withColumns(marks).write.mode("overwrite").parquet(f"{self.path}/{table}.new")
+            self._move(table, f"{table}.old")
+            self._move(f"{table}.new", table)
+            self._delete(f"{table}.old")
+
+    def _recover(self, table: str) -> None:
+        if not self._exists(f"index/{table}") and self._exists(f"index/{table}.old"):
+            self._move(f"index/{table}.old", f"index/{table}")
+
+    def _files(self, name: str):
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        return where, where.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _move(self, name: str, to: str) -> None:
+        where, files = self._files(name)
+        self._delete(to)
+        if not files.rename(where, self._files(to)[0]):
+            raise OSError(f"{self.path}/{name} can't be renamed to {to}")
+
+    def _delete(self, name: str) -> None:
+        where, files = self._files(name)
+        files.delete(where, True)
 
 
 def _bucket():

@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import IntegerType, StructField, StructType
 
-from turnlake.config import TopicConfig
+from turnlake.config import EngineConfig, TopicConfig
+from turnlake.functions import answers
+from turnlake.operators import summarize as S
 from turnlake.operators import topics as G
 from turnlake.operators import turns as Q
 from turnlake.stores import Store, materialise, shared_path
@@ -124,8 +126,9 @@ def run_available(rows: DataFrame, transform, keys: list[str], latest: str) -> D
 def index_batch(store: Store, on_turns=None):
     """A foreachBatch sink that adds new lines to the store and rebuilds the index of the sessions they belong to.
 
-    The same as a full build of those sessions, whatever way a file was split; a batch that comes again changes nothing. on_turns, if
-    given, gets the rebuilt turns with topics, for a second sink such as classification.
+    The same as a full build of those sessions, whatever way a file was split; a batch that comes again changes nothing. A session is
+    rebuilt when a batch brings an assistant's message of it, which ends a turn; its other lines are kept until then. on_turns, if
+    given, gets the last turn of every session that was rebuilt, for a second sink such as classification.
     """
 
     def run(batch: DataFrame, _: int) -> None:
@@ -135,11 +138,44 @@ def index_batch(store: Store, on_turns=None):
         known = store.sessions("lines", touched)
         rows = batch if known is None else known.unionByName(batch, allowMissingColumns=True)
         lines = materialise(rows.dropDuplicates(["session_id", "line"]), "lines")
-        turn_rows = materialise(Q.turns(lines), "turns")
-        with_topics = G.with_topics(turn_rows, G.segments(turn_rows))
         store.replace_sessions("lines", lines)
-        store.replace_sessions("turns", with_topics)
+        ended = materialise(batch.filter("role = 'assistant'").select("session_id").distinct(), "ended")
+        if ended.isEmpty():
+            return
+        turn_rows = materialise(Q.turns(lines.join(ended, "session_id", "left_semi")), "turns")
+        store.replace_sessions("turns", G.with_topics(turn_rows, G.segments(turn_rows)))
         if on_turns:
-            on_turns(store.sessions("turns", touched))
+            on_turns(Q.recent(store.sessions("turns", ended), 1))
 
     return run
+
+
+def classifier(store: Store, model, config: EngineConfig = EngineConfig()):
+    """An on_turns for index_batch(): asks the model for the sub-topic of each last turn and saves its answers as "turn_classes".
+
+    None, and so nothing to call, where sessions aren't looked at by topic or there is no model. Answers that can't be read are left out.
+    """
+    if not config.topic_aware or model is None:
+        return None
+
+    def run(last: DataFrame) -> None:
+        asked = S.ask(S.class_prompts(last), model)
+        read = asked.select("session_id", "seq", answers.turn_class(F.col("response")).alias("c")).filter("c is not null")
+        store.save("turn_classes", materialise(read.select("session_id", "seq", "c.subtopic", "c.is_new"), "classes"))
+
+    return run
+
+
+class LiveIndex:
+    """A stream of typed lines that keeps a store's index up to date, until it is disposed of."""
+
+    def __init__(self, lines: DataFrame, store: Store, checkpoint: str, on_turns=None, **trigger):
+        writer = lines.writeStream.foreachBatch(index_batch(store, on_turns)).option("checkpointLocation", checkpoint)
+        self.query = (writer.trigger(**trigger) if trigger else writer).start()
+
+    def wait(self) -> None:
+        self.query.awaitTermination()
+
+    def dispose(self) -> None:
+        """Stop the stream; what it has read is indexed, and another one goes on from its checkpoint."""
+        self.query.stop()
