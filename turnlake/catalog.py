@@ -12,8 +12,10 @@ from turnlake.operators import assemble as A
 from turnlake.operators import prune as P
 from turnlake.operators import topics as G
 from turnlake.operators import turns as Q
+from turnlake.operators.summarize import compact_inputs as inputs
 from turnlake.operators.summarize import subtopics_by_model
 from turnlake.plans import sql as S
+from turnlake.plans.engine import Engine
 from turnlake.sources import jsonl
 from turnlake.sources import messages as M
 from turnlake.stores import materialise
@@ -407,9 +409,11 @@ def session_meta(spark, sf_dir):
     return Q.session_meta(jsonl.parse_lines(json_lines(spark, sf_dir)))
 
 
-@query("SELECT conv_id::VARCHAR AS session_id, (turn + 6)::INTEGER AS line FROM conversations WHERE turn + 6 BETWEEN 7 AND 9")
+@query("""SELECT conv_id::VARCHAR AS session_id, k::INTEGER AS line, CASE k WHEN 2 THEN '{"type": "model_change", "provider": "p", "modelId": "m' || (conv_id % 3) || '"}' WHEN 3 THEN '  ' WHEN 4 THEN '{bad' ELSE 'null' END AS raw FROM conversations, range(2, 6) r(k) WHERE turn = 0
+UNION ALL SELECT conv_id::VARCHAR, (turn + 6)::INTEGER, NULL FROM conversations WHERE turn + 6 BETWEEN 6 AND 9""")
 def raw_line_range(spark, sf_dir):
-    return json_lines(spark, sf_dir).filter(F.col("line").between(7, 9)).select("session_id", "line")
+    """Lines 2 to 9 of every session; the texts of those that aren't messages."""
+    return json_lines(spark, sf_dir).filter(F.col("line").between(2, 9)).select("session_id", "line", F.when(F.col("line") < 6, F.col("raw")).alias("raw"))
 
 
 @query("SELECT doc_id, CASE WHEN n_chars * 500 >= 1000000 THEN (floor(n_chars * 500 * 10.0::DOUBLE / 1000000 + 0.5) / 10)::DECIMAL(20, 1)::VARCHAR || 'M' WHEN n_chars * 500 >= 1000 THEN (floor(n_chars * 500 * 10.0::DOUBLE / 1000 + 0.5) / 10)::DECIMAL(20, 1)::VARCHAR || 'K' ELSE (n_chars * 500)::VARCHAR END AS shown FROM documents")
@@ -430,7 +434,7 @@ def trim_messages(spark, sf_dir):
 
 @query(S.select(S.turns("conv10"), "SELECT sum(message_count)::BIGINT AS messages FROM turns"))
 def bootstrap_messages(spark, sf_dir):
-    return Q.turns(M.conv10(spark, sf_dir)).agg(F.sum("message_count").alias("messages"))
+    return spark.createDataFrame([(engine(spark, M.conv10(spark, sf_dir)).bootstrap(),)], "messages bigint")
 
 
 @query(S.select(S.topics("conv10"), "SELECT session_id, topic_id, seq, turn_id FROM tturns WHERE is_current"))
@@ -481,11 +485,12 @@ def current_subtopic(spark, sf_dir):
 _PARTS = """CASE WHEN n_turns % 3 = 0 THEN 'none' ELSE concat('```json\\n[{"label": "all", "turns": [', list_, ']}]\\n```') END"""
 
 
-@query(S.select(S.turns("conv10"), "SELECT session_id, 'subtopic-0' AS subtopic_id, 'all' AS label, count(*)::INTEGER AS turns, 'llm' AS method FROM turns WHERE n_turns % 3 <> 0 AND n_turns > 2 GROUP BY session_id"))
+@query(S.select(S.subtopics("conv10"), """SELECT session_id, 'subtopic-0' AS subtopic_id, 'all' AS label, count(*)::INTEGER AS turns, 'llm' AS method FROM turns WHERE n_turns % 3 <> 0 AND n_turns > 2 GROUP BY session_id
+UNION ALL SELECT g.session_id, 'subtopic-' || g.ord, CASE WHEN left(t.user_preview, 40) <> '' THEN left(t.user_preview, 40) WHEN t.n_turns <= 2 THEN 'conversation' ELSE 'Sub-topic ' || (g.ord + 1) END, g.size::INTEGER, 'heuristic' FROM sub g JOIN turns t ON g.session_id = t.session_id AND g.start = t.seq WHERE t.n_turns % 3 = 0 OR t.n_turns <= 2"""))
 def subtopics_by_answers(spark, sf_dir):
     rows = _all_one(spark, sf_dir, "conv10")
     asked = rows.groupBy("session_id", "topic_id").agg(F.count("*").alias("n_turns"), F.array_join(F.sort_array(F.collect_list("seq")), ", ").alias("list_")).filter("n_turns > 2")
-    return subtopics_by_model(rows, asked.withColumn("response", F.expr(_PARTS)), G.subtopics(rows)).filter("method = 'llm'").select("session_id", "subtopic_id", "label", F.size("turn_sequences").alias("turns"), "method")
+    return subtopics_by_model(rows, asked.withColumn("response", F.expr(_PARTS)), G.subtopics(rows)).select("session_id", "subtopic_id", "label", F.size("turn_sequences").alias("turns"), "method")
 
 
 # More of flat contexts -------------------------------------------------------------------------------------------------------
@@ -508,6 +513,161 @@ def summarize_oldest(spark, sf_dir):
     return P.local_summary(M.context_messages(spark, sf_dir).filter("idx < 2")).drop("tokens")
 
 
+# Contents in parts -----------------------------------------------------------------------------------------------------------
+
+
+def mixed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Typed lines of messages whose contents are texts, lists of parts with images and tool calls, or nothing; some texts are Chinese."""
+    d = docs(spark, sf_dir).withColumn("t", F.concat(F.substring("text", 1, 80), F.when(F.col("doc_id") % 5 == 0, "中文字。").otherwise("")))
+    part = lambda name, *columns: F.to_json(F.struct(F.lit(name).alias("type"), *columns))
+    text = part("text", F.col("t").alias("text"))
+    call = part("toolCall", F.col("source").alias("name"), F.struct("lang", (F.col("n_chars") % 100).alias("n"), F.repeat(F.lit("x"), (F.col("n_chars") % 150).cast("int")).alias("pad")).alias("arguments"))
+    listed = lambda *x: F.concat(F.lit("["), F.concat_ws(", ", *x), F.lit("]"))
+    kind = F.col("doc_id") % 4
+    content = F.when(kind == 0, F.get_json_object(text, "$.text")).when(kind == 1, listed(text, F.lit('{"type": "image", "data": "00"}'))).when(kind == 2, listed(text, call, F.lit('"plain"'))).otherwise("null")
+    content = F.when(kind == 0, F.regexp_extract(text, r'(?s)"text":(".*")', 1)).otherwise(content)
+    raw = F.concat(F.lit('{"type": "message", "id": "d'), "doc_id", F.lit('", "message": {"role": "assistant", "content": '), content, F.lit("}}"))
+    return jsonl.parse_lines(d.select(F.floor(F.col("doc_id") / 20).cast("string").alias("session_id"), (F.col("doc_id") % 20 + 1).cast("int").alias("line"), raw.alias("raw")))
+
+
+_MIXED = "m AS (SELECT *, left(text, 80) || CASE WHEN doc_id % 5 = 0 THEN '中文字。' ELSE '' END AS t, doc_id % 4 AS kind, (doc_id // 20)::VARCHAR AS session_id, (doc_id % 20 + 1)::INTEGER AS line FROM documents)"
+
+
+@query(S.select([_MIXED], f"SELECT session_id, line, CASE kind WHEN 0 THEN {S.tokens('t')} WHEN 1 THEN {S.tokens('t')} + 10 WHEN 2 THEN {S.tokens('t')} + 20 ELSE 0 END::BIGINT AS tokens FROM m"))
+def message_tokens(spark, sf_dir):
+    return mixed_lines(spark, sf_dir).select("session_id", "line", F.col("message_tokens").alias("tokens"))
+
+
+@query(S.select([_MIXED], """SELECT session_id, line, 0 AS part, 'text' AS type, CASE WHEN kind = 3 THEN '' ELSE t END AS text, kind IN (1, 2) AS has_json FROM m
+UNION ALL SELECT session_id, line, 1, CASE kind WHEN 1 THEN 'image' ELSE 'toolCall' END, NULL, true FROM m WHERE kind IN (1, 2) UNION ALL SELECT session_id, line, 2, 'text', 'plain', false FROM m WHERE kind = 2"""))
+def normalised_messages(spark, sf_dir):
+    """Contents as lists of parts, a row for each part."""
+    rows = mixed_lines(spark, sf_dir).select("session_id", "line", F.posexplode("parts").alias("part", "p"))
+    return rows.select("session_id", "line", "part", "p.type", "p.text", F.col("p.json").isNotNull().alias("has_json"))
+
+
+@query(S.select([_MIXED], """SELECT session_id, line, source || '(' || left('{"lang":"' || lang || '","n":' || (n_chars % 100) || ',"pad":"' || repeat('x', (n_chars % 150)::INTEGER) || '"}', 100) || ')' AS calls FROM m WHERE kind = 2"""))
+def tool_call_texts(spark, sf_dir):
+    return mixed_lines(spark, sf_dir).filter(F.size("call_texts") > 0).select("session_id", "line", F.array_join("call_texts", "; ").alias("calls"))
+
+
+_BLOCK = "CASE raw_role WHEN 'user' THEN '[User]: ' || text WHEN 'assistant' THEN concat_ws(chr(10), CASE WHEN text <> '' THEN '[Assistant]: ' || text END, CASE WHEN len(tool_calls) > 0 THEN '[ToolCalls]: ' || array_to_string(list_transform(tool_calls, lambda x: x || '({})'), ', ') END) WHEN 'toolResult' THEN '[Tool ' || coalesce(nullif(tool_name, ''), '?') || CASE WHEN is_error THEN ' ❌ ERROR' ELSE '' END || ']: ' || text END"
+
+
+@query(S.select([*S.turns("events30"), f"bl AS (SELECT session_id, seq, string_agg(nullif({_BLOCK}, ''), chr(10) ORDER BY line) AS said FROM placed GROUP BY ALL)"], "SELECT session_id, seq, turn_id, '[Turn #' || seq || ' | ' || message_count || ' messages | ' || len(tools_used) || ' tools]' || chr(10) || coalesce(chr(10) || said, '') AS text FROM turns JOIN bl USING (session_id, seq)"))
+def compact_inputs(spark, sf_dir):
+    lines = M.events30(spark, sf_dir)
+    return inputs(lines, Q.turns(lines))
+
+
+# Compactions in use ----------------------------------------------------------------------------------------------------------
+
+_TOPICS_DONE = f"tc AS (SELECT session_id, topic_id, label, cur, turn_count, summary, summary_tokens, row_number() OVER (PARTITION BY session_id ORDER BY topic_id)::INTEGER AS ord FROM least WHERE eligible AND least > {CONV10.topic_target})"
+
+
+@query(S.select([*S.topics("conv10"), _NO_SUMMARIES, _MARKED_TURNS, _PLACED, _CONTEXT, *_GROUPS, _TOPICS_DONE], "SELECT session_id, phase, ord, sub_ord, role, content, tokens FROM ctx UNION ALL SELECT session_id, 0, ord, 0, 'user', '[Topic Summary: ' || label || ' (' || turn_count || ' turns)]: ' || summary, summary_tokens FROM tc WHERE topic_id <> cur"))
+def assemble_with_compactions(spark, sf_dir):
+    t = _topic_turns(spark, sf_dir, "conv10")
+    return A.assemble(M.conv10(spark, sf_dir), t, CONV10, compacted=A.compact_topics(t, CONV10)).drop("tool_name", "parts")
+
+
+@query(S.select([*S.topics("tooltalk"), _NO_SUMMARIES, _MARKED_TURNS, _PLACED, _CONTEXT, *_TRUNCATED, f"done AS (SELECT c.session_id, c.turn_id, c.msg_idx, c.truncated FROM cut c JOIN goes g USING (session_id, seq) WHERE g.least > {TOOLTALK.threshold})", f"again AS (SELECT x.session_id, phase, x.ord, sub_ord, CASE WHEN d.truncated IS NULL THEN x.tokens ELSE {S.tokens('d.truncated')} END AS tokens, d.truncated IS NOT NULL AS cut FROM ctx x JOIN (SELECT session_id, seq, turn_id FROM turns) t ON x.session_id = t.session_id AND x.ord = t.seq LEFT JOIN done d ON d.session_id = t.session_id AND d.turn_id = t.turn_id AND d.msg_idx = x.sub_ord AND x.phase = 1 AND x.role = 'tool')"], "SELECT session_id, count(*) AS messages, sum(tokens)::BIGINT AS tokens, count(*) FILTER (cut) AS cut FROM again GROUP BY session_id"))
+def assemble_truncated(spark, sf_dir):
+    """Contexts that are assembled once more, after tool results have been truncated."""
+    lines, t, cut = M.tooltalk(spark, sf_dir), _topic_turns(spark, sf_dir, "tooltalk"), materialise(precompaction_truncations(spark, sf_dir), "cuts")
+    again = A.assemble(lines, t, TOOLTALK, tool_results=cut)
+    return again.groupBy("session_id").agg(F.count("*").alias("messages"), F.sum("tokens").alias("tokens"), F.count_if(F.col("content").endswith(T.CUT_NOTE)).alias("cut"))
+
+
+@query(S.select([*S.topics("conv10"), _MARKED_TURNS, "sub AS (SELECT *, CASE seq % 3 WHEN 1 THEN topic_id || '-a' WHEN 2 THEN topic_id || '-b' END AS part FROM mt)", "now AS (SELECT *, last_value(part) OVER (PARTITION BY session_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS part_now FROM sub)"], "SELECT session_id, seq, n_topics <= 1 OR (topic_id = cur AND (part IS NULL OR part_now IS NULL OR part = part_now)) AS relevant FROM now"))
+def engine_subtopic_filter(spark, sf_dir):
+    """Turns that are relevant to the last one, where turns have sub-topics, or none yet."""
+    part = F.when(F.col("seq") % 3 == 1, F.concat("topic_id", F.lit("-a"))).when(F.col("seq") % 3 == 2, F.concat("topic_id", F.lit("-b")))
+    return A.relevant(_topic_turns(spark, sf_dir, "conv10").withColumn("subtopic_id", part), CONV10).select("session_id", "seq", "relevant")
+
+
+#: Every sub-topic that may be compacted is.
+ALL = EngineConfig(max_context_tokens=0, system_prompt_reserve=10**9)
+
+
+@query(S.select([*S.subtopics("events30"), "mem AS (SELECT t.session_id, g.ord, g.part, g.parts, t.seq, t.turn_id, t.total_tokens, t.user_preview, t.assistant_preview, t.tools_used, CASE WHEN left(f.user_preview, 40) <> '' THEN left(f.user_preview, 40) ELSE 'Sub-topic ' || (g.ord + 1) END AS label FROM turns t JOIN sub g ON g.session_id = t.session_id AND t.seq >= g.start AND t.seq < g.start + g.size JOIN turns f ON f.session_id = g.session_id AND f.seq = g.start WHERE g.parts > 1 AND t.seq < t.n_turns - 5)", "tg AS (SELECT session_id, ord, string_agg(tool, ', ' ORDER BY spot) AS tools FROM (SELECT session_id, ord, tool, min(seq * 1000 + k) AS spot FROM (SELECT session_id, ord, seq, unnest(tools_used) AS tool, generate_subscripts(tools_used, 1) AS k FROM mem) GROUP BY ALL) GROUP BY ALL)", "gs AS (SELECT session_id, ord, part, parts, label, count(*) AS turn_count, sum(total_tokens)::BIGINT AS original_tokens, list('  - User: ' || left(user_preview, 80) || ' → ' || left(assistant_preview, 60) ORDER BY seq) AS pts FROM mem GROUP BY ALL)"], "SELECT session_id, 'subtopic-' || ord AS subtopic_id, 'everything > ' || label AS label, turn_count, original_tokens, '## Topic: ' || label || ' (' || turn_count || ' turns)' || chr(10) || CASE WHEN tools IS NOT NULL THEN chr(10) || 'Tools used: ' || tools ELSE '' END || chr(10) || chr(10) || 'Key turns:' || chr(10) || array_to_string(pts[:8], chr(10)) || CASE WHEN turn_count > 8 THEN chr(10) || '  - ... and ' || (turn_count - 8) || ' more turns' ELSE '' END AS summary FROM gs LEFT JOIN tg USING (session_id, ord) WHERE part < parts AND turn_count >= 2"))
+def subtopic_compaction(spark, sf_dir):
+    """Summaries of all sub-topics but the current one, of sessions of one topic."""
+    rows = materialise(_all_one(spark, sf_dir).withColumns({"topic_ord": F.lit(0), "label": F.lit("everything"), "is_current": F.lit(True)}), "turns")
+    old = Q.with_cutoff(rows, 5).filter("not recent").select("session_id", "topic_id", "seq")
+    parts = G.subtopics(rows).withColumn("seq", F.explode("turn_sequences")).join(old, ["session_id", "topic_id", "seq"]).groupBy("session_id", "topic_id", "subtopic_id", "label", "is_current").agg(F.sort_array(F.collect_list("seq")).alias("turn_sequences"))
+    several = G.subtopics(rows).groupBy("session_id").count().filter("count > 1").select("session_id")
+    done = A.compact_subtopics(rows, parts, G.time_chunks(rows), ALL)
+    return done.join(several, "session_id", "left_semi").select("session_id", "subtopic_id", "label", "turn_count", "original_tokens", "summary")
+
+
+# The engine and its stores -----------------------------------------------------------------------------------------------------
+
+
+def engine(spark: SparkSession, lines: DataFrame, config: EngineConfig = EngineConfig()) -> Engine:
+    return Engine(spark, lines, stores.shared_path(spark, "engine"), config)
+
+
+def _short(n: str) -> str:
+    return f"CASE WHEN {n} >= 1000000 THEN (floor({n} * 10.0::DOUBLE / 1000000 + 0.5) / 10)::DECIMAL(20, 1)::VARCHAR || 'M' WHEN {n} >= 1000 THEN (floor({n} * 10.0::DOUBLE / 1000 + 0.5) / 10)::DECIMAL(20, 1)::VARCHAR || 'K' ELSE {n}::VARCHAR END"
+
+
+@query(S.select([*S.turns("tooltalk"), "st AS (SELECT session_id, count(*) AS n, sum(message_count)::BIGINT AS m, sum(total_tokens)::BIGINT AS k, sum(len(tools_used))::BIGINT AS u FROM turns GROUP BY session_id)", "us AS (SELECT session_id, string_agg(tool || '(' || c || ')', ', ' ORDER BY c DESC, tool) AS tools FROM (SELECT session_id, tool, count(*) AS c FROM (SELECT session_id, unnest(tools_used) AS tool FROM turns) GROUP BY ALL) GROUP BY session_id)"], f"SELECT session_id, concat_ws(chr(10), 'Session: ' || session_id, 'Turns: ' || n, 'Messages: ' || m, 'Tokens: ' || {_short('k')}, 'Tool uses: ' || u, 'Tools: ' || tools) AS text FROM st LEFT JOIN us USING (session_id)"))
+def overview_text(spark, sf_dir):
+    return engine(spark, M.tooltalk(spark, sf_dir)).overview()
+
+
+@query(S.select(S.turns("tooltalk"), f"SELECT session_id, seq, '#' || seq || ' ' || turn_id || ', lines ' || line_start || ' to ' || line_end || ', ' || message_count || ' messages, ' || {_short('total_tokens')} || ' tokens, importance ' || importance || ', tools [' || array_to_string(tools_used, ',') || ']' || CASE WHEN has_error THEN ' (error)' ELSE '' END || chr(10) || '  user: ' || left(user_preview, 80) || chr(10) || '  assistant: ' || left(assistant_preview, 80) AS text FROM turns"))
+def turn_list_text(spark, sf_dir):
+    return engine(spark, M.tooltalk(spark, sf_dir)).turn_list()
+
+
+@query(S.select(S.turns("tooltalk"), "SELECT session_id, line, '[line ' || line || '] ' || text AS text FROM placed JOIN (SELECT session_id, seq FROM turns WHERE turn_id LIKE 'd%4-1') USING (session_id, seq) WHERE session_id = '3'"))
+def read_raw(spark, sf_dir):
+    """Lines of some turns as they are, numbered."""
+    e = engine(spark, M.tooltalk(spark, sf_dir))
+    found = [e.read_raw(f"d{n}-1", "3") for n in (64, 74)]
+    return found[0].union(found[1])
+
+
+@query(S.select(S.turns("conv10"), "SELECT session_id, seq, importance FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY seq DESC) AS r FROM turns) WHERE r <= 4"))
+def query_actions(spark, sf_dir):
+    return engine(spark, M.conv10(spark, sf_dir)).query("recent_turns", count=4).select("session_id", "seq", "importance")
+
+
+@query(S.select([*S.turns("conv10"), _BIG], "SELECT session_id, count(*) AS entries, sum(tokens)::BIGINT AS tokens, sum(original_tokens)::BIGINT AS original_tokens, 0::BIGINT AS by_model FROM big GROUP BY session_id"))
+def summary_stats(spark, sf_dir):
+    return stores.summary_stats(A.compact(Q.turns(M.conv10(spark, sf_dir)), CONV10))
+
+
+@query(S.select([*S.turns("conv10"), _BIG], "SELECT session_id, turn_id, CASE WHEN tokens % 2 = 0 THEN tokens + 1000 ELSE tokens END AS tokens FROM big"))
+def store_roundtrip(spark, sf_dir):
+    """Summaries that are stored, in part stored again, rewritten and read."""
+    store = stores.Store(spark, stores.shared_path(spark, "store"))
+    rows = materialise(A.compact(Q.turns(M.conv10(spark, sf_dir)), CONV10), "summaries")
+    store.save("summaries", rows)
+    store.save("summaries", rows.filter("tokens % 2 = 0").withColumn("tokens", F.col("tokens") + 1000))
+    store.compact("summaries")
+    return store.load("summaries").select("session_id", "turn_id", "tokens")
+
+
+@query(S.select(S.topics("tooltalk"), "SELECT session_id, seq, turn_id, line_start, line_end, message_count, total_tokens, topic_id FROM tturns"))
+def index_in_batches(spark, sf_dir):
+    """The index of lines that come in three batches, which cut turns in two, and of a batch that comes twice."""
+    store = stores.Store(spark, stores.shared_path(spark, "batches"))
+    lines, step = materialise(M.tooltalk(spark, sf_dir), "lines"), ingest.index_batch(store)
+    for k, part in enumerate(("line <= 20", "line > 20 and line <= 41", "line > 41", "line > 41")):
+        step(lines.filter(part), k)
+    store.vacuum("turns")
+    return store.sessions("turns").select("session_id", "seq", "turn_id", "line_start", "line_end", "message_count", "total_tokens", "topic_id")
+
+
+@query(S.select([*S.turns("conv10"), _BIG, "s AS (SELECT session_id, count(*) AS c, sum(original_tokens - tokens)::BIGINT AS saved FROM big GROUP BY session_id)"], "SELECT session_id, coalesce(c, 0) > 0 AS compacted, CASE WHEN c IS NULL THEN 'All turns already compacted or recent' END AS reason, CASE WHEN c > 0 THEN 'Compacted ' || c || ' turns (' || c || ' new, 0 cached)' END AS summary, 2 * saved AS tokens_before, saved AS tokens_after FROM (SELECT DISTINCT session_id FROM turns) LEFT JOIN s USING (session_id)"))
+def compaction_result(spark, sf_dir):
+    done = engine(spark, M.conv10(spark, sf_dir), CONV10).compact_result()
+    return done.select("session_id", "compacted", "reason", "summary", "tokens_before", "tokens_after")
+
+
 # Streams ---------------------------------------------------------------------------------------------------------------------
 
 

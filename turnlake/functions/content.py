@@ -65,5 +65,6 @@ def call_texts(content: Column) -> Column:
 
 def with_parts(lines: DataFrame) -> DataFrame:
     """Typed lines with parts, message_tokens and call_texts; where a source has none, those of plain texts."""
-    made = {"parts": of_text(F.col("text")), "message_tokens": T.tokens(F.col("text")), "call_texts": F.array().cast("array<string>")}
+    named = F.coalesce(F.transform("tool_calls", lambda x: F.concat(x, F.lit("({})"))), F.array().cast("array<string>")) if "tool_calls" in lines.columns else F.array().cast("array<string>")
+    made = {"parts": of_text(F.col("text")), "message_tokens": T.tokens(F.col("text")), "call_texts": named}
     return lines.withColumns({k: v for k, v in made.items() if k not in lines.columns})

@@ -117,7 +117,7 @@ def compact_inputs(lines: DataFrame, turn_rows: DataFrame, tool_results: DataFra
     block = F.when(F.col("raw_role") == "user", F.concat(F.lit("[User]: "), text)).when(F.col("raw_role") == "assistant", F.nullif(F.concat_ws("\n", said, called), F.lit(""))).when(F.col("raw_role") == "toolResult", result)
     grouped = told.withColumn("_b", block).groupBy("session_id", "seq", "turn_id").agg(F.first("message_count").alias("m"), F.first("n_tools").alias("k"), F.sort_array(F.collect_list(F.when(F.col("_b").isNotNull(), F.struct("line", "_b")))).alias("g"))
     head = F.concat(F.lit("[Turn #"), F.col("seq").cast("string"), F.lit(" | "), F.col("m").cast("string"), F.lit(" messages | "), F.col("k").cast("string"), F.lit(" tools]\n"))
-    return grouped.select("session_id", "seq", "turn_id", F.concat_ws("\n", head, F.array_join(F.transform("g", lambda x: x["_b"]), "\n")).alias("text"))
+    return grouped.select("session_id", "seq", "turn_id", F.concat(head, F.when(F.size("g") > 0, F.concat(F.lit("\n"), F.array_join(F.transform("g", lambda x: x["_b"]), "\n"))).otherwise("")).alias("text"))
 
 
 def subtopics_by_model(topic_turns: DataFrame, responses: DataFrame, fallback: DataFrame) -> DataFrame:
