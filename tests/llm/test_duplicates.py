@@ -5,7 +5,6 @@ import re
 
 import numpy as np
 import xxhash
-from pyspark.sql import functions as F
 
 from turnlake.llm import common, simhash, substring
 

@@ -62,6 +62,8 @@ def test_stages_odd_rows(spark):
             out = scratch(stage(spark, docs, SF), "odd")
             if k < 4:
                 assert out.columns == docs.columns
+                own = {(r.doc_id, r.topic, r.probability, r.fp, r.start) for r in docs.collect()}
+                assert {(r.doc_id, r.topic, r.probability, r.fp, r.start) for r in out.collect()} <= own
             assert out.count() <= n and (out.count() > 0) == (n > 0)
             docs = out if k < 4 else docs
 

@@ -227,7 +227,7 @@ def test_mixing(spark):
     rows += [(5000, None, "a", "en", "old", True), (None, "x", "b", None, "old", True), (5001, "", "only", "xx", "old", None)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, topic string, kept boolean")
     goal = spark.createDataFrame([("a", 0.4), ("b", 0.4), (mixing.NONE, 0.2), ("only", 0.0)], "source string, target double")
-    out = mixing.mix(df, {"source": goal, "lang": 1.0})
+    out = mixing.mix(df, {"source": goal, "lang": 1.0, "topic": 1.0})
     assert out.count() == len(rows) and len(out.columns) == len(set(out.columns))
     got = {x["source"]: x["t"] for x in out.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("probability")).alias("t")).collect()}
     total = sum(v or 0 for v in got.values())
@@ -245,7 +245,7 @@ def test_raking_meets_all_marginals(spark):
     rows = [(s, g, t, r.randrange(1, 1000)) for s in "abcdef" for g in ("en", "de", "xx") for t in ("u", "v", "w")] + [("z", "en", "u", 0)]
     cells = spark.createDataFrame(rows, "source string, lang string, topic string, observed long")
     targets = {"source": 0.5, "lang": {"en": 0.5, "de": 0.1}, "topic": {"u": 0.2, "v": 0.3, "w": 0.5}}
-    got = {(x.source, x.lang, x.topic): x.weight for x in mixing.fit(cells, ["source", "lang", "topic"], targets).collect()}
+    got = {(x.source, x.lang, x.topic): x.weight for x in mixing.fit(cells, ["source", "lang", "topic"], targets, error=1e-12, boost=100.0).collect()}
     whole = sum(x[3] for x in rows)
     share = lambda k, v: sum(x[3] for x in rows if x[k] == v) / whole
     want = [{s: share(0, s) ** 0.5 for s in "abcdefz"}, {"en": 0.5, "de": 0.1, "xx": share(1, "xx")}, targets["topic"]]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import functools
 import gc
 import os
 import tempfile
@@ -39,21 +40,46 @@ def shared_dir(spark: SparkSession) -> str:
     return known
 
 
+#: Tables that scratch() has written and nothing has deleted yet.
+_TABLES: dict[str, None] = {}
+
+
 def scratch(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it again: cuts the lineage and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/turnlake/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _TABLES[path] = None
     return spark.read.schema(df.schema).parquet(path).withMetadata(df.columns[0], {"turnlake_path": path})
 
 
 def discard(df: DataFrame) -> None:
     """Delete the table behind a scratch() result that nothing will read again."""
     path = df.schema[df.columns[0]].metadata.get("turnlake_path")
-    if path:
-        jvm = df.sparkSession._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
+    if path in _TABLES:
+        _delete(df.sparkSession, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    del _TABLES[path]
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def cleaned(query):
+    """A query that deletes the tables it has written on the way, but for those that its result reads."""
+
+    @functools.wraps(query)
+    def run(spark: SparkSession, *given) -> DataFrame:
+        before = set(_TABLES)
+        out = query(spark, *given)
+        read = {file.rsplit("/", 2)[-2] for file in out.inputFiles()}
+        for path in [p for p in _TABLES if p not in before and p.rsplit("/", 1)[-1] not in read]:
+            _delete(spark, path)
+        release()
+        return out
+
+    return run
 
 
 def free_name(df: DataFrame, name: str) -> str:

@@ -15,14 +15,16 @@ from pyspark.sql import functions as F
 from turnlake.llm.common import discard, join_small, scratch
 
 #: Target shares of tokens: a table of shares, where values that it lacks keep their observed share, or a power of the observed share
-#: (below 1 evens out). All are scaled to sum 1. Shares much above the observed ones would leave few documents of all others.
+#: (below 1 evens out). Documents are only left out, never repeated, so a share far above the observed one would leave few of all others:
+#: shares of a table are taken as BOOST times the observed share at most. All are scaled to sum 1.
 TARGETS = {
     "source": 0.9,
     "lang": {"en": 0.58, "de": 0.16, "fr": 0.16, "es": 0.10},
     "topic": {"prose": 0.60, "long": 0.29, "table": 0.03, "legal": 0.03, "contact": 0.02, "shouting": 0.02, "note": 0.007},
 }
-#: Sweeps at most, and the largest relative error of a marginal at which they end.
-SWEEPS, ERROR, PLACES = 30, 1e-12, 6
+BOOST = 1.15
+#: Sweeps at most, and the largest relative error of a marginal at which they end; places of a probability.
+SWEEPS, ERROR, PLACES = 30, 1e-6, 6
 NONE = "(none)"
 _log = logging.getLogger(__name__)
 
@@ -46,7 +48,7 @@ def form(text: Column) -> Column:
     return out.otherwise("prose")
 
 
-def target(cells: DataFrame, dim: str, goal) -> DataFrame:
+def target(cells: DataFrame, dim: str, goal, boost: float = BOOST) -> DataFrame:
     """(dim, to): shares that sum to 1 over the values with observed weight; goal is a power, a dict or a DataFrame (dim, target)."""
     seen = cells.groupBy(dim).agg(F.sum("observed").cast("double").alias("seen"))
     if isinstance(goal, DataFrame):
@@ -54,7 +56,8 @@ def target(cells: DataFrame, dim: str, goal) -> DataFrame:
     elif isinstance(goal, dict):
         table = F.create_map(*[F.lit(x) for pair in goal.items() for x in (pair[0], float(pair[1]))])
         whole = float(seen.agg(F.sum("seen")).first()[0] or 1)
-        to = seen.withColumn("to", F.coalesce(table[F.col(dim)], F.col("seen") / F.lit(whole)))
+        share = F.col("seen") / F.lit(whole)
+        to = seen.withColumn("to", F.when(table[F.col(dim)].isNotNull(), F.least(table[F.col(dim)], share * F.lit(boost))).otherwise(share))
     else:
         to = seen.withColumn("to", F.pow("seen", F.lit(float(goal))))
     to = scratch(to.select(dim, F.when(F.col("seen") > 0, F.coalesce("to", F.lit(0.0))).otherwise(0.0).alias("to")), "mix-target")
@@ -62,7 +65,7 @@ def target(cells: DataFrame, dim: str, goal) -> DataFrame:
     return to.select(dim, (F.col("to") / F.lit(total)).alias(f"to_{dim}"))
 
 
-def fit(cells: DataFrame, dims: list[str], targets: dict, sweeps: int = SWEEPS, error: float = ERROR) -> DataFrame:
+def fit(cells: DataFrame, dims: list[str], targets: dict, sweeps: int = SWEEPS, error: float = ERROR, boost: float = BOOST) -> DataFrame:
     """cells (dims, observed) with `weight`, raked to the targets until no marginal is off by more than a share of error, or for sweeps.
 
     A value that a target DataFrame lacks has target 0; a value without observed weight stays without. Targets need no common sum:
@@ -72,7 +75,7 @@ def fit(cells: DataFrame, dims: list[str], targets: dict, sweeps: int = SWEEPS,
     """
     out = cells.withColumn("weight", F.col("observed").cast("double"))
     for d in dims:
-        out = out.join(target(cells, d, targets.get(d, 1.0)), d)
+        out = out.join(target(cells, d, targets.get(d, 1.0), boost), d)
     out = scratch(out, "mix-sweep")
     columns, off = out.columns, 0.0
     for _ in range(sweeps):
@@ -97,8 +100,9 @@ def fit(cells: DataFrame, dims: list[str], targets: dict, sweeps: int = SWEEPS,
 def mix(docs: DataFrame, targets: dict | None = None, tokens: Column | None = None, topic: Column | None = None, sweeps: int = SWEEPS, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with topic, n_tokens, probability (rounded to 6 places) and kept; columns of these names are replaced.
 
-    topic is the column given, else the form of the text: a column of that name is no topic unless it is given. Null sources, languages and topics are a value of their own, "(none)"; a null text has no tokens. A cell without tokens keeps
-    its documents. Repeated ids are drawn alike; a null id is drawn as an empty one. An empty table gives none.
+    topic is the column given, else the form of the text: a column of that name is no topic unless it is given. Null sources, languages
+    and topics are a value of their own, "(none)"; a null text has no tokens. A cell without tokens keeps its documents. Repeated ids are
+    drawn alike; a null id is drawn as an empty one. An empty table gives none.
     """
     targets = TARGETS if targets is None else targets
     dims = ["source", "lang", "topic"]
@@ -125,15 +129,21 @@ def mix_sql(targets: dict | None = None, sweeps: int = SWEEPS, seed: int = 42) -
     ]
     for x in dims:
         goal = targets.get(x, 1.0)
-        share = f"CASE {x} " + " ".join(f"WHEN '{k}' THEN {float(v)}::DOUBLE" for k, v in goal.items()) + " ELSE seen / sum(seen) OVER () END" if isinstance(goal, dict) else f"pow(seen, {float(goal)}::DOUBLE)"
+        share = f"coalesce(least(CASE {x} " + " ".join(f"WHEN '{k}' THEN {float(v)}::DOUBLE" for k, v in goal.items()) + f" ELSE 1e9::DOUBLE END, seen / sum(seen) OVER () * CASE WHEN {x} IN ({', '.join(repr(k) for k in goal)}) THEN {BOOST}::DOUBLE ELSE 1 END), 0)" if isinstance(goal, dict) else f"pow(seen, {float(goal)}::DOUBLE)"
         ctes.append(f"g_{x} AS (SELECT {x}, CASE WHEN seen > 0 THEN {share} ELSE 0 END AS goal FROM (SELECT {x}, sum(observed)::DOUBLE AS seen FROM c GROUP BY {x}))")
         ctes.append(f"t_{x} AS (SELECT {x}, goal / sum(goal) OVER () AS to_{x} FROM g_{x})")
     ctes.append("s0 AS (SELECT *, observed::DOUBLE AS weight FROM c JOIN t_source USING (source) JOIN t_lang USING (lang) JOIN t_topic USING (topic))")
-    n = 0
-    for _ in range(sweeps):
+    n, ends = 0, []
+    for k in range(1, sweeps + 1):
         for x in dims:
             n += 1
-            ctes.append(f"s{n} AS (SELECT * EXCLUDE (weight), CASE WHEN sum(weight) OVER (PARTITION BY {x}) > 0 THEN weight * to_{x} / sum(weight) OVER (PARTITION BY {x}) ELSE 0 END AS weight FROM s{n - 1})")
-    ctes.append(f"r AS (SELECT source, lang, topic, CASE WHEN observed > 0 THEN weight / observed END AS ratio FROM s{n})")
+            ctes.append(f"s{n} AS MATERIALIZED (SELECT * EXCLUDE (weight), CASE WHEN sum(weight) OVER (PARTITION BY {x}) > 0 THEN weight * to_{x} / sum(weight) OVER (PARTITION BY {x}) ELSE 0 END AS weight FROM s{n - 1})")
+        off = " UNION ALL ".join(f"SELECT max(abs(has / goal - 1)) AS off FROM (SELECT sum(weight) AS has, max(to_{x}) AS goal FROM s{n} GROUP BY {x}) WHERE goal > 0" for x in dims)
+        ends.append(f"SELECT {k} AS k, coalesce(max(off), 0) AS off FROM ({off})")
+    # Of all sweeps the first that meets the marginals counts, else the last.
+    ctes.append(f"e AS ({' UNION ALL '.join(ends)})")
+    ctes.append(f"last AS (SELECT coalesce(min(k) FILTER (off <= {ERROR}), {sweeps}) AS k FROM e)")
+    every = " UNION ALL ".join(f"SELECT {k} AS k, source, lang, topic, observed, weight FROM s{k * len(dims)}" for k in range(1, sweeps + 1))
+    ctes.append(f"r AS (SELECT source, lang, topic, CASE WHEN observed > 0 THEN weight / observed END AS ratio FROM ({every}) JOIN last USING (k))")
     ctes.append(f"p AS (SELECT source, lang, topic, round(coalesce(ratio / (SELECT max(ratio) FROM r), 1.0), {PLACES}) AS probability FROM r)")
     return f"WITH {', '.join(ctes)} SELECT doc_id, source, lang, topic, n_tokens::BIGINT AS n_tokens, probability, ('0x' || substr(md5('{seed}:' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0 < probability AS kept FROM d JOIN p USING (source, lang, topic)"

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turnlake.llm import bpe, html_text, mixing, perplexity, simhash, substring, token_count, topk, toxicity, urls
+from turnlake.llm.common import cleaned
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -63,5 +64,5 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs).select("doc_id", "source", "lang", "topic", "n_tokens", "probability", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_url_filter, op3_top_k, op4_main_text, op5_quality, op6_repeats, op7_toxicity, op8_simhash, op9_mixing, op10_token_counts)}
+QUERIES = {f.__name__: cleaned(f) for f in (op1_byte_bpe, op2_url_filter, op3_top_k, op4_main_text, op5_quality, op6_repeats, op7_toxicity, op8_simhash, op9_mixing, op10_token_counts)}
 SQL: dict[str, str] = {"op3_top_k": topk.SQL, "op9_mixing": mixing.mix_sql()}
