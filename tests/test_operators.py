@@ -111,6 +111,16 @@ def talk(spark, n=14, session_id="s"):
     return from_messages(spark.createDataFrame(rows, "session_id string, line int, entry_id string, role string, text string, tool_name string"))
 
 
+def test_strategies(spark, monkeypatch):
+    """Unknown names stand for fifo; a strategy of one's own is called by its name."""
+    m = spark.createDataFrame([("s", i, "user", "x", 10, False) for i in range(6)], "session_id string, idx int, role string, content string, token_count bigint, pinned boolean")
+    c = ContextConfig(preserve_recent_messages=1)
+    gone = lambda name: sorted(r.idx for r in P.prune(m, 30, name, c).filter("pruned").collect())
+    assert gone("fifo") == gone("no such strategy") == [0, 1, 2]
+    monkeypatch.setitem(P.STRATEGIES, "odd", lambda rows, target, config: rows.withColumn("pruned", F.col("idx") % 2 == 1))
+    assert gone("odd") == [1, 3, 5]
+
+
 def test_engine(spark, tmp_path):
     config = EngineConfig(max_context_tokens=6000, system_prompt_reserve=1000, tool_result_truncate_chars=1000)
     e = Engine(spark, talk(spark), str(tmp_path / "store"), config)
@@ -134,6 +144,93 @@ def test_engine(spark, tmp_path):
     assert len(TOOLS) == 15
 
 
+def test_engine_compacts_where_truncation_does_not_suffice(spark, tmp_path):
+    """A context over the threshold: truncations where they suffice, else summaries and topic compactions as well."""
+    cut = EngineConfig(max_context_tokens=1200, system_prompt_reserve=1000, tool_result_truncate_chars=1000)
+    e = Engine(spark, talk(spark), str(tmp_path / "c"), cut)
+    e.assemble()
+    assert e.store.load("tool_results").count() >= 1 and e.store.load("summaries") is None
+    tight = EngineConfig(max_context_tokens=1200, system_prompt_reserve=1000, tool_result_truncate_chars=10**6)
+    e = Engine(spark, talk(spark), str(tmp_path / "a"), tight)
+    first = e.assemble().agg(F.sum("tokens")).first()[0]
+    assert e.store.load("summaries").count() == 3 and e.store.load("topic_compactions").count() >= 1
+    assert e.assemble().agg(F.sum("tokens")).first()[0] < first
+    wide = Engine(spark, talk(spark), str(tmp_path / "b"), EngineConfig(system_prompt_reserve=1000, tool_result_truncate_chars=10**6))
+    wide.assemble()
+    assert wide.store.load("tool_results") is None and wide.store.load("summaries") is None
+    assert wide.assemble(token_budget=1200).count() and wide.config.max_context_tokens == 1200 and wide.store.load("summaries").count() == 3
+
+
+def test_stored_subtopics_are_used(spark, tmp_path):
+    e = Engine(spark, talk(spark), str(tmp_path / "a"))
+    e.config = EngineConfig(preserve_recent_turns=2)
+    rows = e.turns().select("session_id", "topic_id", "seq").collect()
+    last = max(rows, key=lambda r: r.seq)
+    own = sorted(r.seq for r in rows if r.topic_id == last.topic_id)
+    assert len(own) >= 4
+    before = {r.seq: r.zone for r in e.preview().collect()}
+    parts = [("s", last.topic_id, "subtopic-0", "a", own[:1], False, "heuristic"), ("s", last.topic_id, "subtopic-1", "b", own[1:], True, "heuristic")]
+    e.store.save("subtopics", spark.createDataFrame([(last[0], *p[1:]) for p in parts], "session_id string, topic_id string, subtopic_id string, label string, turn_sequences array<int>, is_current boolean, method string"))
+    after = {r.seq: r.zone for r in e.preview().collect()}
+    assert before[own[0]] == "older" and after[own[0]] == "dropped"
+    assert all(after[k] == z for k, z in before.items() if k != own[0])
+    old = Q.with_cutoff(e.turns(), 2).filter("not recent").drop("recent")
+    assert [sorted(r.turn_sequences) for r in e._parts(old).filter(F.col("topic_id") == last.topic_id).orderBy("subtopic_id").collect()] == [own[:1], own[1:]]
+
+
+def test_results_and_messages_without_a_log(spark, tmp_path):
+    e = Engine(spark, talk(spark), str(tmp_path / "a"))
+    done = e.compact_result().first()
+    assert (done.compacted, done.compacted_count, done.cache_hits) == (True, 3, 0) and done.tokens_before == 2 * done.tokens_after and done.summary.startswith("Compacted 3 turns")
+    copy = Engine(spark, talk(spark), str(tmp_path / "b"))
+    copy.restore(e.state())
+    assert {(r.turn_id, r.summary, r.tokens, r.original_tokens) for r in copy.store.load("summaries").collect()} == {(r.turn_id, r.summary, r.tokens, r.original_tokens) for r in e.store.load("summaries").collect()}
+    other = spark.createDataFrame([("new", 0, "user", "hello"), ("new", 1, "assistant", None)], "session_id string, idx int, role string, content string")
+    got = e.assemble(messages=other).filter("session_id = 'new'").orderBy("ord").collect()
+    assert [(r.role, r.tokens, [(p.type, p.text) for p in r.parts]) for r in got] == [("user", 0, [("text", "hello")]), ("assistant", 0, [("text", "")])]
+    assert TOOLS["context_config"](e, strategy="importance", max_tokens=5).max_tokens == 5 and e.context.strategy == "importance" and e.config.max_context_tokens == 128_000
+
+
+def test_parts(spark, tmp_path):
+    """Contents of every form: texts, lists with images, calls and odd elements, objects, nothing."""
+    contents = ["plain 中文", [{"type": "text", "text": "abcd"}, {"type": "image"}, "raw", None, 5], {"a": 1}, None, [], [{"type": "toolCall", "name": "read", "arguments": {"path": "x" * 200}}, {"type": "toolCall", "input": {"a": 1}}], [{"type": "text", "text": 7}]]
+    lines = [message("assistant", c, id=f"m{i}") for i, c in enumerate(contents)]
+    rows = {int(r.entry_id[1:]): r for r in jsonl.read_sessions(spark, session(tmp_path, lines)).collect()}
+    assert [rows[i].message_tokens for i in range(7)] == [3, 1 + 10 + 10 + 10 + 10, 0, 0, 0, 20, 10]
+    assert [[(p.type, p.text) for p in rows[i].parts] for i in (0, 1, 3, 4)] == [[("text", "plain 中文")], [("text", "abcd"), ("image", None), ("text", "raw"), ("text", ""), ("text", "5")], [("text", "")], []]
+    assert rows[5].call_texts == ['read({"path":"' + "x" * 91 + ")", "?({})"] and all(len(x) <= 106 for x in rows[5].call_texts)
+
+
+def test_lines_of_split_files(spark, tmp_path):
+    """Line numbers of a file that is read in many splits, beside small ones."""
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "big.jsonl").write_text("\n".join(f"line {i} " + "x" * (i % 70) for i in range(1, 3001)))
+    (tmp_path / "in" / "small.jsonl").write_text("a\n\nb\r\n")
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "9000")
+    spark.conf.set("spark.sql.files.openCostInBytes", "100")
+    try:
+        rows = jsonl.raw_lines(spark, str(tmp_path / "in")).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sorted(r.line for r in rows if r.session_id == "big") == list(range(1, 3001))
+    assert all(r.raw.startswith(f"line {r.line} ") for r in rows if r.session_id == "big")
+    assert sorted((r.line, r.raw) for r in rows if r.session_id == "small") == [(1, "a"), (2, ""), (3, "b\r")]
+
+
+def test_files_of_changed_sessions(spark, tmp_path):
+    path = session(tmp_path, LINES)
+    session(tmp_path, LINES[:5], "s2")
+    e = Engine(spark, path, str(tmp_path / "out" / "store"))
+    assert e.bootstrap() == 7
+    import os
+
+    (tmp_path / "in" / "s2.jsonl").write_text("\n".join(LINES[:7]))
+    os.utime(tmp_path / "in" / "s2.jsonl", (2_000_000_000, 2_000_000_000))
+    assert e.bootstrap() == 8 and {r.session_id: r.total_turns for r in e.stats().collect()} == {"s1": 2, "s2": 1}
+
+
 def test_engine_files(spark, tmp_path):
     e = Engine(spark, session(tmp_path, LINES), str(tmp_path / "out" / "store"))
     assert e.bootstrap() == 6 and e.bootstrap() == 6
@@ -153,6 +250,55 @@ def test_summarizer(spark):
     assert all(r.summary.startswith("short") == (r.method == "llm") for r in rows)
 
 
+def test_summarizer_is_given_the_turn_and_has_a_time(spark):
+    import time
+
+    from turnlake.operators.assemble import compact
+    from turnlake.operators.summarize import summarize
+
+    lines = talk(spark)
+    cut = spark.createDataFrame([("s", f"u{i}", 1, "CUT", 1, 2, 3) for i in range(14)], "session_id string, turn_id string, msg_idx int, truncated_content string, truncated_tokens bigint, original_tokens bigint, original_chars int")
+    rows = compact(Q.turns(lines), EngineConfig(), None, lambda text, hint: text, lines, cut.withColumn("session_id", F.lit(lines.first().session_id))).collect()
+    assert all(r.summary.startswith("[Turn #") and "[User]: " in r.summary and "]: CUT\n[Assistant]: " in r.summary for r in rows)
+    slow = spark.createDataFrame([("text", "hint")], "t string, h string")
+    assert summarize(slow, lambda t, h: time.sleep(5) or "late", "t", "h", retries=0, timeout=0.2).first()["method"] == "local"
+
+
+def test_rewriting_survives_a_failure(spark, tmp_path):
+    s = Store(spark, str(tmp_path / "st"))
+    turns = spark.createDataFrame([("s", 0), ("t", 0)], "session_id string, seq int")
+    s.replace_sessions("turns", turns)
+    s._move("index/turns", "index/turns.old")  # as a rewriting leaves it that ends between its renames
+    assert s.sessions("turns").count() == 2
+    s.vacuum("turns")
+    assert s.sessions("turns").count() == 2 and not s._exists("index/turns.old") and not s._exists("index/turns.new")
+
+
+def test_live_index(spark, tmp_path):
+    """Sessions are rebuilt when an assistant has answered; the classifier is asked about their last turns; nothing runs after dispose()."""
+    from turnlake.streaming.ingest import LiveIndex, classifier
+
+    lines = talk(spark, 3).drop("ts")
+    path = str(tmp_path / "in")
+    for low, high in ((0, 2), (2, 6), (6, 8)):
+        lines.filter((F.col("line") > low) & (F.col("line") <= high)).coalesce(1).write.mode("append").parquet(path)
+    store = Store(spark, str(tmp_path / "store"))
+    assert classifier(store, None) is None and classifier(store, len, EngineConfig(topic_aware=False)) is None
+    seen = []
+
+    def on_turns(rows):
+        seen.append([(r.seq, r.message_count) for r in rows.collect()])
+        classifier(store, lambda prompt: '{"subtopic": "x", "isNewSubtopic": true}')(rows)
+
+    stream = spark.readStream.schema(lines.schema).option("maxFilesPerTrigger", 1).parquet(path).withColumn("ts", F.lit(None).cast("timestamp"))
+    live = LiveIndex(stream, store, str(tmp_path / "c"), on_turns, availableNow=True)
+    live.wait()
+    live.dispose()
+    assert not live.query.isActive
+    assert seen == [[(1, 3)]] and store.sessions("turns").count() == 2 and store.sessions("lines").count() == 8
+    assert [(r.seq, r.subtopic, r.is_new) for r in store.load("turn_classes").collect()] == [(1, "x", True)]
+
+
 def test_store(spark, tmp_path):
     s = Store(spark, str(tmp_path / "st"))
     assert s.load("summaries") is None

@@ -32,14 +32,14 @@ def test_query(spark, name):
 
 
 def test_stream_topics(spark):
-    """The one query without SQL: turn by turn, in plain Python."""
+    """Turn by turn, in plain Python."""
     from turnlake.streaming.ingest import assign
     from turnlake.functions import text as T
     from turnlake.operators import turns as Q
     from turnlake.sources import messages as M
     from pyspark.sql import functions as F
 
-    assert set(catalog.QUERIES) - set(catalog.SQL) == {"stream_topics"}
+    assert set(catalog.QUERIES) == set(catalog.SQL)
     rows = Q.turns(M.conv10(spark, SF)).select("session_id", "seq", T.terms(T.turn_text(F.col("user_preview"), F.col("assistant_preview"), F.col("tools_used"))).alias("terms"))
     want, state = {}, {}
     for r in sorted(rows.collect(), key=lambda r: (r.session_id, r.seq)):

@@ -678,8 +678,17 @@ def stream_turns(spark, sf_dir):
     return ingest.run_available(lines, lambda s: ingest.live_turns(s), ["session_id", "seq"], "line_end").select("session_id", "seq", "turn_id", "line_start", "line_end", "message_count", "total_tokens")
 
 
-@query()
+_LAST_THREE = [
+    "wd AS (SELECT t.session_id, t.seq AS i, f.seq AS k, f.term, f.tf FROM turns t JOIN tf f ON f.session_id = t.session_id AND f.seq BETWEEN t.seq - 3 AND t.seq WHERE t.seq > 0)",
+    "wf AS (SELECT *, tf * (ln((least(i, 3) + 1) / (count(*) OVER (PARTITION BY session_id, i, term) + 1)::DOUBLE) + 1) AS w FROM wd)",
+    "wn AS (SELECT session_id, i, k, sqrt(sum(w * w)) AS n FROM wf GROUP BY ALL)",
+    "wx AS (SELECT a.session_id, a.i, b.k, sum(a.w * b.w) AS xy FROM wf a JOIN wf b ON a.session_id = b.session_id AND a.i = b.i AND a.term = b.term WHERE a.k = a.i AND b.k < b.i GROUP BY ALL)",
+    "ws AS (SELECT x.session_id, x.i, sum(CASE WHEN p.n * q.n > 0 THEN least(1.0, xy / (p.n * q.n)) ELSE 0 END) / least(x.i, 3) AS sim FROM wx x JOIN wn p ON p.session_id = x.session_id AND p.i = x.i AND p.k = x.i JOIN wn q ON q.session_id = x.session_id AND q.i = x.i AND q.k = x.k GROUP BY x.session_id, x.i)",
+]
+
+
+@query(S.select([*S.similarities("conv10"), *_LAST_THREE], "SELECT t.session_id, t.seq, (sum(CASE WHEN t.seq > 0 AND coalesce(sim, 0) < 0.05::DOUBLE THEN 1 ELSE 0 END) OVER (PARTITION BY t.session_id ORDER BY t.seq))::INTEGER AS topic_ord FROM turns t LEFT JOIN ws ON ws.session_id = t.session_id AND ws.i = t.seq"))
 def stream_topics(spark, sf_dir):
-    """Topics of turns as they complete; without SQL, as a topic depends on all before it."""
+    """Topics of turns as they complete."""
     rows = Q.turns(M.conv10(spark, sf_dir)).select("session_id", "seq", T.terms(T.turn_text(F.col("user_preview"), F.col("assistant_preview"), F.col("tools_used"))).alias("terms"))
     return ingest.run_available(rows, lambda s: ingest.live_topics(s), ["session_id", "seq"], "seq")

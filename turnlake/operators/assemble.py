@@ -131,16 +131,23 @@ def turn_summary():
     return F.concat_ws("\n", F.concat(F.lit("User: "), "user_preview"), tools, reply, error, size)
 
 
-def compact(turn_rows: DataFrame, config: EngineConfig = EngineConfig(), summaries: DataFrame | None = None, summarizer=None) -> DataFrame:
-    """New rows of summaries: of each session's largest older turns without one, as many as a cycle allows."""
+def compact(turn_rows: DataFrame, config: EngineConfig = EngineConfig(), summaries: DataFrame | None = None, summarizer=None, lines: DataFrame | None = None, tool_results: DataFrame | None = None) -> DataFrame:
+    """New rows of summaries: of each session's largest older turns without one, as many as a cycle allows.
+
+    A summarizer is given a turn's messages, with tool results as they are stored, if there are lines; else the local summary.
+    """
     rows = Q.with_cutoff(turn_rows, config.preserve_recent_turns).filter("not recent").join(_or_empty(summaries, turn_rows, SUMMARIES), ["session_id", "turn_id"], "left_anti")
     rows = Q.largest(rows, config.max_compactions_per_cycle).withColumn("summary", turn_summary())
     if summarizer is None:
         rows = rows.withColumn("method", F.lit("local"))
     else:
-        from turnlake.operators.summarize import summarize
+        from turnlake.operators.summarize import compact_inputs, summarize
 
-        rows = summarize(rows.withColumn("_hint", F.concat(F.lit("Turn #"), F.col("seq").cast("string"))), summarizer, "summary", "_hint")
+        rows = rows.withColumns({"_hint": F.concat(F.lit("Turn #"), F.col("seq").cast("string")), "_input": F.lit(None).cast("string")})
+        if lines is not None:
+            given = compact_inputs(lines, rows, tool_results).select("session_id", "seq", F.col("text").alias("_given"))
+            rows = rows.join(given, ["session_id", "seq"], "left").withColumn("_input", F.col("_given")).drop("_given")
+        rows = summarize(rows, summarizer, "summary", "_hint", input_col="_input")
     return rows.select("session_id", "turn_id", "summary", T.tokens(F.col("summary")).alias("tokens"), F.col("total_tokens").alias("original_tokens"), "method")
 
 
@@ -171,18 +178,19 @@ def _summed(rows: DataFrame, keys: list[str], title, summaries: DataFrame) -> Da
     rows = rows.join(summaries.select("session_id", "turn_id", "summary", F.col("tokens").alias("_st")), ["session_id", "turn_id"], "left")
     lines = F.filter(F.split("summary", "\n"), lambda x: F.trim(x) != "")
     point = F.when(F.col("summary").isNotNull(), F.array_join(F.slice(lines, 1, 2), "; ")).otherwise(F.concat(F.lit("User: "), F.substring("user_preview", 1, 80), F.lit(" → "), F.substring("assistant_preview", 1, 60)))
-    out = rows.withColumn("_p", point).groupBy("session_id", *keys).agg(
+    place = F.row_number().over(Window.partitionBy("session_id", *keys).orderBy("seq"))
+    out = rows.withColumns({"_p": point, "_k": place}).groupBy("session_id", *keys).agg(
         F.count("*").alias("turn_count"), F.min("seq").alias("first_seq"), F.sum(F.coalesce("_st", "total_tokens")).alias("original_tokens"),
-        F.sort_array(F.collect_list(F.struct("seq", "turn_id", "tools_used", "_p"))).alias("g"),
+        F.sort_array(F.collect_list(F.struct("seq", "turn_id", "tools_used"))).alias("g"), F.sort_array(F.collect_list(F.when(F.col("_k") <= 8, F.struct("seq", "_p")))).alias("h"),
     )
     tools = F.array_distinct(F.flatten(F.transform("g", lambda x: x["tools_used"])))
-    points = F.transform(F.slice("g", 1, 8), lambda x: F.concat(F.lit("  - "), x["_p"]))
+    points = F.transform("h", lambda x: F.concat(F.lit("  - "), x["_p"]))
     summary = F.concat(
         F.lit("## Topic: "), title, F.lit(" ("), F.col("turn_count").cast("string"), F.lit(" turns)\n"),
         F.when(F.size(tools) > 0, F.concat(F.lit("\nTools used: "), F.array_join(tools, ", "))).otherwise(""), F.lit("\n\nKey turns:\n"), F.array_join(points, "\n"),
         F.when(F.col("turn_count") > 8, F.concat(F.lit("\n  - ... and "), (F.col("turn_count") - 8).cast("string"), F.lit(" more turns"))).otherwise(""),
     )
-    out = out.withColumns({"summary": summary, "turn_ids": F.transform("g", lambda x: x["turn_id"])}).drop("g")
+    out = out.withColumns({"summary": summary, "turn_ids": F.transform("g", lambda x: x["turn_id"])}).drop("g", "h")
     return out.withColumn("summary_tokens", T.tokens(F.col("summary")))
 
 

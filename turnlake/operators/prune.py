@@ -107,8 +107,10 @@ def local_summary(messages: DataFrame, most: int = 20) -> DataFrame:
     """Per session, (original_messages, original_tokens, content, tokens): first sentences of over 10 characters of users and assistants."""
     sentence = T.first_sentence(F.col("content"))
     rows = messages.withColumn("_p", F.when(F.col("role").isin("user", "assistant") & (F.char_length(sentence) > 10), F.concat(F.lit("["), "role", F.lit("] "), sentence)))
-    out = rows.groupBy("session_id").agg(F.count("*").alias("original_messages"), F.sum("token_count").alias("original_tokens"), F.sort_array(F.collect_list(F.when(F.col("_p").isNotNull(), F.struct("idx", "_p")))).alias("p"))
-    points = F.array_join(F.transform(F.slice("p", 1, most), lambda x: x["_p"]), "\n")
+    rows = rows.withColumn("_k", F.count("_p").over(_session().orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)))
+    first = F.when(F.col("_p").isNotNull() & (F.col("_k") <= most), F.struct("idx", "_p"))
+    out = rows.groupBy("session_id").agg(F.count("*").alias("original_messages"), F.sum("token_count").alias("original_tokens"), F.sort_array(F.collect_list(first)).alias("p"))
+    points = F.array_join(F.transform("p", lambda x: x["_p"]), "\n")
     n = F.col("original_messages").cast("string")
     content = F.when(F.size("p") > 0, F.concat(F.lit("Context summary ("), n, F.lit(" messages):\n"), points)).otherwise(F.concat(F.lit("Context summary: "), n, F.lit(" messages exchanged.")))
     return out.withColumn("content", content).drop("p").withColumn("tokens", T.tokens(F.col("content")))

@@ -28,25 +28,27 @@ def timed(model: Callable[..., str], *given: str, timeout: float = TIMEOUT) -> s
         pool.shutdown(wait=False, cancel_futures=True)
 
 
-def summarize(rows: DataFrame, summarizer: Summarizer, text_col: str, hint_col: str, retries: int = 1, timeout: float = TIMEOUT) -> DataFrame:
+def summarize(rows: DataFrame, summarizer: Summarizer, text_col: str, hint_col: str, retries: int = 1, timeout: float = TIMEOUT, input_col: str | None = None) -> DataFrame:
     """rows with text_col replaced by summarizer(text, hint) and method "llm"; where all tries fail, the text stays and method is "local".
 
+    input_col, if named, is what the summarizer is given in place of the text; null stands for the text.
+
     Calls run once per row on the executors; write the result before using it twice, for a model may answer otherwise again.
     """
     source = rows.drop("method")
     schema = StructType([*source.schema.fields, StructField("method", StringType())])
 
-    def one(text: str, hint: str) -> tuple[str, str]:
+    def one(text: str, given: str | None, hint: str) -> tuple[str, str]:
         for _ in range(retries + 1):
             try:
-                return timed(summarizer, text, hint, timeout=timeout), "llm"
+                return timed(summarizer, text if given is None else given, hint, timeout=timeout), "llm"
             except Exception:
                 logging.getLogger(__name__).warning("summary failed for %s", hint, exc_info=True)
         return text, "local"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            got = [one(t, h) for t, h in zip(batch[text_col], batch[hint_col])]
+            got = [one(t, g, h) for t, g, h in zip(batch[text_col], batch[input_col or text_col], batch[hint_col])]
             yield batch.assign(**{text_col: [g[0] for g in got], "method": [g[1] for g in got]})
 
     return source.mapInPandas(run, schema)

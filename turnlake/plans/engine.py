@@ -37,6 +37,15 @@ class Engine:
         self.context = resolved(self.context, **options)
         return self.context
 
+    def state(self) -> DataFrame:
+        """(session_id, turn_id, compacted, summary, tokens): what is stored of turns."""
+        return self.store.load("summaries", A.SUMMARIES).select("session_id", "turn_id", F.lit(True).alias("compacted"), "summary", "tokens")
+
+    def restore(self, state: DataFrame) -> None:
+        """Store a state() again, in this engine's store or another's; turns that aren't compacted are left out."""
+        rows = state.filter("compacted and summary is not null").join(self.turns().select("session_id", "turn_id", "total_tokens"), ["session_id", "turn_id"])
+        self.store.save("summaries", rows.select("session_id", "turn_id", "summary", "tokens", F.col("total_tokens").alias("original_tokens"), F.lit("local").alias("method")))
+
     # Index
 
     def files(self) -> DataFrame:
@@ -148,7 +157,7 @@ class Engine:
     def compact(self, session_id: str | None = None, only: DataFrame | None = None) -> DataFrame:
         """Summarise the largest older turns and store it; per session: compacted turns, tokens saved, cache hits. only: of these sessions."""
         rows, before = self._only(self.turns(session_id), only), self.store.load("summaries", A.SUMMARIES)
-        new = materialise(A.compact(rows, self.config, before, self.summarizer), "summaries")
+        new = materialise(A.compact(rows, self.config, before, self.summarizer, self.lines, self.store.load("tool_results", A.TOOL_RESULTS)), "summaries")
         report = materialise(A.compaction_report(rows, before, new, self.config), "report")
         self.store.save("summaries", new)
         return report
