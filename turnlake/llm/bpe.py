@@ -24,7 +24,7 @@ from turnlake.llm.common import live, prepare, slices
 #: Bounds of what a worker keeps: pieces with their tokens (twice so many), transitions, pairs of tokens. What is full starts afresh.
 PIECES, PIECE_CHARS, TRANSITIONS, PAIRS = 100_000, 24, 350_000, 350_000
 #: Bytes of text that are encoded at a time, but for longer texts.
-PART = 1 << 20
+PART = 1 << 19
 _NEVER = 1 << 62
 
 
@@ -310,7 +310,7 @@ def encode(docs: DataFrame, ranks: bytes, pattern: str, text_col: str = "text",
     """docs with out_col (array<int>: the ids of the whole text) and, if named, decoded_col (the ids decoded again).
 
     A null text is empty and has no ids; an existing column of these names is replaced; other columns pass; repeated rows stay.
-    One pass without shuffle; a worker keeps bounded caches only, a share of keep of their usual size (about 210 MB at 1, 80 MB at 0.3;
+    One pass without shuffle; a worker keeps bounded caches only, a share of keep of their usual size (about 210 MB at 1, 50 MB at 0.2;
     smaller ones cost time, and change nothing else).
     """
     prepare(docs.sparkSession)

@@ -200,7 +200,7 @@ class Words:
         return lambda starts, ends: mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 
-def slices(batch: pa.RecordBatch, column: str, most: int = 2 << 20):
+def slices(batch: pa.RecordBatch, column: str, most: int = 1 << 19):
     """Parts of a batch with about so many bytes of text each; a longer text is a part of its own."""
     sizes = np.diff(utf8(batch.column(column))[1])
     start, total = 0, 0

@@ -7,7 +7,7 @@ their weight beyond the strongest vote. Labels of training rows give the prior,
 may count, and are a voter of their own on those rows.
 The posterior labels of a bounded sample of training rows train a logistic regression on the voters and on all hashed words and beginnings
 of words, by how often a text has them, that toxic labels have significantly more often. Beginnings find words that are made from one
-stem in any language, whatever the list of words knows. The labels of training rows so do much of the work; the lexicon is English.
+stem in any language, whatever the list of words knows. The labels of training rows so do much of the work.
 """
 
 from __future__ import annotations
@@ -28,8 +28,12 @@ BITS, BEGINNINGS, TIMES = 20, (4, 6), (1, 2, 4)
 #: A feature is told from chance by so many standard errors of its log odds, so many toxic labels that have it, such a share of them, and
 #: log odds; so is a voter. The ridge of a feature's and of a voter's weight.
 FEATURE, VOTER, RIDGE = (4.5, 12, 0.02, 2.0), (4.0, 12, 0.03, 3.0), (15.0, 1.0)
+#: Seed words: English, German, French, Spanish. Those that no text has cast no votes.
 LEXICON = """idiot moron stupid dumb fool loser pathetic worthless disgusting scum trash garbage clown jerk imbecile creep freak liar
-coward ugly vermin filth bastard crap damn hate kill shut bloody lunatic psycho brainless spineless vile wretch""".split()
+coward ugly vermin filth bastard crap damn hate kill shut bloody lunatic psycho brainless spineless vile wretch
+dumm blöd dumme trottel depp arschloch abschaum versager lügner feigling widerlich ekelhaft dreckskerl
+imbécile crétin connard ordure minable menteur lâche dégoûtant abruti débile
+idiota imbécil estúpido estúpida basura mentiroso cobarde asqueroso patético inútil""".split()
 
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
