@@ -152,9 +152,9 @@ def test_engine_compacts_where_truncation_does_not_suffice(spark, tmp_path):
     assert e.store.load("tool_results").count() >= 1 and e.store.load("summaries") is None
     tight = EngineConfig(max_context_tokens=1200, system_prompt_reserve=1000, tool_result_truncate_chars=10**6)
     e = Engine(spark, talk(spark), str(tmp_path / "a"), tight)
-    first = e.assemble().agg(F.sum("tokens")).first()[0]
+    assert e.assemble().filter("phase = 0").isEmpty()
     assert e.store.load("summaries").count() == 3 and e.store.load("topic_compactions").count() >= 1
-    assert e.assemble().agg(F.sum("tokens")).first()[0] < first
+    assert not e.assemble().filter("phase = 0").isEmpty()
     wide = Engine(spark, talk(spark), str(tmp_path / "b"), EngineConfig(system_prompt_reserve=1000, tool_result_truncate_chars=10**6))
     wide.assemble()
     assert wide.store.load("tool_results") is None and wide.store.load("summaries") is None
@@ -163,18 +163,18 @@ def test_engine_compacts_where_truncation_does_not_suffice(spark, tmp_path):
 
 def test_stored_subtopics_are_used(spark, tmp_path):
     e = Engine(spark, talk(spark), str(tmp_path / "a"))
-    e.config = EngineConfig(preserve_recent_turns=2)
+    e.config = EngineConfig(preserve_recent_turns=1)
     rows = e.turns().select("session_id", "topic_id", "seq").collect()
     last = max(rows, key=lambda r: r.seq)
     own = sorted(r.seq for r in rows if r.topic_id == last.topic_id)
-    assert len(own) >= 4
+    assert len(own) >= 2
     before = {r.seq: r.zone for r in e.preview().collect()}
     parts = [("s", last.topic_id, "subtopic-0", "a", own[:1], False, "heuristic"), ("s", last.topic_id, "subtopic-1", "b", own[1:], True, "heuristic")]
     e.store.save("subtopics", spark.createDataFrame([(last[0], *p[1:]) for p in parts], "session_id string, topic_id string, subtopic_id string, label string, turn_sequences array<int>, is_current boolean, method string"))
     after = {r.seq: r.zone for r in e.preview().collect()}
     assert before[own[0]] == "older" and after[own[0]] == "dropped"
     assert all(after[k] == z for k, z in before.items() if k != own[0])
-    old = Q.with_cutoff(e.turns(), 2).filter("not recent").drop("recent")
+    old = Q.with_cutoff(e.turns(), 1).filter("not recent").drop("recent")
     assert [sorted(r.turn_sequences) for r in e._parts(old).filter(F.col("topic_id") == last.topic_id).orderBy("subtopic_id").collect()] == [own[:1], own[1:]]
 
 
