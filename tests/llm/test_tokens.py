@@ -60,10 +60,8 @@ def test_decoder_streams(codec, data, size):
     assert "".join(d.feed(ids[i : i + size]) for i in range(0, len(ids), size)) + d.close() == data.decode("utf-8", "replace")
 
 
-def test_bounded_states(codec, library, monkeypatch):
-    monkeypatch.setattr(bpe, "TRANSITIONS", 50)
-    monkeypatch.setattr(bpe, "PAIRS", 20)
-    c = bpe.Codec(bpe.read_ranks(RANKS), P.PATTERN)
+def test_bounded_states(codec, library):
+    c = bpe.Codec(bpe.read_ranks(RANKS), P.PATTERN, (3, 50, 20))
     t = "many different wordings undergo retokenisation continuously " * 5
     assert c.encode(t) == library.encode_ordinary(t)
 

@@ -21,8 +21,10 @@ from pyspark.sql import functions as F
 
 from turnlake.llm.common import live, prepare, slices
 
+#: Longest piece that is kept.
+PIECE_CHARS = 24
 #: Bounds of what a worker keeps: pieces with their tokens (twice so many), transitions, pairs of tokens. What is full starts afresh.
-PIECES, PIECE_CHARS, TRANSITIONS, PAIRS = 100_000, 24, 350_000, 350_000
+KEPT = (200_000, 400_000, 400_000)
 #: Bytes of text that are encoded at a time, but for longer texts.
 PART = 1 << 19
 _NEVER = 1 << 62
@@ -36,8 +38,8 @@ def read_ranks(data: bytes) -> dict[bytes, int]:
 class Transducer:
     """Encodes byte strings to ranks as repeated merging of the lowest-ranked neighbours does."""
 
-    def __init__(self, ranks: dict[bytes, int], keep: float = 1.0):
-        self.most = int(TRANSITIONS * keep), int(PAIRS * keep)
+    def __init__(self, ranks: dict[bytes, int], kept: tuple[int, int, int] = KEPT):
+        self.most = kept[1:]
         if any(bytes([b]) not in ranks for b in range(256)):
             raise ValueError("every byte must be a token")
         self.ranks = ranks
@@ -268,8 +270,8 @@ def _runs(text: str):
 class Codec:
     """Encodes and decodes whole texts; each match of the pattern is a piece of its own."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, keep: float = 1.0):
-        self.machine, self.most = Transducer(ranks, keep), int(PIECES * keep)
+    def __init__(self, ranks: dict[bytes, int], pattern: str, kept: tuple[int, int, int] = KEPT):
+        self.machine, self.most = Transducer(ranks, kept), kept[0]
         self.find = splitter(pattern)
         self.cache: dict[str, tuple[int, ...]] = {}
         self.older: dict[str, tuple[int, ...]] = {}  # the cache before it was full last: what is still in use moves over
@@ -302,23 +304,23 @@ class Codec:
         return "".join([decoder.feed(ids[i : i + chunk]) for i in range(0, len(ids), chunk)]) + decoder.close()
 
 
-def _live(ranks: bytes, pattern: str, keep: float = 1.0) -> Codec:
-    return live(("bpe", hash((ranks, pattern, keep))), lambda: Codec(read_ranks(ranks), pattern, keep))
+def _live(ranks: bytes, pattern: str, kept: tuple[int, int, int] = KEPT) -> Codec:
+    return live(("bpe", hash((ranks, pattern, kept))), lambda: Codec(read_ranks(ranks), pattern, kept))
 
 
-def encode(docs: DataFrame, ranks: bytes, pattern: str, text_col: str = "text", out_col: str = "ids", decoded_col: str | None = None, keep: float = 1.0) -> DataFrame:
+def encode(docs: DataFrame, ranks: bytes, pattern: str, text_col: str = "text", out_col: str = "ids", decoded_col: str | None = None, kept: tuple[int, int, int] = KEPT) -> DataFrame:
     """docs with out_col (array<int>: the ids of the whole text) and, if named, decoded_col (the ids decoded again).
 
     A null text is empty and has no ids; an existing column of these names is replaced; other columns pass; repeated rows stay.
-    One pass without shuffle; a worker keeps bounded caches only, a share of keep of their usual size (about 210 MB at 1, 50 MB at 0.2;
-    smaller ones cost time, and change nothing else).
+    One pass without shuffle; a worker keeps bounded caches only, kept of each, about 200 MB in all by default. Smaller ones cost time and
+    change nothing else.
     """
     prepare(docs.sparkSession)
     source = docs.drop(out_col, *([decoded_col] if decoded_col else []))
     text_at = source.columns.index(text_col)
 
     def run(batches):
-        codec = _live(ranks, pattern, keep)
+        codec = _live(ranks, pattern, kept)
         for batch in batches:
             for part in slices(batch, text_col, PART):
                 ids = [codec.encode(t) for t in part.column(text_at).cast(pa.string()).to_pylist()]
