@@ -99,6 +99,47 @@ def test_kneser_ney_by_hand(spark, monkeypatch, kept):
         assert np.exp(model.log_probability(np.full(perplexity.SYMBOLS, context), np.arange(perplexity.SYMBOLS))).sum() == pytest.approx(1, abs=1e-4)
 
 
+def test_judge_leaves_no_bigram_out(spark, monkeypatch):
+    """Every text's log-perplexity against the definition with dictionaries, over many chunks, where a model of 30 bigrams would differ."""
+    monkeypatch.setattr(perplexity.fit, "__defaults__", ("text", 30))
+    monkeypatch.setattr(perplexity, "COUNTED", 200)
+    r = random.Random(2)
+    words = ["".join(r.choices("abcdefgh", k=4)) for _ in range(60)]
+    texts = [" ".join(r.choices(words, weights=range(1, 61), k=r.randrange(0, 60))) for _ in range(150)]
+    rows = [*texts, *texts[:5], None, "", "once and never more", " ".join(words * 9)]
+    c, firsts, lasts = {}, {}, {}
+    for text in {x for x in rows if x}:
+        for u, v in zip(*(x.tolist() for x in bigrams([text]))):
+            c[u, v] = c.get((u, v), 0) + 1
+            firsts[u] = firsts.get(u, 0) + 1
+    for u, v in c:
+        lasts[v] = lasts.get(v, 0) + 1
+    assert sum(x > 1 for x in c.values()) > 500
+
+    def cuts(values):
+        n = [max(sum(x == k for x in values), 1) for k in range(1, 5)]
+        y = n[0] / (n[0] + 2 * n[1])
+        return [min(max(1 + k - (2 + k) * y * n[k + 1] / n[k], 0.01), 0.99 * (k + 1)) for k in range(3)]
+
+    d2, d1 = cuts(c.values()), cuts(lasts.values())
+    mass = sum(d1[min(x, 3) - 1] for x in lasts.values()) / len(c)
+    part = {(u, v): (x - d2[min(x, 3) - 1]) / firsts[u] if x > 1 else 0 for (u, v), x in c.items()}
+    rest = dict.fromkeys(firsts, 1.0)
+    for (u, _), x in part.items():
+        rest[u] -= x
+
+    def log_perplexity(text):
+        pairs = list(zip(*(x.tolist() for x in bigrams([text]))))
+        p = [part[u, v] + rest[u] * ((lasts[v] - d1[min(lasts[v], 3) - 1]) / len(c) + mass / perplexity.SYMBOLS) for u, v in pairs]
+        return -sum(map(math.log, p)) / len(p)
+
+    df = spark.createDataFrame([(i, t, "en") for i, t in enumerate(rows)], "doc_id long, text string, lang string").repartition(3)
+    got = {x.doc_id: x.log_perplexity for x in perplexity.judge(df).collect()}
+    assert len(got) == len(rows)
+    for i, t in enumerate(rows):
+        assert got[i] == pytest.approx(log_perplexity(t), rel=1e-5) if t else got[i] is None
+
+
 def test_judge(spark):
     good, junk = corpus()
     texts = [*good, *junk, *ODD]

@@ -44,11 +44,23 @@ def shared_dir(spark: SparkSession) -> str:
 _TABLES: dict[str, None] = {}
 
 
-def scratch(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it again: cuts the lineage and survives lost executors."""
+#: Whether Spark deletes a query's shuffle files when the query ends, not when the driver's garbage is collected.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def scratch(df: DataFrame, name: str, once: bool = False) -> DataFrame:
+    """Write df to the shared folder and read it again: cuts the lineage and survives lost executors.
+
+    once: nothing else computes df, so the files of its shuffles are deleted as soon as it is written.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/turnlake/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true" if once else before)
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     _TABLES[path] = None
     return spark.read.schema(df.schema).parquet(path).withMetadata(df.columns[0], {"turnlake_path": path})
 
