@@ -19,8 +19,8 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 @cleaned
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, of a similarity of 0.8 or more."""
-    return similar.deduplicate(docs)
+    """One document of each group of near-duplicates: SimHash fingerprints at most 2 bits apart, or a similarity of 0.8 or more."""
+    return similar.deduplicate(docs, radius=2)
 
 
 @cleaned

@@ -4,6 +4,9 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
+import xxhash
+
 import corpus_pipeline
 from turnlake.llm import similar
 
@@ -62,6 +65,39 @@ def test_similar(spark):
     assert kept.columns == df.columns and sorted(r.doc_id - 10 for r in kept.collect()) == sorted(set(want))
 
 
+def fingerprint(text):
+    words = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    grams = [" ".join(words[i : i + 5]) for i in range(len(words) - 4)] or ([" ".join(words)] if words else [])
+    hashes = [xxhash.xxh64_intdigest(g.encode(), 42) for g in grams]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def test_near_duplicates_by_simhash(spark):
+    """Links of SimHash that no sets of shingles show, and such that connect groups of similar texts; those of 0.8 stay."""
+    r = random.Random(3)
+    vocabulary = ["".join(r.choices("abcdefgh", k=6)) for _ in range(500)]
+    rows = []
+    for _ in range(4):
+        words, other = r.sample(vocabulary, 11), r.choices(vocabulary, k=60)
+        long = " ".join(words * 20)
+        rows += [long, f"{long} {' '.join(other[:9])}", f"{' '.join(other[9:18])} {long}", f"{long} {' '.join(other[:9])} {other[20]}"]
+        rows += [" ".join(other), " ".join([*other, other[0]]), " ".join(r.choices(vocabulary, k=60))]
+    rows += [None, "", "a b c", "A  b c"]
+    similar_to, pairs = brute(rows)
+    fps = np.array([fingerprint(t) for t in rows], np.uint64)
+    near = [(i, int(j)) for i in range(len(rows)) for j in np.flatnonzero(np.bitwise_count(fps ^ fps[i]) <= 2) if j > i]
+    assert sum(similar_to[i] != similar_to[j] for i, j in near) >= 4 and any((i, j) not in near for i, j in pairs)
+    want = list(range(len(rows)))
+    for _ in rows:
+        for i, j in pairs + near:
+            want[i] = want[j] = min(want[i], want[j])
+    df = spark.createDataFrame([(i + 10, t, 1) for i, t in enumerate(rows)], "doc_id long, text string, fp int").repartition(3)
+    got = {x.doc_id - 10: x.component_id - 10 for x in similar.similar_components(df, radius=2).collect()}
+    assert [got[i] for i in range(len(rows))] == want
+    kept = corpus_pipeline.drop_near_duplicates(spark, df, "")
+    assert kept.columns == df.columns and sorted(x.doc_id - 10 for x in kept.collect()) == sorted(set(want))
+
+
 def test_similar_large_group(spark):
     """A bucket whose texts are alike in part: what the drawn ones leave apart is compared pair by pair."""
     r = random.Random(4)
