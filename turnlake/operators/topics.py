@@ -128,7 +128,9 @@ def topics(topic_turns: DataFrame) -> DataFrame:
 def signals(topic_turns: DataFrame) -> DataFrame:
     """(session_id, topic_id, seq, score) of turns but a topic's first: time gap, change of tools, a long question after a short one."""
     order = Window.partitionBy("session_id", "topic_id").orderBy("seq")
-    gap = (F.unix_millis("start_time") - F.unix_millis(F.lag("end_time").over(order))) / 60000
+    # Milliseconds are rounded, as SQL's epoch_ms does; unix_millis would cut them off.
+    micros = lambda t: F.round(F.unix_micros(t), -3)
+    gap = (micros(F.col("start_time")) - micros(F.lag("end_time").over(order))) / 60_000_000
     before, now = F.lag("tools_used").over(order), F.col("tools_used")
     shared = F.size(F.array_intersect(before, now)) / F.size(F.array_union(before, now))
     both = (F.size(before) > 0) & (F.size(now) > 0)
