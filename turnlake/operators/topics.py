@@ -8,11 +8,24 @@ from pyspark.sql import functions as F
 from turnlake.config import TopicConfig
 from turnlake.functions import text as T
 from turnlake.functions import answers
+from turnlake.stores import dealt, materialise
+
+#: Turns of a task that weighs terms: each becomes some twenty terms, and each term six rows.
+TURNS_A_TASK = 5_000
+
+
+def turn_terms(turn_rows: DataFrame) -> DataFrame:
+    """(session_id, seq, terms), written once."""
+    return materialise(turn_rows.select("session_id", "seq", T.terms(T.turn_text(F.col("user_preview"), F.col("assistant_preview"), F.col("tools_used"))).alias("terms")), "terms")
 
 
 def tfidf(turn_rows: DataFrame) -> DataFrame:
     """(session_id, seq, term, tf, df, n_turns, weight) of turns' terms."""
-    each = turn_rows.select("session_id", "seq", T.terms(T.turn_text(F.col("user_preview"), F.col("assistant_preview"), F.col("tools_used"))).alias("terms"))
+    return _weights(turn_terms(turn_rows))
+
+
+def _weights(terms: DataFrame) -> DataFrame:
+    each = dealt(terms, terms.count(), TURNS_A_TASK, "session_id")
     n = F.count("*").over(Window.partitionBy("session_id"))
     rows = each.withColumn("n_turns", n).select("session_id", "seq", "n_turns", F.size("terms").alias("size"), F.explode("terms").alias("term"))
     counts = rows.groupBy("session_id", "term", "seq").agg((F.count("*") / F.first("size")).alias("tf"), F.first("n_turns").alias("n_turns"))
@@ -33,12 +46,13 @@ def similarities(turn_rows: DataFrame, config: TopicConfig = TopicConfig()) -> D
         F.transform(span(t + 1, F.least(t + w, last)), lambda i: F.struct(i.alias("i"), F.lit(1).alias("a"), F.lit(0).alias("b"))),
         F.transform(span(F.greatest(F.lit(1).cast("long"), t - w + 1), F.least(t, last)), lambda i: F.struct(i.alias("i"), F.lit(0).alias("a"), F.lit(1).alias("b"))),
     )
-    rows = tfidf(turn_rows).select("session_id", "term", "weight", F.explode(sides).alias("s"))
+    terms = turn_terms(turn_rows)
+    rows = _weights(terms).select("session_id", "term", "weight", F.explode(sides).alias("s"))
     sums = rows.groupBy("session_id", F.col("s.i").alias("i"), "term").agg(F.sum(F.col("weight") * F.col("s.a")).alias("x"), F.sum(F.col("weight") * F.col("s.b")).alias("y"))
     dots = sums.groupBy("session_id", "i").agg(F.sum(F.col("x") * F.col("y")).alias("xy"), F.sum(F.col("x") * F.col("x")).alias("xx"), F.sum(F.col("y") * F.col("y")).alias("yy"))
     sim = F.when((F.col("xx") > 0) & (F.col("yy") > 0), F.least(F.lit(1.0), F.col("xy") / (F.sqrt("xx") * F.sqrt("yy"))))
     found = dots.select("session_id", F.col("i").cast("int").alias("seq"), sim.alias("similarity"))
-    return turn_rows.filter("seq > 0").select("session_id", "seq").join(found, ["session_id", "seq"], "left").withColumn("similarity", F.coalesce("similarity", F.lit(0.0)))
+    return terms.filter("seq > 0").select("session_id", "seq").join(found, ["session_id", "seq"], "left").withColumn("similarity", F.coalesce("similarity", F.lit(0.0)))
 
 
 def boundaries(turn_rows: DataFrame, config: TopicConfig = TopicConfig()) -> DataFrame:

@@ -36,6 +36,14 @@ def materialise(df: DataFrame, name: str = "stage") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def dealt(rows: DataFrame, n: int, most: int, *keys: str) -> DataFrame:
+    """rows, n of them, hashed by keys over so many tasks that each has about most of them, whatever the size of the table.
+
+    Adaptive execution would put partitions together by the bytes of a shuffle, not by what a task makes of them; a given number stays.
+    """
+    return rows.repartition(max(rows.sparkSession.sparkContext.defaultParallelism, -(-n // most)), *keys)
+
+
 class Store:
     """Side tables under one folder. A write adds rows with a time and version; a read gives each key's latest row of this version."""
 
