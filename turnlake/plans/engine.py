@@ -129,9 +129,18 @@ class Engine:
     def read_raw(self, turn_id: str, session_id: str | None = None) -> DataFrame:
         """(session_id, line, text): a turn's lines as they are, numbered."""
         source = jsonl.raw_lines(self.spark, self.path) if self.path else self.lines.select("session_id", "line", F.col("text").alias("raw"))
-        rows = Q.recover(source, Q.lookup(self.turns(session_id), turn_id=turn_id).select("session_id", "seq", "turn_id", "line_start", "line_end"))
+        rows = self._recovered(source, turn_id, session_id)
         return rows.select("session_id", "line", F.concat(F.lit("[line "), F.col("line").cast("string"), F.lit("] "), "raw").alias("text"))
 
+    def _recovered(self, source: DataFrame, turn_id: str, session_id: str | None) -> DataFrame:
+        """Lines of source in turns of an id. Only sessions that have one are shuffled and sorted: no other has lines to give."""
+        found = Q.lookup(self.turns(session_id), turn_id=turn_id).select("session_id", "seq", "turn_id", "line_start", "line_end")
+        if session_id is not None:
+            source = source.filter(F.col("session_id") == session_id)
+        else:
+            source = source.join(found.select("session_id"), "session_id", "left_semi")
+        return Q.recover(source, found)
+
     # Topic tools
 
     def topics(self, session_id: str | None = None) -> DataFrame:
@@ -192,7 +201,7 @@ class Engine:
 
     def recover(self, turn_id: str, session_id: str | None = None, size: int = 300) -> DataFrame:
         """A turn's messages, the first size characters of each, with their lines."""
-        rows = Q.recover(self.lines, Q.lookup(self.turns(session_id), turn_id=turn_id).select("session_id", "seq", "turn_id", "line_start", "line_end"))
+        rows = self._recovered(self.lines, turn_id, session_id)
         return rows.filter("role is not null").select("session_id", "turn_id", "line", "raw_role", F.substring("text", 1, size).alias("text"))
 
     def assemble(self, session_id: str | None = None, token_budget: int | None = None, messages: DataFrame | None = None) -> DataFrame:
