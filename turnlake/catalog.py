@@ -356,7 +356,10 @@ _TRUNCATED = [
 
 @query(S.select([*S.topics("tooltalk"), _NO_SUMMARIES, _MARKED_TURNS, _PLACED, _CONTEXT, *_TRUNCATED], f"SELECT c.session_id, c.turn_id, c.msg_idx::INTEGER AS msg_idx, c.truncated AS truncated_content, {S.tokens('c.truncated')} AS truncated_tokens, {S.tokens('c.text')} AS original_tokens, length(c.text)::INTEGER AS original_chars FROM cut c JOIN goes g USING (session_id, seq) WHERE g.least > {TOOLTALK.threshold}"))
 def precompaction_truncations(spark, sf_dir):
-    lines, t = M.tooltalk(spark, sf_dir), _topic_turns(spark, sf_dir, "tooltalk")
+    return _cuts(M.tooltalk(spark, sf_dir), _topic_turns(spark, sf_dir, "tooltalk"))
+
+
+def _cuts(lines: DataFrame, t: DataFrame) -> DataFrame:
     return A.truncations(lines, t, A.used_tokens(A.assemble(lines, t, TOOLTALK), TOOLTALK), TOOLTALK)
 
 
@@ -574,7 +577,8 @@ def assemble_with_compactions(spark, sf_dir):
 @query(S.select([*S.topics("tooltalk"), _NO_SUMMARIES, _MARKED_TURNS, _PLACED, _CONTEXT, *_TRUNCATED, f"done AS (SELECT c.session_id, c.turn_id, c.msg_idx, c.truncated FROM cut c JOIN goes g USING (session_id, seq) WHERE g.least > {TOOLTALK.threshold})", f"again AS (SELECT x.session_id, phase, x.ord, sub_ord, CASE WHEN d.truncated IS NULL THEN x.tokens ELSE {S.tokens('d.truncated')} END AS tokens, d.truncated IS NOT NULL AS cut FROM ctx x JOIN (SELECT session_id, seq, turn_id FROM turns) t ON x.session_id = t.session_id AND x.ord = t.seq LEFT JOIN done d ON d.session_id = t.session_id AND d.turn_id = t.turn_id AND d.msg_idx = x.sub_ord AND x.phase = 1 AND x.role = 'tool')"], "SELECT session_id, count(*) AS messages, sum(tokens)::BIGINT AS tokens, count(*) FILTER (cut) AS cut FROM again GROUP BY session_id"))
 def assemble_truncated(spark, sf_dir):
     """Contexts that are assembled once more, after tool results have been truncated."""
-    lines, t, cut = M.tooltalk(spark, sf_dir), _topic_turns(spark, sf_dir, "tooltalk"), materialise(precompaction_truncations(spark, sf_dir), "cuts")
+    lines, t = M.tooltalk(spark, sf_dir), _topic_turns(spark, sf_dir, "tooltalk")
+    cut = materialise(_cuts(lines, t), "cuts")
     again = A.assemble(lines, t, TOOLTALK, tool_results=cut)
     return again.groupBy("session_id").agg(F.count("*").alias("messages"), F.sum("tokens").alias("tokens"), F.count_if(F.col("content").endswith(T.CUT_NOTE)).alias("cut"))
 

@@ -47,7 +47,9 @@ def trim(text: Column) -> Column:
 def tokens(text: Column) -> Column:
     """A quarter of a token for a character, a half for wide ones, rounded up; 0 for an empty or null text."""
     text = F.coalesce(text, F.lit(""))
-    return ((F.char_length(text) + F.char_length(F.regexp_replace(text, f"[^{WIDE}]", "")) + 3) / 4).cast("long")
+    # Runs go at once, not character by character; a text of ASCII alone has no wide ones.
+    wide = F.when(F.octet_length(text) > F.char_length(text), F.char_length(F.regexp_replace(text, f"[^{WIDE}]+", ""))).otherwise(0)
+    return ((F.char_length(text) + wide + 3) / 4).cast("long")
 
 
 def strip_sender(text: Column) -> Column:
