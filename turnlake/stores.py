@@ -14,8 +14,10 @@ VERSION = 1
 BUCKETS = 64
 KEYS = {
     "summaries": ["session_id", "turn_id"], "tool_results": ["session_id", "turn_id", "msg_idx"], "topic_compactions": ["session_id", "kind", "topic_id", "subtopic_id"],
-    "subtopics": ["session_id", "topic_id", "subtopic_id"], "turns": ["session_id", "seq"], "topics": ["session_id", "topic_ord"], "session_index": ["session_id"], "turn_classes": ["session_id", "seq"],
+    "subtopics": ["session_id", "topic_id", "subtopic_id"], "turns": ["session_id", "seq"], "topics": ["session_id", "topic_ord"], "session_index": ["session_id"], "turn_classes": ["session_id", "seq"], "lines": ["session_id", "line"],
 }
+#: Index tables that grow: a write adds rows, and of each key the last row counts. In the others a session's last write counts.
+GROWING = {"lines"}
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
@@ -73,18 +75,37 @@ class Store:
 
         Files are dealt over BUCKETS folders by the session, however many sessions there are; nothing that is there is rewritten.
         """
+        self._deal(table, rows)
+
+    def add_new(self, table: str, rows: DataFrame) -> None:
+        """Add those rows to a GROWING table of the index whose keys it doesn't have; nothing that is there is written again."""
+        keys, known = KEYS[table], self._index(table, rows)
+        new = rows if known is None else rows.join(known.select(keys), keys, "left_anti")
+        self._deal(table, new.dropDuplicates(keys))
+
+    def _deal(self, table: str, rows: DataFrame) -> None:
         marks = {"_version": F.lit(VERSION), "_written": F.current_timestamp(), "_batch": F.lit(uuid.uuid4().hex), "_bucket": _bucket()}
         rows.withColumns(marks).hint("rebalance", "_bucket").write.mode("append").partitionBy("_bucket").parquet(f"{self.path}/index/{table}")
 
-    def sessions(self, table: str, touched: DataFrame | None = None) -> DataFrame | None:
-        """Each session's rows as last written; of the sessions in touched only, if given, and then only their folders are read."""
+    def _index(self, table: str, touched: DataFrame | None = None) -> DataFrame | None:
+        """All rows of an index table that were ever written; of the sessions in touched only, if given."""
         self._recover(table)
         if not self._exists(f"index/{table}"):
             return None
-        found = self.spark.read.parquet(f"{self.path}/index/{table}").filter(F.col("_version") == VERSION)
+        found = self.spark.read.option("mergeSchema", str(table in GROWING).lower()).parquet(f"{self.path}/index/{table}").filter(F.col("_version") == VERSION)
         if touched is not None:
             buckets = [r[0] for r in touched.select(_bucket().alias("b")).distinct().collect()]  # at most BUCKETS
             found = found.filter(F.col("_bucket").isin(buckets)).join(touched.select("session_id").distinct(), "session_id", "left_semi")
+        return found
+
+    def sessions(self, table: str, touched: DataFrame | None = None) -> DataFrame | None:
+        """Each session's rows as last written; of the sessions in touched only, if given, and then only their folders are read."""
+        found = self._index(table, touched)
+        if found is None:
+            return None
+        if table in GROWING:
+            order = Window.partitionBy(*KEYS[table]).orderBy(F.desc("_written"), F.desc("_batch"))
+            return found.withColumn("_n", F.row_number().over(order)).filter("_n = 1").drop("_n", "_version", "_written", "_batch", "_bucket")
         last = found.groupBy("session_id").agg(F.max(F.struct("_written", "_batch")).alias("_last"))
         found = found.join(last, "session_id").filter((F.col("_written") == F.col("_last._written")) & (F.col("_batch") == F.col("_last._batch")))
         return found.drop("_version", "_written", "_batch", "_bucket", "_last")

@@ -127,22 +127,19 @@ def index_batch(store: Store, on_turns=None):
     """A foreachBatch sink that adds new lines to the store and rebuilds the index of the sessions they belong to.
 
     The same as a full build of those sessions, whatever way a file was split; a batch that comes again changes nothing. A session is
-    rebuilt when a batch brings an assistant's message of it, which ends a turn; its other lines are kept until then. on_turns, if
+    rebuilt when a batch brings an assistant's message of it, which ends a turn; its other lines are kept until then. A line is stored
+    once, whatever the number of batches, and a session is rebuilt from what turns need of its lines, without their texts. on_turns, if
     given, gets the last turn of every session that was rebuilt, for a second sink such as classification.
     """
 
     def run(batch: DataFrame, _: int) -> None:
         if batch.isEmpty():
             return
-        touched = batch.select("session_id").distinct()
-        known = store.sessions("lines", touched)
-        rows = batch if known is None else known.unionByName(batch, allowMissingColumns=True)
-        lines = materialise(rows.dropDuplicates(["session_id", "line"]), "lines")
-        store.replace_sessions("lines", lines)
+        store.add_new("lines", batch)
         ended = materialise(batch.filter("role = 'assistant'").select("session_id").distinct(), "ended")
         if ended.isEmpty():
             return
-        turn_rows = materialise(Q.turns(lines.join(ended, "session_id", "left_semi")), "turns")
+        turn_rows = materialise(Q.turns(store.sessions("lines", ended)), "turns")
         store.replace_sessions("turns", G.with_topics(turn_rows, G.segments(turn_rows)))
         if on_turns:
             on_turns(Q.recent(store.sessions("turns", ended), 1))
