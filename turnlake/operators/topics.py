@@ -103,15 +103,15 @@ def merge_short(islands: Column, least: int) -> Column:
     return F.aggregate(islands, F.struct(F.array().cast(_ISLAND).alias("done"), none.alias("wait")), step, finish)
 
 
-def _islands(rows: DataFrame, keys: list[str], least: int) -> DataFrame:
-    """(keys, seq, ord, part, first, last) for rows (keys, seq, opens): ord is an island's own number, part its place after merging."""
+def _islands(rows: DataFrame, keys: list[str], least: int, *more: str) -> DataFrame:
+    """(keys, seq, ord, part, parts) for rows (keys, seq, opens): ord is an island's own number, part its place after merging; more: other columns of rows."""
     order = Window.partitionBy(*keys).orderBy("seq")
     marked = rows.withColumn("pos", F.row_number().over(order) - 1).withColumn("ord", F.sum(F.col("opens").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
     sizes = marked.groupBy(*keys, "ord").agg(F.min("pos").alias("start"), F.count("*").alias("size"))
     folded = sizes.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(F.col("start").cast("int"), F.col("size").cast("int"), F.col("ord").cast("int")))).alias("islands"))
     merged = folded.withColumn("m", merge_short(F.col("islands").cast(_ISLAND), least)).select(*keys, F.size("m").alias("parts"), F.posexplode("m").alias("part", "island"))
     spread = merged.select(*keys, "part", "parts", F.col("island.ord").alias("ord"), F.explode(F.sequence(F.col("island.start"), F.col("island.start") + F.col("island.size") - 1)).alias("pos"))
-    return marked.select(*keys, "seq", "pos").join(spread, [*keys, "pos"]).drop("pos")
+    return marked.select(*keys, "seq", "pos", *more).join(spread, [*keys, "pos"]).drop("pos")
 
 
 def segments(turn_rows: DataFrame, config: TopicConfig = TopicConfig(), found: DataFrame | None = None) -> DataFrame:
@@ -141,6 +141,11 @@ def topics(topic_turns: DataFrame) -> DataFrame:
 
 def signals(topic_turns: DataFrame) -> DataFrame:
     """(session_id, topic_id, seq, score) of turns but a topic's first: time gap, change of tools, a long question after a short one."""
+    order = Window.partitionBy("session_id", "topic_id").orderBy("seq")
+    return topic_turns.select("session_id", "topic_id", "seq", _score().alias("score"), F.row_number().over(order).alias("_n")).filter("_n > 1").drop("_n")
+
+
+def _score() -> Column:
     order = Window.partitionBy("session_id", "topic_id").orderBy("seq")
     # Milliseconds are rounded, as SQL's epoch_ms does; unix_millis would cut them off.
     micros = lambda t: F.round(F.unix_micros(t), -3)
@@ -148,21 +153,20 @@ def signals(topic_turns: DataFrame) -> DataFrame:
     before, now = F.lag("tools_used").over(order), F.col("tools_used")
     shared = F.size(F.array_intersect(before, now)) / F.size(F.array_union(before, now))
     both = (F.size(before) > 0) & (F.size(now) > 0)
-    score = (
+    return (
         F.when(gap > 30, 3).when(gap > 10, 2).otherwise(0)
         + F.when(both & (shared == 0), 2).when(both & (shared < 0.3), 1).otherwise(0)
         + F.when((F.char_length(F.lag("user_preview").over(order)) < 30) & (F.char_length("user_preview") > 80), 1).otherwise(0)
     )
-    return topic_turns.select("session_id", "topic_id", "seq", score.alias("score"), F.row_number().over(order).alias("_n")).filter("_n > 1").drop("_n")
 
 
 def subtopics(topic_turns: DataFrame, least: int = 2, boundary: int = 3) -> DataFrame:
     """(session_id, topic_id, subtopic_id, label, turn_sequences, is_current) by signals; topics of two turns at most have one."""
-    marks = signals(topic_turns).filter(F.col("score") >= boundary).select("session_id", "topic_id", "seq", F.lit(True).alias("opens"))
     n = F.count("*").over(Window.partitionBy("session_id", "topic_id"))
-    rows = topic_turns.select("session_id", "topic_id", "seq", "user_preview").withColumn("_n", n).join(marks, ["session_id", "topic_id", "seq"], "left")
+    place = F.row_number().over(Window.partitionBy("session_id", "topic_id").orderBy("seq"))
+    rows = topic_turns.select("session_id", "topic_id", "seq", "user_preview", n.alias("_n"), ((_score() >= boundary) & (place > 1)).alias("opens"))
     rows = rows.withColumn("opens", F.coalesce("opens", F.lit(False)) & (F.col("_n") > 2))
-    parts = _islands(rows, ["session_id", "topic_id"], least).join(rows.select("session_id", "topic_id", "seq", "user_preview", "_n"), ["session_id", "topic_id", "seq"])
+    parts = _islands(rows, ["session_id", "topic_id"], least, "user_preview", "_n")
     out = parts.groupBy("session_id", "topic_id", "part", "parts", "ord", "_n").agg(F.sort_array(F.collect_list("seq")).alias("turn_sequences"), F.min_by("user_preview", "seq").alias("_first"))
     head = F.substring("_first", 1, 40)
     label = F.when(head != "", head).when(F.col("_n") <= 2, "conversation").otherwise(F.concat(F.lit("Sub-topic "), (F.col("ord") + 1).cast("string")))
